@@ -15,6 +15,7 @@ each on their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,28 +33,27 @@ END_ID = 2
 #: Three-length patterns tried in the fit.
 TRIPLES = 3000
 #: Slices that the pieces of one length are ranked in.
-SLICES = 256
+SLICES = 64
 
 
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
+    """The byte-level BPE of a rank file, one per worker. Its ids are those of the vocabulary's JSON form."""
     if path not in _encoders:
-        import os
+        import public_tokenizers
+        import tiktoken
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _encoders[path] = t
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
@@ -67,9 +67,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
             ids, texts = batch.column("doc_id"), batch.column("text")
             for i in range(0, len(ids), 64):
                 rows = [], [], [], [], []
-                got = enc.encode_batch_fast([t or "" for t in texts.slice(i, 64).to_pylist()], add_special_tokens=False)
-                for k, e in enumerate(got):
-                    tokens = np.array([*e.ids, end_id], "<u4")
+                for k, text in enumerate(texts.slice(i, 64).to_pylist()):
+                    tokens = np.array([*enc.encode_ordinary(text or ""), end_id], "<u4")
                     limits = [0, *range(len(tokens) % length or length, len(tokens) + 1, length)]
                     for n, (a, b) in enumerate(zip(limits, limits[1:], strict=False)):
                         for to, v in zip(rows, (i + k, n, a, b - a, zlib.crc32(tokens[a:b].tobytes())), strict=True):
