@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, licenses, mixing, near_dedup, packing, personal_data, quality_rules, secret_scan
+from . import fingerprints, html_text, licenses, mixing, near_dedup, packing, personal_data, quality_rules, secret_scan, suffix_dedup
 from .staging import staged
 
 
@@ -23,6 +23,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, staged(html_text.host_paths(pages), "paths"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -57,6 +61,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_html_text": op2_html_text,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_personal_data": op5_personal_data,
     "op6_mix": op6_mix,
