@@ -22,7 +22,8 @@ def congruential_order(image_id: Column, seed: int) -> Column:
 def eligible(images: DataFrame, annotations: DataFrame, counts: DataFrame) -> DataFrame:
     """(image_id, stratum) of unrotated images with an annotation and at least one component."""
     plain = images.where(~F.coalesce("rotated", F.lit(False))).join(annotations.select(F.col("image_id").alias("id")), "id", "left_semi")
-    return plain.join(counts, plain["id"] == counts["image_id"]).where("component_count > 0").select("image_id", F.col("component_count").alias("stratum"))
+    plain = plain.select(F.col("id").alias("image_id"))
+    return plain.join(counts.select("image_id", "component_count"), "image_id").where("component_count > 0").select("image_id", F.col("component_count").alias("stratum"))
 
 
 def stratified(families: DataFrame, splits: dict[str, float] = SPLITS, seed: int = 42, order=hashed_order) -> DataFrame:

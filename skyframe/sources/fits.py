@@ -81,7 +81,8 @@ def read_hdus(spark: SparkSession, path: str) -> DataFrame:
 def hdu_list(hdus: DataFrame) -> DataFrame:
     """(path, hdus) with the units in file order."""
     one = F.struct("idx", "header", "bitpix", "naxis", "data")
-    return hdus.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", one.alias("hdu")))).alias("h")).select("path", F.transform("h", lambda h: h["hdu"]).alias("hdus"))
+    in_order = lambda c: F.array_sort(c, lambda a, b: a["idx"] - b["idx"])  # noqa: E731  headers have no order of their own
+    return hdus.groupBy("path").agg(in_order(F.collect_list(one)).alias("hdus"))
 
 
 def header_of(idx: int, hdus: Column) -> Column:
