@@ -3,7 +3,7 @@
 Suffixes are dealt out by content. The least hash of the `GRAM`-byte grams in a 100-byte window names the
 window, so equal windows have equal names, and runs of windows of one name are segments. Names that occur
 once in the corpus hold no repeat; they are told apart by counts, and a bitmap of fixed size keeps most of them
-from being sent. Equal segments are settled by their first occurrence. What differs under one name goes to
+from being sent (where the bitmap is full, more is sent and the result is the same). Equal segments are settled by their first occurrence. What differs under one name goes to
 the suffix arrays:
 
 Segments of a bucket of names are dealt into shards. A shard's suffixes are sorted once, as letters of `LETTER`
@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 from .staging import discard, staged
 from .wordarrays import U64, TextChunk, chunks, mix
 
-LENGTH, GRAM, LETTER = 100, 12, 25
+LENGTH, GRAM, LETTER = 100, 32, 50
 WINDOW = LENGTH - GRAM + 1
 #: Bits of the bitmap of repeated names; it has 2**BITMAP bits at most, whatever the input.
 BITMAP = 26
+#: The same for documents that may lose something.
+DOC_BITMAP = 22
 #: Bytes of the segments of one bucket and of one shard, and different segments from which a name is hot.
 BUCKET_BYTES, SHARD_BYTES, HOT_SEGMENTS = 1 << 19, 1 << 18, 2000
+#: Bytes turned into arrays at once: few enough for a core's cache.
+CHUNK = 1 << 17
 _LEAST = -(2**63)
 
 
@@ -58,8 +62,7 @@ def windows(c: TextChunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n < LENGTH:
         e = np.zeros(0, np.uint64)
         return e, e, e.astype(bool)
-    at = np.arange(n - GRAM + 1)
-    grams = c.hashes(at, at + GRAM)
+    grams = c.hashes_of_length(GRAM)
     names = _slide(grams, WINDOW, np.minimum)
     edge = np.zeros(n + 1, np.int32)
     long = np.flatnonzero(np.diff(c.off) >= LENGTH)
@@ -69,10 +72,10 @@ def windows(c: TextChunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chosen_grams(grams: np.ndarray, names: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """The hash of each gram occurrence that names a window."""
+    """The name of each gram occurrence that names a window."""
     over = np.zeros(len(names) + 2 * (WINDOW - 1), np.uint64)
     over[WINDOW - 1 : WINDOW - 1 + len(names)] = np.where(valid, names, U64(0))
-    return grams[_slide(over, WINDOW, np.maximum)[: len(grams)] == grams]
+    return mix(grams[_slide(over, WINDOW, np.maximum)[: len(grams)] == grams])
 
 
 def segments(c: TextChunk, wanted: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -86,54 +89,64 @@ def segments(c: TextChunk, wanted: np.ndarray | None) -> tuple[np.ndarray, ...]:
     limits = np.flatnonzero(change)
     starts, ends = limits[:-1], limits[1:]
     keep = valid[starts]
-    if wanted is not None:
-        place = names[starts] >> U64(64 - BITMAP)
-        keep &= (wanted[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
     starts, ends = starts[keep], ends[keep]
-    key = names[starts]
+    key = mix(names[starts])
+    if wanted is not None:
+        keep = in_bitmap(wanted, key)
+        key, starts, ends = key[keep], starts[keep], ends[keep]
     n = ends - starts + WINDOW - 1
     own = np.repeat(np.arange(len(starts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[own]
-    recurs = np.bincount(own, grams[at] == key[own], len(starts)) > 1
+    recurs = np.bincount(own, grams[at] == names[starts][own], len(starts)) > 1
     return key, starts, ends - 1 + LENGTH, recurs
 
 
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> U64(64 - BITMAP)
+    return (bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """The upper bits of the one column of well-mixed longs, as 2**BITMAP bits: a filter of fixed size that lets too much pass, never too little."""
+    bits = keys.select(F.shiftrightunsigned(keys[keys.columns[0]], 64 - BITMAP).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+    for batch in bits.toArrow().to_batches():  # at most 2**(BITMAP - 6) rows
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def repeated_names(docs: DataFrame) -> np.ndarray:
     """The bitmap of the names of which the corpus has two occurrences or more."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, c in chunks(batch.column("text")):
+            for _, _, c in chunks(batch.column("text"), CHUNK):
                 names, n = np.unique(chosen_grams(*windows(c)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int32))], ["name", "n"])
 
     names = docs.select("text").mapInArrow(counted, "name long, n int").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
-    bits = names.select(F.shiftrightunsigned("name", 64 - BITMAP).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
-    out = np.zeros(1 << (BITMAP - 6), np.uint64)
-    for batch in bits.toArrow().to_batches():  # at most 2**(BITMAP - 6) rows
-        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
-    return out
+    return bitmap_of(names.select("name"))
 
 
-def found_segments(docs: DataFrame, bitmap) -> DataFrame:
-    """(name, segment, doc, start, bytes, recurs): segment is the hash of the bytes."""
+def found_segments(docs: DataFrame, bitmap, with_bytes: bool) -> DataFrame:
+    """(name, segment, doc, start, end, recurs) and, if asked for, the bytes; segment is their hash."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
-            for i, _, c in chunks(batch.column("text")):
+            for i, _, c in chunks(batch.column("text"), CHUNK):
                 key, starts, ends, recurs = segments(c, bitmap.value)
+                if not len(key):
+                    continue
                 text = np.searchsorted(c.off, starts, "right") - 1
-                whole = c.buf.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key.view(np.int64)), pa.array(c.hashes(starts, ends).view(np.int64)), pa.array(ids[i + text]), pa.array(starts - c.off[text]),
-                        pa.array([whole[a:b] for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array(recurs),
-                    ],
-                    ["name", "segment", "doc", "start", "bytes", "recurs"],
-                )
+                at = c.off[text]
+                cols = {"name": key.view(np.int64), "segment": c.hashes(starts, ends).view(np.int64), "doc": ids[i + text], "start": starts - at, "end": ends - at, "recurs": recurs}
+                if with_bytes:
+                    whole = c.buf.tobytes()
+                    cols["bytes"] = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
 
-    return docs.mapInArrow(found, "name long, segment long, doc long, start long, bytes binary, recurs boolean")
+    return docs.mapInArrow(found, "name long, segment long, doc long, start long, end long, recurs boolean" + ", bytes binary" * with_bytes)
 
 
 class Transform:
@@ -263,29 +276,39 @@ def hashed_repeats(contested: DataFrame) -> DataFrame:
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(doc, start, end) byte ranges of docs(doc, text) to remove; they may overlap."""
-    spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(repeated_names(docs))
-    rows = staged(found_segments(docs, bitmap), "segments")
+    spread = docs.sparkSession.sparkContext.broadcast
+    rows = staged(found_segments(docs, spread(repeated_names(docs)), False), "segments")
     different = staged(
-        rows.groupBy("name", "segment").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.max("recurs").alias("recurs")), "different"
+        rows.groupBy("name", "segment").agg(F.min(F.struct("doc", "start", "end")).alias("first"), F.count("*").alias("n"), F.max("recurs").alias("recurs")), "different"
     )
-    firsts = different.where("n > 1").select("name", "segment", "first")
-    later = rows.select("name", "segment", "doc", "start", (F.col("start") + F.length("bytes")).alias("end")).join(firsts, ["name", "segment"]).where(F.struct("doc", "start") > F.col("first"))
+    firsts = different.where("n > 1").select("name", "segment", F.struct("first.doc", "first.start").alias("first"))
+    later = rows.select("name", "segment", "doc", "start", "end").join(firsts, ["name", "segment"]).where(F.struct("doc", "start") > F.col("first"))
     copies = staged(later.select("doc", "start", "end"), "ranges")
     discard(rows)
     names = different.groupBy("name").agg(F.count("*").alias("different"), F.max("recurs").alias("any_recurs")).where("different > 1 OR any_recurs").drop("any_recurs")
-    contested = staged(different.join(names, "name").select("name", "different", "first.doc", "first.start", "bytes"), "contested")
+    open_ = staged(different.join(names, "name").select("name", "segment", "different", "first.doc", "first.start", "first.end"), "open")
     discard(different)
-    size = contested.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    size = open_.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
+    texts = found_segments(docs, spread(bitmap_of(open_.select("name"))), True).select("name", "segment", "doc", "start", "bytes")
+    contested = staged(open_.drop("end").join(texts, ["name", "segment", "doc", "start"]).select("name", "different", "doc", "start", "bytes").distinct(), "contested")
+    discard(open_)
     few = merged_repeats(contested.where(F.col("different") <= HOT_SEGMENTS), max(1, -(-size // BUCKET_BYTES)))
     many = hashed_repeats(contested.where(F.col("different") > HOT_SEGMENTS))
     return copies.unionByName(few).unionByName(many)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Only documents that may have ranges are sent to them; a bitmap of fixed size tells the others.
+    """
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), "text")
-    ranges = removed_ranges(keyed.select("doc", "text")).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    ranges = staged(removed_ranges(keyed.select("doc", "text")).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "removed")
+    place = F.shiftrightunsigned(F.xxhash64("doc"), 64 - DOC_BITMAP)
+    words = ranges.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))  # at most 2**(DOC_BITMAP - 6) rows
+    marked = keyed.withColumn("p", place).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(words), "word", "left")
+    may = F.coalesce(F.expr("shiftrightunsigned(bits, cast(p & 63 as int)) & 1L"), F.lit(0)) == 1
+    none = F.expr("cast(NULL AS array<bigint>)")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,5 +332,6 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = keyed.join(staged(ranges, "removed"), "doc", "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = marked.where(may).join(ranges, "doc", "left").select("doc_id", "text", "starts", "ends")
+    whole = marked.where(~may).select("doc_id", "text", none.alias("starts"), none.alias("ends"))
+    return joined.unionByName(whole).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

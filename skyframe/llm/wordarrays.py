@@ -87,17 +87,22 @@ class TextChunk:
         p = self.prefix()
         return mix((p[ends] - p[starts]) * powers(_INVERSE, len(p))[starts])
 
+    def hashes_of_length(self, n: int) -> np.ndarray:
+        """The hashes of the n bytes from each place on."""
+        p = self.prefix()
+        return mix((p[n:] - p[:-n]) * powers(_INVERSE, len(p) - n))
+
     def per_text(self, index: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(index, weights, self.n).astype(np.int64)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The byte buffer and limits of a string column; null counts as empty."""
+    """The byte buffer and limits of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_null(column.type):
-        column = column.cast(pa.string())
-    column = column.fill_null("").cast(pa.large_string())
+        column = column.cast(pa.binary())
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
