@@ -30,8 +30,8 @@ from .staging import staged
 
 LENGTH = 1024
 END_ID = 2
-#: Three-length patterns tried in the fit.
-TRIPLES = 3000
+#: Numbers of three-length patterns in the fits; the fit that needs fewest sequences is taken.
+TRIPLES = (0, 300, 3000)
 #: Slices that the pieces of one length are ranked in.
 SLICES = 64
 
@@ -102,8 +102,12 @@ class Plan:
     n_sequences: int
 
 
-def plan_patterns(histogram: dict[int, int], length: int = LENGTH, triples: int = TRIPLES) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, number of such sequences) that hold the whole histogram."""
+def plan_patterns(histogram: dict[int, int], length: int = LENGTH, triples: tuple[int, ...] = TRIPLES) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of one sequence, number of such sequences) that hold the whole histogram: the best of the fits."""
+    return min((_fitted(histogram, length, t) for t in triples), key=lambda found: sum(n for _, n in found))
+
+
+def _fitted(histogram: dict[int, int], length: int, triples: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(length + 1, np.int64)
     for k, n in histogram.items():
         left[k] = n
