@@ -105,16 +105,13 @@ def sample(docs: DataFrame, weight: Column | None = None, seed: str = SEED, buck
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """Whole documents as often as the mix takes them; the document at a budget's limit comes if at least half of it fits."""
-    row = F.xxhash64(*docs.columns)
-    copies = sample(docs.withColumn("_row", row), carry=["_row"]).select(
-        F.col("doc_id").alias("_doc"), "_row", (F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).alias("_copies")
-    ).where("_copies > 0").groupBy("_doc", "_row").agg(F.max("_copies").alias("_copies"))
-    full = docs.withColumn("_row", row)
-    return (
-        full.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc")) & (full["_row"] == copies["_row"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
-    )
+    row = F.xxhash64(*docs.columns).alias("_row")
+    copies = sample(docs.select("doc_id", "source", "text", row), carry=["_row"])
+    n = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    copies = copies.select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_of"), n.alias("_copies")).groupBy("_doc", "_of").agg(F.max("_copies").alias("_copies")).where("_copies > 0")
+    whole = docs.select(F.struct(*docs.columns).alias("_d"), row)
+    taken = whole.join(copies, F.col("_d.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of")))
+    return taken.select("_d", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_d.*")
 
 
 ORACLE = r"""

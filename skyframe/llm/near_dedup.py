@@ -158,7 +158,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id that each node of the edges (a, b) reaches, by alternating large-star and small-star steps."""
+    """(id, component): the least id that each node of the edges (a, b) reaches, without rows for these least ids themselves, by alternating large-star and small-star steps."""
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def state(df: DataFrame) -> tuple:

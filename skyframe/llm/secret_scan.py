@@ -64,17 +64,17 @@ def _live_looking(m: Column) -> Column:
     return F.when(mixed & (F.size(F.array_distinct(F.split(m, ""))) >= 10), F.xxhash64(m))
 
 
-def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id", keep: list[str | Column] | None = None) -> DataFrame:
     """The columns `keep`, `owner`, `repository`, and the sorted spans `base` and `extra` (outside base spans) of each row."""
     text = F.col("_text")
     held = lambda spans: F.filter(spans, lambda s: s["value"].isNotNull())
     hashed = lambda m: F.xxhash64(m)
     return (
-        docs.withColumn("_text", F.coalesce("text", F.lit("")))
+        docs.select(*(keep or []), F.col(owner).alias("owner"), F.col(repository).alias("repository"), F.coalesce("text", F.lit("")).alias("_text"))
         .withColumn("base", F.array_sort(F.concat(held(_found(text, ASSIGN, 0, _assigned)), _found(text, ACCESS, 1, hashed), _found(text, HEX, 2, hashed))))
         .withColumn("extra", held(_found(text, LONG, 3, _live_looking)))
         .withColumn("extra", F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))))
-        .select(*(keep or []), F.col(owner).alias("owner"), F.col(repository).alias("repository"), "base", "extra")
+        .drop("_text")
     )
 
 
@@ -132,7 +132,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_documents(docs: DataFrame, owner: str = "source", repository: str = "doc_id", wide_owners: int = WIDE_OWNERS) -> DataFrame:
     """The documents with all base spans and all owner-specific `live` spans masked and n_chars brought up to date."""
-    found = candidates(docs.withColumn("_row", F.struct(*docs.columns)), owner, repository, ["_row"])
+    found = candidates(docs, owner, repository, [F.struct(*docs.columns).alias("_row")])
     known = ownership(candidates(docs, owner, repository))
     plain = found.where(F.size("extra") == 0).select("_row", F.col("base").alias("spans"))
     open_ = found.where(F.size("extra") > 0).withColumn("n", F.monotonically_increasing_id())
@@ -141,12 +141,12 @@ def mask_documents(docs: DataFrame, owner: str = "source", repository: str = "do
         .groupBy("n").agg(F.collect_list("span").alias("live"))
     )
     settled = open_.join(live, "n", "left").select("_row", F.when(F.col("live").isNull(), F.col("base")).otherwise(F.concat("base", "live")).alias("spans"))
-    out = plain.unionByName(settled).select("_row.*", "spans")
-    text = F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans")))
-    out = out.withColumn("text", text)
+    out, old = plain.unionByName(settled), F.col("_row")
+    text = F.when(old["text"].isNotNull(), masked(old["text"], F.col("spans")))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(old["n_chars"])
+    return out.select(*((new[c] if c in new else old[c]).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""
