@@ -333,7 +333,8 @@ _FOUND = (
 
 
 def _sky(spark, sf_dir):
-    return components(spark, sf_dir), labels(spark, sf_dir)
+    """Components and labels; the labels are read by several joins and come from a Python kernel, so they are kept."""
+    return components(spark, sf_dir), labels(spark, sf_dir).persist()
 
 
 @query(f"WITH {_COMPONENTS} SELECT vec_id, skey, x, y FROM components WHERE x BETWEEN 0 AND 5 AND y BETWEEN 0 AND 5")
