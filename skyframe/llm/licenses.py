@@ -39,6 +39,9 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by", "licensed under CC BY 4.0"),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
+    ("cc-by-nd", "licensed under CC BY-ND 4.0"),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
