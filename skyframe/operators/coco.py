@@ -69,3 +69,27 @@ def packed_counts(runs: DataFrame, key: str) -> DataFrame:
 
     held = runs.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "length"))), lambda r: r["length"]).alias("c"))
     return held.select(key, pack("c").alias("counts"))
+
+
+def unpacked_counts(strings: DataFrame, key: str) -> DataFrame:
+    """(key, run, length) from compact COCO strings."""
+
+    @F.pandas_udf("array<long>")
+    def unpack(texts: pd.Series) -> pd.Series:
+        def one(s: str) -> list[int]:
+            out, value, shift = [], 0, 0
+            for c in s:
+                low = ord(c) - 48
+                value |= (low & 31) << shift
+                shift += 5
+                if low & 32:
+                    continue
+                if low & 16:
+                    value -= 1 << shift
+                out.append(value + (out[-2] if len(out) > 2 else 0))
+                value = shift = 0
+            return out
+
+        return texts.map(one)
+
+    return strings.select(key, F.posexplode(unpack("counts")).alias("run", "length"))

@@ -31,12 +31,6 @@ def inscribed_rectangle_columns(w: Column, h: Column, degrees: Column) -> tuple[
     return tuple(F.when(limited, a).otherwise(b).cast("int") for a, b in sides)
 
 
-def angle_table(df: DataFrame, angles: list[float]) -> DataFrame:
-    """(angle_index, angle), a few rows."""
-    listed = F.array(*(F.struct(F.lit(i).alias("angle_index"), F.lit(float(a)).alias("angle")) for i, a in enumerate(angles)))
-    return df.sparkSession.range(1).select(F.inline(listed))
-
-
 def rotate_points(points: DataFrame, angles: list[float], w: int, h: int, cw: int, ch: int, exact_crop: bool = False) -> DataFrame:
     """Points turned about the raster's centre and moved into the crop; those outside it go.
 

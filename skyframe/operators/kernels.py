@@ -62,7 +62,6 @@ def spline_coefficients(a: np.ndarray) -> np.ndarray:
         c = np.moveaxis(a.astype(float).copy(), axis, 0) * 6.0
         n = len(c)
         if n > 1:
-            powers = pole ** np.arange(n)
             mirror = np.concatenate([c, c[-2:0:-1]])
             full = pole ** np.arange(len(mirror))
             c[0] = np.tensordot(full, mirror, (0, 0)) / (1 - pole ** len(mirror))
@@ -71,7 +70,6 @@ def spline_coefficients(a: np.ndarray) -> np.ndarray:
             c[n - 1] = (pole / (pole * pole - 1)) * (c[n - 1] + pole * c[n - 2])
             for i in range(n - 2, -1, -1):
                 c[i] = pole * (c[i + 1] - c[i])
-            del powers
         a = np.moveaxis(c, 0, axis)
     return a
 

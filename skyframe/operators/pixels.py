@@ -69,6 +69,14 @@ def run_lengths(mask: DataFrame, key: str, h: int, w: int) -> DataFrame:
     return parts.select(key, F.inline(rows)).where("length IS NOT NULL")
 
 
+def runs_to_mask(runs: DataFrame, key: str, h: int) -> DataFrame:
+    """(key, x, y) of the pixels that column-major run lengths (key, run, length) cover; even runs count zeros."""
+    before = F.sum("length").over(Window.partitionBy(key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    ones = runs.withColumn("_a", F.coalesce(before, F.lit(0))).where("run % 2 = 1 AND length > 0")
+    p = ones.select(key, F.explode(F.sequence(F.col("_a"), F.col("_a") + F.col("length") - 1)).alias("p"))
+    return p.select(key, F.floor(F.col("p") / h).cast("int").alias("x"), (F.col("p") % h).cast("int").alias("y"))
+
+
 def rotate_quarter(pixels: DataFrame, w: int, h: int, quarters: int = 1) -> DataFrame:
     """Exact counter-clockwise turns by 90 degrees: an index permutation."""
     x, y = F.col("x"), F.col("y")

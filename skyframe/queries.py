@@ -21,11 +21,13 @@ LEVEL, SIDE, KEY = 0.1, 8, "vec_id"
 ANGLES = [0.0, 45.0, 90.0, 135.0, 180.0, 225.0, 270.0, 315.0]
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query, and its SQL, under the function's name or `name`."""
+
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return register
@@ -243,7 +245,7 @@ def proposal_powerset(spark, sf_dir):
     return held.groupBy(KEY).agg(F.count("*").alias("n"), F.round(F.sum(F.col("score").cast("double")), 4).alias("scores"), F.max("score").alias("best"))
 
 
-@query("WITH RECURSIVE " + _SUBSETS.format(top=_TOP, k=4) + " SELECT * FROM subsets")
+@query("WITH RECURSIVE " + _SUBSETS.format(top=_TOP, k=4) + " SELECT * FROM subsets", "proposals")
 def proposals_top4(spark, sf_dir):
     return proposals.subsets(island_properties(spark, sf_dir), KEY, 4)
 
@@ -263,6 +265,24 @@ def rle_strings(spark, sf_dir):
     return coco.packed_counts(rle_runs(spark, sf_dir), KEY)
 
 
+@query(f"WITH {_MASK} SELECT vec_id, x, y FROM mask")
+def rle_decode(spark, sf_dir):
+    """The mask again, by way of the packed strings."""
+    return pixels.runs_to_mask(coco.unpacked_counts(rle_strings(spark, sf_dir), KEY), KEY, SIDE)
+
+
+@query(
+    "WITH l AS (SELECT c_custkey AS id, c_acctbal / 10 AS x, (c_custkey % 100)::DOUBLE * 10 AS y, c_nationkey AS g FROM customer), r AS (SELECT s_suppkey AS id, s_acctbal / 10 AS x, (s_suppkey % 100)::DOUBLE * 10 AS y FROM supplier), "
+    "j AS (SELECT r.id, l.g, l.id AS p FROM l JOIN r ON abs(l.x - r.x) <= 25 AND abs(l.y - r.y) <= 25) SELECT id AS cutout, g AS parent, count(*) AS n, string_agg(p::VARCHAR, ',' ORDER BY p) AS members FROM j GROUP BY id, g"
+)
+def cutout_components(spark, sf_dir):
+    """Catalogue components near each cutout, grouped by their parent source."""
+    pairs = spatial_range_join(spark, sf_dir)
+    parents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("left_id"), F.col("c_nationkey").alias("parent"))
+    held = pairs.join(parents, "left_id").groupBy(F.col("right_id").alias("cutout"), "parent").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("left_id")).alias("m"))
+    return held.select("cutout", "parent", "n", F.array_join(F.transform("m", lambda i: i.cast("string")), ",").alias("members"))
+
+
 @query(f"WITH {_PIXELS} SELECT vec_id, y AS x, 7 - x AS y, round(v, 6) AS v FROM pixels")
 def rotate90(spark, sf_dir):
     return pixels.rotate_quarter(all_pixels(spark, sf_dir), SIDE, SIDE).select(KEY, "x", "y", r6("v", "v"))
@@ -599,7 +619,7 @@ def file_name(spark, sf_dir):
     return o.select(i.alias("id"), sample_name("GRG", i, F.col("o_custkey"), i % 90, F.when(i % 8 != 0, (i % 8) * 45)).alias("file_name"))
 
 
-@query("SELECT o_orderkey AS id, 'GRG_' || lpad(o_orderkey::VARCHAR, 10, '0') || '_RA' || o_custkey || '_DEC' || (o_orderkey % 90) || '.npz' AS file_name FROM orders")
+@query("SELECT o_orderkey AS id, 'GRG_' || lpad(o_orderkey::VARCHAR, 10, '0') || '_RA' || o_custkey || '_DEC' || (o_orderkey % 90) || '.npz' AS file_name FROM orders", "proposal_name")
 def proposal_names(spark, sf_dir):
     i = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(i.alias("id"), proposal_name(sample_name("GRG", i, F.col("o_custkey"), i % 90)).alias("file_name"))
