@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 K, S, SIZE = 5, 2, 64
 SPACES = r"[\x20\x09-\x0D]+"
 #: Quantile cuts of the ids, and rows that a cut may hold before it is divided.
-CUTS, CUT_ROWS = 256, 50_000
+CUTS, CUT_ROWS = 256, 4000
 #: Copied ids up to this many go to every task.
 BROADCAST_IDS = 200_000
 _LEAST = -(2**63)
