@@ -7,9 +7,10 @@ larger of both. Equal sets are one class, told by a hash of the whole sorted set
 similarity, and confirmed on the full sets.
 
 Pairs are formed without a product within a group. First every class meets the least member of each of its
-band groups, and confirmed links are joined to components. Only groups that still hold several components
-are looked at again: their members meet the members of other components, in blocks of `BLOCK` members, and
-inside a block pairs are compared on registers as arrays; only pairs that may link are put out.
+band groups, then, where they aren't in one component yet, a member chosen by hash; confirmed links are joined to
+components. The pairs that are alike at all (`ALIKE`) join classes to families; any link lies within one. Only
+families that still hold several components are looked at again, in blocks of `BLOCK` members: full sets of
+different components are compared as a matrix product, and no more links are put out than join components.
 
 Nulls: a null text or a text without words has the empty set and is linked with nothing. A null doc_id is never linked.
 Rows that share a doc_id and a set share the result. Empty tables give empty results. Extra columns are ignored.
@@ -25,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import array_of, in_array, marked, words_of
 from .staging import discard, staged
 from .wordarrays import U64, TextChunk, chunks, mix
 
 BANDS, BAND = 32, 5
 REGISTERS = BANDS * BAND
 BASE = 1.02
-#: Members of a band group that are compared in one block.
-BLOCK = 128
+#: Members of a family that are compared in one block.
+BLOCK = 800
+#: Share of equal registers from which classes are of one family.
+ALIKE = 0.5
 #: Standard deviations that a register estimate may fall below the wanted similarity.
 SLACK = 5.0
 
@@ -107,54 +111,139 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n_shingles long, set_key binary, registers binary")
 
 
-def band_hashes(classes: DataFrame) -> DataFrame:
-    """(id, band, bucket) of each class."""
+def band_hashes(classes: DataFrame, wanted=None) -> DataFrame:
+    """(id, bucket) of each class and band; the band is part of the bucket's hash. `wanted`, a broadcast filter, drops other buckets."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, BAND).astype(np.uint64)
-            h = np.zeros(regs.shape[:2], np.uint64)
+            h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), regs.shape[:2])
             for k in range(BAND):
                 h = mix(h * U64(0x9E3779B97F4A7C15) + regs[:, :, k] + U64(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(np.repeat(np.arange(len(h)), BANDS))), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(h))), pa.array(h.ravel().view(np.int64))], ["id", "band", "bucket"]
-            )
+            own, h = np.repeat(np.arange(len(h)), BANDS), h.ravel()
+            if wanted is not None:
+                keep = in_array(wanted.value, h)
+                own, h = own[keep], h[keep]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own)), pa.array(h.view(np.int64))], ["id", "bucket"])
 
-    return classes.select("id", "registers").mapInArrow(hashed, f"id {classes.schema['id'].dataType.simpleString()}, band int, bucket long")
+    return classes.select("id", "registers").mapInArrow(hashed, f"id {classes.schema['id'].dataType.simpleString()}, bucket long")
 
 
-def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+def likely(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the joint registers allow the similarity, by the likelihood of how many are equal.
 
     Equal registers have probability p = J or more; the count of equal ones is binomial, and pairs are kept while it isn't
     `SLACK` deviations short of what the similarity gives. Set sizes bound the similarity exactly.
     """
     least, most = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    equal = (a == b).mean(-1)
-    return (100 * least >= np.ceil(100 * similarity) * most) & (equal >= similarity - SLACK * np.sqrt(similarity * (1 - similarity) / REGISTERS))
+    return (100 * least >= round(100 * similarity) * most) & (equal >= similarity - SLACK * np.sqrt(similarity * (1 - similarity) / REGISTERS))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are as similar as wanted."""
-    texts = docs.select(F.col("doc_id"), "text").where("doc_id IS NOT NULL")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, likely) of the pairs with `ALIKE` equal registers or more."""
+    regs = classes.select("id", "registers", "n_shingles")
+    joined = pairs.join(regs.toDF("a", "regs_a", "size_a"), "a").join(regs.toDF("b", "regs_b", "size_b"), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint16).reshape(-1, REGISTERS) for n in ("regs_a", "regs_b"))
+                equal = (a == b).mean(1)
+                may = likely(equal, batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), similarity)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(may)], ["a", "b", "likely"]).filter(pa.array(may | (equal >= ALIKE)))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return joined.select("a", "b", "regs_a", "regs_b", "size_a", "size_b").mapInArrow(compare, f"a {kind}, b {kind}, likely boolean")
+
+
+def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles): the whole sorted sets of the documents `ids`, as binary."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, c in chunks(batch.column("text"), lower=True):
+                h, off = shingle_sets(c, shingle)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array([h[off[k] : off[k + 1]].tobytes() for k in range(c.n)], pa.binary())], ["id", "shingles"])
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = marked(texts, F.xxhash64("id"), words_of(ids, F.xxhash64("id"))).where("_may").select("id", "text").join(ids, "id", "left_semi")
+    return texts.mapInArrow(hashed, f"id {docs.schema['doc_id'].dataType.simpleString()}, shingles binary").dropDuplicates(["id"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar as wanted."""
+    both = pairs.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     percent = round(100 * similarity)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                sides.append([(h[off[k] : off[k + 1]]) for _, _, c in chunks(batch.column(name), lower=True) for h, off in [shingle_sets(c, shingle)] for k in range(c.n)])
             keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(*sides, strict=True)):
+            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}")
+    return both.mapInArrow(check, f"a {kind}, b {kind}")
+
+
+def joining_links(sets: list[np.ndarray], component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs of similar sets that join the components, a forest: no two of them join the same components."""
+    names, component = np.unique(component, return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    largest = np.bincount(component).argmax()
+    rows = np.flatnonzero(component != largest)
+    values, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.flatnonzero(n[inverse] > 1)  # a shingle of one set is in no intersection
+    own, column = own[shared], np.unique(inverse[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    common = np.zeros((len(rows), len(sets)), np.float32)
+    for at in range(0, width, 2048):
+        a, b = np.searchsorted(column, (at, at + 2048))
+        part = np.zeros((len(sets), min(2048, width - at)), np.float32)
+        part[own[a:b], column[a:b] - at] = 1
+        common += part[rows] @ part.T
+    out = []
+    for k, i in enumerate(rows):
+        c = common[k]
+        hits = np.flatnonzero((c > 0) & (100 * c >= round(100 * similarity) * (sizes[i] + sizes - c)) & (component != component[i]))
+        for j in hits[np.unique(component[hits], return_index=True)[1]]:
+            x, y = root(int(component[i])), root(int(component[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(i), int(j)))
+    return out
+
+
+def family_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the components of a family, from members(id, family, component, n) of the families with several."""
+    dealt = (
+        members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("id", "family", "component", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right")).join(sets, "id")
+    )
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        found = joining_links([np.frombuffer(s, np.uint64) for s in f["shingles"]], f["component"].to_numpy(), similarity)
+        ids = f["id"].to_numpy()
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
+
+    kind = members.schema["id"].dataType.simpleString()
+    return dealt.groupBy("family", "left", "right").applyInPandas(meet, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,44 +270,6 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
-def _candidates(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that their registers allow."""
-    regs = classes.select("id", "registers", "n_shingles")
-    joined = pairs.join(regs.toDF("a", "regs_a", "size_a"), "a").join(regs.toDF("b", "regs_b", "size_b"), "b")
-
-    def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint16).reshape(-1, REGISTERS) for n in ("regs_a", "regs_b"))
-                keep = likely(a, b, batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), similarity)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return joined.select("a", "b", "regs_a", "regs_b", "size_a", "size_b").mapInArrow(allow, f"a {kind}, b {kind}")
-
-
-def _cross_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different components that meet in one of the (band, bucket, left, right) blocks and that their registers allow."""
-
-    def meet(f: pd.DataFrame) -> pd.DataFrame:
-        left, right = int(f["left"].iloc[0]), int(f["right"].iloc[0])
-        x = f[f["chunk"] == left]
-        y = f[f["chunk"] == right]
-        a = np.frombuffer(b"".join(x["registers"]), np.uint16).reshape(-1, REGISTERS)
-        b = np.frombuffer(b"".join(y["registers"]), np.uint16).reshape(-1, REGISTERS)
-        out = []
-        for i in range(len(x)):
-            own = likely(a[i], b, np.int64(x["n_shingles"].iloc[i]), y["n_shingles"].to_numpy(), similarity) & (y["component"].to_numpy() != x["component"].iloc[i])
-            for j in np.flatnonzero(own):
-                p, q = x["id"].iloc[i], y["id"].iloc[j]
-                if left != right or i < j:
-                    out.append((min(p, q), max(p, q)))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    kind = members.schema["id"].dataType.simpleString()
-    return members.groupBy("band", "bucket", "left", "right").applyInPandas(meet, f"a {kind}, b {kind}").distinct()
-
-
 def classes_of(rows: DataFrame) -> DataFrame:
     """(set_key, id, n_shingles, registers) of the different sets; id is the least doc_id."""
     return (
@@ -228,29 +279,29 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, component) of the classes that have a link."""
-    banded = staged(band_hashes(classes), "bands")
-    groups = banded.groupBy("band", "bucket").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    shared = staged(banded.join(groups, ["band", "bucket"]), "shared")
-    discard(banded)
-    star = shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    tried = staged(_candidates(star, classes, similarity), "pairs")
-    first = staged(confirm(tried, docs, shingle, similarity), "links")
+    """(id, component) of the classes that have a link, but the least of each component."""
+    by_hash = F.min_by("id", F.xxhash64("id", "bucket"))
+    groups = staged(band_hashes(classes).groupBy("bucket").agg(F.min("id").alias("least"), by_hash.alias("any"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
+    full = docs.sparkSession.sparkContext.broadcast(array_of(words_of(groups, F.col("bucket"))))
+    shared = staged(band_hashes(classes, full).join(groups, "bucket").select("id", "least", "any"), "shared")
+    discard(groups)
+    pair = lambda c: shared.where(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")).distinct()
+    near = staged(alike(pair("least").union(pair("any")).distinct(), classes, similarity), "pairs")
+    either = staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ids")
+    sets = staged(full_sets(either, docs, shingle), "sets")
+    stars = near.where("likely")
+    first = staged(confirm(stars.join(pair("least"), ["a", "b"], "left_semi"), sets, similarity), "links")
     known = components(first)
-    held = shared.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")).select("id", "band", "bucket", "component", "n")
-    held = staged(held, "held")
+    rest = stars.join(pair("least"), ["a", "b"], "left_anti")
+    side = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}"))
+    apart = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
+    both = staged(first.unionByName(confirm(apart, sets, similarity)), "links")
     discard(shared)
-    mixed = held.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("band", "bucket", "members")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_ = (
-        held.join(mixed, ["band", "bucket"]).join(classes.select("id", "registers", "n_shingles"), "id")
-        .withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("id", "component", "registers", "n_shingles", "band", "bucket", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
-    )
-    more = staged(_cross_pairs(open_, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
-    second = confirm(more, docs, shingle, similarity)
-    return components(first.unionByName(second))
+    known, family = components(both), components(near)
+    members = either.join(known, "id", "left").join(family.withColumnRenamed("component", "family"), "id", "left")
+    members = staged(members.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family")), "members")
+    several = staged(members.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("family", "n"), "families")
+    return components(both.unionByName(family_links(members.join(several, "family"), sets, similarity)))
 
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

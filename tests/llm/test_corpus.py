@@ -75,6 +75,10 @@ def test_components_equal_brute_force(spark, odd_rows, none):
 def test_large_groups_go_through_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     rows = near_rows()
+    edits = [prose(90, 200).split()]
+    for c in range(12):  # a chain: only neighbours are similar enough
+        edits.append([w if i // 14 != c else f"y{c}{i}" for i, w in enumerate(edits[-1])])
+    rows += [(3000 + (7 * i) % 13, " ".join(w), "a") for i, w in enumerate(edits)]
     want, _ = brute_components(rows)
     assert {r.doc_id: r.component_id for r in near_dedup.dedup(make_docs(spark, rows), shingle=2).collect()} == want
 
