@@ -30,15 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import array_of, in_array, marked, words_of
 from .staging import discard, staged
 from .wordarrays import U64, TextChunk, chunks, mix
 
 LENGTH, GRAM, LETTER = 100, 32, 50
 WINDOW = LENGTH - GRAM + 1
-#: Bits of the bitmap of repeated names; it has 2**BITMAP bits at most, whatever the input.
-BITMAP = 26
-#: The same for documents that may lose something.
-DOC_BITMAP = 22
+#: Bits of the filter of documents that may lose something.
+DOC_BITS = 22
 #: Bytes of the segments of one bucket and of one shard, and different segments from which a name is hot.
 BUCKET_BYTES, SHARD_BYTES, HOT_SEGMENTS = 1 << 19, 1 << 18, 2000
 #: Bytes turned into arrays at once: few enough for a core's cache.
@@ -92,7 +91,7 @@ def segments(c: TextChunk, wanted: np.ndarray | None) -> tuple[np.ndarray, ...]:
     starts, ends = starts[keep], ends[keep]
     key = mix(names[starts])
     if wanted is not None:
-        keep = in_bitmap(wanted, key)
+        keep = in_array(wanted, key)
         key, starts, ends = key[keep], starts[keep], ends[keep]
     n = ends - starts + WINDOW - 1
     own = np.repeat(np.arange(len(starts)), n)
@@ -101,20 +100,6 @@ def segments(c: TextChunk, wanted: np.ndarray | None) -> tuple[np.ndarray, ...]:
     return key, starts, ends - 1 + LENGTH, recurs
 
 
-def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys >> U64(64 - BITMAP)
-    return (bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
-
-
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """The upper bits of the one column of well-mixed longs, as 2**BITMAP bits: a filter of fixed size that lets too much pass, never too little."""
-    bits = keys.select(F.shiftrightunsigned(keys[keys.columns[0]], 64 - BITMAP).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
-    out = np.zeros(1 << (BITMAP - 6), np.uint64)
-    for batch in bits.toArrow().to_batches():  # at most 2**(BITMAP - 6) rows
-        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def repeated_names(docs: DataFrame) -> np.ndarray:
     """The bitmap of the names of which the corpus has two occurrences or more."""
 
@@ -125,7 +110,7 @@ def repeated_names(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int32))], ["name", "n"])
 
     names = docs.select("text").mapInArrow(counted, "name long, n int").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
-    return bitmap_of(names.select("name"))
+    return array_of(words_of(names, F.col("name")))
 
 
 def found_segments(docs: DataFrame, bitmap, with_bytes: bool) -> DataFrame:
@@ -286,10 +271,11 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     copies = staged(later.select("doc", "start", "end"), "ranges")
     discard(rows)
     names = different.groupBy("name").agg(F.count("*").alias("different"), F.max("recurs").alias("any_recurs")).where("different > 1 OR any_recurs").drop("any_recurs")
+    names = staged(names, "names")  # read anew, so that the join can split a hot name
     open_ = staged(different.join(names, "name").select("name", "segment", "different", "first.doc", "first.start", "first.end"), "open")
     discard(different)
     size = open_.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
-    texts = found_segments(docs, spread(bitmap_of(open_.select("name"))), True).select("name", "segment", "doc", "start", "bytes")
+    texts = found_segments(docs, spread(array_of(words_of(open_, F.col("name")))), True).select("name", "segment", "doc", "start", "bytes")
     contested = staged(open_.drop("end").join(texts, ["name", "segment", "doc", "start"]).select("name", "different", "doc", "start", "bytes").distinct(), "contested")
     discard(open_)
     few = merged_repeats(contested.where(F.col("different") <= HOT_SEGMENTS), max(1, -(-size // BUCKET_BYTES)))
@@ -304,10 +290,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), "text")
     ranges = staged(removed_ranges(keyed.select("doc", "text")).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "removed")
-    place = F.shiftrightunsigned(F.xxhash64("doc"), 64 - DOC_BITMAP)
-    words = ranges.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))  # at most 2**(DOC_BITMAP - 6) rows
-    marked = keyed.withColumn("p", place).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(words), "word", "left")
-    may = F.coalesce(F.expr("shiftrightunsigned(bits, cast(p & 63 as int)) & 1L"), F.lit(0)) == 1
+    split = marked(keyed, F.xxhash64("doc"), words_of(ranges, F.xxhash64("doc"), DOC_BITS), DOC_BITS)
     none = F.expr("cast(NULL AS array<bigint>)")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,6 +315,6 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = marked.where(may).join(ranges, "doc", "left").select("doc_id", "text", "starts", "ends")
-    whole = marked.where(~may).select("doc_id", "text", none.alias("starts"), none.alias("ends"))
+    joined = split.where("_may").join(ranges, "doc", "left").select("doc_id", "text", "starts", "ends")
+    whole = split.where("NOT _may").select("doc_id", "text", none.alias("starts"), none.alias("ends"))
     return joined.unionByName(whole).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
