@@ -250,15 +250,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node of the edges (a, b) reaches, without rows for these least ids themselves, by alternating large-star and small-star steps."""
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
+    def least_of(df: DataFrame, m) -> DataFrame:
+        """(u, m). `u` is a new column, so that a join on it deals both sides anew and adaptive execution can split a hub's edges."""
+        return df.groupBy("u").agg(m.alias("m")).select(F.col("u").bitwiseXOR(F.lit(0).cast(df.schema["u"].dataType)).alias("u"), "m")
+
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     seen = state(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = least_of(both, F.least(F.min("v"), F.col("u")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = least_of(large, F.min("v"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = staged(small, "edges")
         now = state(after)
