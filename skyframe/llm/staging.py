@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where spark.checkpoint.dir is unset (local mode, tests).
@@ -21,6 +22,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` computed once and held on the executors' disks until `unpersist` or the session's end.
+
+    A part lost with its executor is computed again from what it came from; nothing is written through the file system.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    held.count()
+    return held
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a staged table that no later plan reads."""
     spark = df.sparkSession

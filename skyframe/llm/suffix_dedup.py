@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import array_of, in_array, marked, words_of
-from .staging import discard, staged
+from .staging import kept, staged
 from .wordarrays import U64, TextChunk, chunks, mix
 
 LENGTH, GRAM, LETTER = 100, 32, 50
@@ -262,22 +262,20 @@ def hashed_repeats(contested: DataFrame) -> DataFrame:
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(doc, start, end) byte ranges of docs(doc, text) to remove; they may overlap."""
     spread = docs.sparkSession.sparkContext.broadcast
-    rows = staged(found_segments(docs, spread(repeated_names(docs)), False), "segments")
-    different = staged(
-        rows.groupBy("name", "segment").agg(F.min(F.struct("doc", "start", "end")).alias("first"), F.count("*").alias("n"), F.max("recurs").alias("recurs")), "different"
-    )
+    rows = kept(found_segments(docs, spread(repeated_names(docs)), False))
+    different = kept(rows.groupBy("name", "segment").agg(F.min(F.struct("doc", "start", "end")).alias("first"), F.count("*").alias("n"), F.max("recurs").alias("recurs")))
     firsts = different.where("n > 1").select("name", "segment", F.struct("first.doc", "first.start").alias("first"))
     later = rows.select("name", "segment", "doc", "start", "end").join(firsts, ["name", "segment"]).where(F.struct("doc", "start") > F.col("first"))
     copies = staged(later.select("doc", "start", "end"), "ranges")
-    discard(rows)
+    rows.unpersist()
     names = different.groupBy("name").agg(F.count("*").alias("different"), F.max("recurs").alias("any_recurs")).where("different > 1 OR any_recurs").drop("any_recurs")
-    names = staged(names, "names")  # read anew, so that the join can split a hot name
-    open_ = staged(different.join(names, "name").select("name", "segment", "different", "first.doc", "first.start", "first.end"), "open")
-    discard(different)
+    names = kept(names)  # held: the join deals its rows anew and can split a hot name
+    open_ = kept(different.join(names, "name").select("name", "segment", "different", "first.doc", "first.start", "first.end"))
+    different.unpersist()
     size = open_.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     texts = found_segments(docs, spread(array_of(words_of(open_, F.col("name")))), True).select("name", "segment", "doc", "start", "bytes")
-    contested = staged(open_.drop("end").join(texts, ["name", "segment", "doc", "start"]).select("name", "different", "doc", "start", "bytes").distinct(), "contested")
-    discard(open_)
+    contested = kept(open_.drop("end").join(texts, ["name", "segment", "doc", "start"]).select("name", "different", "doc", "start", "bytes").distinct())
+    open_.unpersist()
     few = merged_repeats(contested.where(F.col("different") <= HOT_SEGMENTS), max(1, -(-size // BUCKET_BYTES)))
     many = hashed_repeats(contested.where(F.col("different") > HOT_SEGMENTS))
     return copies.unionByName(few).unionByName(many)
