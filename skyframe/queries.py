@@ -325,9 +325,9 @@ def cutout_stamps(spark, sf_dir):
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the orders that number a raster: three keys an image, and `ord` as a total order of a key's positions."""
+    """Lines of the orders that number a raster (a vec_id of embeddings): three keys an image, and `ord` as a total order of a key's positions."""
     c = F.col("l_linenumber") % 3
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "embeddings").select(F.col(KEY).alias("l_orderkey")), "l_orderkey", "left_semi")
     return li.select(
         F.col("l_orderkey").alias(KEY), F.concat(F.lit("S"), c.cast("string")).alias("skey"), c.cast("int").alias("seg_ord"), (F.col("l_partkey") % SIDE).cast("int").alias("x"), (F.col("l_suppkey") % SIDE).cast("int").alias("y"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("ord"),

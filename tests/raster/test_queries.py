@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from skyframe import queries as q
 from tests.conftest import DATA
@@ -11,6 +12,19 @@ def test_query_equals_its_sql(spark, duck, same, name):
     same(q.QUERIES[name](spark, f"{DATA}/sf0.001").toPandas(), duck.execute(q.ORACLES[name]).df())
 
 
+def test_components_cover_every_raster(spark, tmp_path):
+    sf, ids = f"{DATA}/sf0.001", [3, 499, 500, 731, 1400]
+    rasters = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 5")
+    rasters.selectExpr(f"element_at(array({','.join(f'{i}L' for i in ids)}), cast(vec_id as int) + 1) AS vec_id", "embedding", "label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(r.l_orderkey, r.n) for r in lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).collect() if r.l_orderkey in ids}
+    got = q.union_positions(spark, str(tmp_path)).groupBy("vec_id").agg(F.count("*").alias("n"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert max(i for i, _ in want) >= 500
+    assert {r.vec_id for r in q.segment_size(spark, str(tmp_path)).collect()} == {i for i, _ in want}
+
+
 def test_flagship_has_rows_and_schema(spark):
     df = q.flagship(spark, f"{DATA}/sf0.001")
     assert df.columns == ["vec_id", "skey", "contains_centre", "members", "size", "xmin", "ymin", "xmax", "ymax", "score"]
