@@ -8,9 +8,12 @@ similarity, and confirmed on the full sets.
 
 Pairs are formed without a product within a group. First every class meets the least member of each of its
 band groups, then, where they aren't in one component yet, a member chosen by hash; confirmed links are joined to
-components. The pairs that are alike at all (`ALIKE`) join classes to families; any link lies within one. Only
+components. The pairs that are alike at all (`ALIKE`) join classes to families. Band groups that hold several families
+are compared whole, registers against registers in blocks of up to twice `BLOCK` members, and families with a likely pair between
+them become one, so any link of two classes that share a band lies within a family. Only
 families that still hold several components are looked at again, in blocks of `BLOCK` members: full sets of
 different components are compared as a matrix product, and no more links are put out than join components.
+In a band group the work grows with members outside its largest family times members.
 
 Nulls: a null text or a text without words has the empty set and is linked with nothing. A null doc_id is never linked.
 Rows that share a doc_id and a set share the result. Empty tables give empty results. Extra columns are ignored.
@@ -246,6 +249,45 @@ def family_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     return dealt.groupBy("family", "left", "right").applyInPandas(meet, f"a {kind}, b {kind}")
 
 
+def joining_pairs(regs: np.ndarray, sizes: np.ndarray, family: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs with likely registers that join the families, a forest as in `joining_links`."""
+    names, family = np.unique(family, return_inverse=True)
+    parent = np.arange(len(names))
+    out = []
+    for i in np.flatnonzero(family != np.bincount(family).argmax()):
+        for j in np.flatnonzero(likely((regs == regs[i]).mean(1), sizes[i], sizes, similarity) & (parent[family] != parent[family[i]])):
+            x, y = parent[family[i]], parent[family[j]]
+            if x != y:
+                parent[parent == max(x, y)] = min(x, y)
+                out.append((int(i), int(j)))
+    return out
+
+
+def bucket_pairs(shared: DataFrame, family: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Likely pairs (a, b, likely) between families that share a bucket, from shared(id, bucket, n) and family(id, family); as many as join the families of a block."""
+    placed = shared.where("n > 2").join(family, "id", "left").select("id", "bucket", "n", F.coalesce("family", "id").alias("family"))
+    mixed = placed.groupBy("bucket").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("bucket")
+    dealt = (
+        placed.join(mixed, "bucket", "left_semi")
+        .withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("id", "family", "bucket", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
+        .join(classes.select("id", "n_shingles", "registers"), "id")
+    )
+    kind = classes.schema["id"].dataType.simpleString()
+
+    def meet(t: pa.Table) -> pa.Table:
+        regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        family = t.column("family").to_numpy()
+        found = joining_pairs(regs, t.column("n_shingles").to_numpy(), family, similarity) if (family != family[0]).any() else []
+        i, j = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
+        ids = t.column("id").combine_chunks()
+        return pa.table({"a": ids.take(i), "b": ids.take(j)})
+
+    found = dealt.groupBy("bucket", "left", "right").applyInArrow(meet, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("likely")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node of the edges (a, b) reaches, without rows for these least ids themselves, by alternating large-star and small-star steps."""
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -285,12 +327,17 @@ def classes_of(rows: DataFrame) -> DataFrame:
 def links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(id, component) of the classes that have a link, but the least of each component."""
     by_hash = F.min_by("id", F.xxhash64("id", "bucket"))
-    groups = staged(band_hashes(classes).groupBy("bucket").agg(F.min("id").alias("least"), by_hash.alias("any"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
+    groups = staged(band_hashes(classes).groupBy("bucket").agg(F.min("id").alias("least"), by_hash.alias("any"), F.count("*").alias("n")).where("n > 1"), "groups")
     full = docs.sparkSession.sparkContext.broadcast(array_of(words_of(groups, F.col("bucket"))))
-    shared = staged(band_hashes(classes, full).join(groups, "bucket").select("id", "least", "any"), "shared")
+    shared = staged(band_hashes(classes, full).join(groups, "bucket").select("id", "bucket", "least", "any", "n"), "shared")
     discard(groups)
     pair = lambda c: shared.where(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")).distinct()
     near = staged(alike(pair("least").union(pair("any")).distinct(), classes, similarity), "pairs")
+    family = components(near)
+    across = staged(bucket_pairs(shared, family.withColumnRenamed("component", "family"), classes, similarity), "across")
+    if not across.isEmpty():
+        near = near.unionByName(across)
+        family = components(near)
     either = staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ids")
     sets = staged(full_sets(either, docs, shingle), "sets")
     stars = near.where("likely")
@@ -301,7 +348,7 @@ def links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     apart = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
     both = staged(first.unionByName(confirm(apart, sets, similarity)), "links")
     discard(shared)
-    known, family = components(both), components(near)
+    known = components(both)
     members = either.join(known, "id", "left").join(family.withColumnRenamed("component", "family"), "id", "left")
     members = staged(members.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family")), "members")
     several = staged(members.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("family", "n"), "families")

@@ -83,6 +83,26 @@ def test_large_groups_go_through_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.dedup(make_docs(spark, rows), shingle=2).collect()} == want
 
 
+@pytest.mark.parametrize("block", [40, 800])
+def test_pair_that_no_leader_of_its_buckets_is_like(spark, monkeypatch, block):
+    """Two near copies of a passage whose bands are all full of larger texts that hold it: 218 of them a band on average."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    copy = rng.integers(1, 60_000, near_dedup.REGISTERS).astype(np.uint16)
+    classes = []
+    for i in range(700):
+        own = rng.integers(1, 60_000, near_dedup.REGISTERS).astype(np.uint16).reshape(near_dedup.BANDS, -1)
+        bands = rng.choice(near_dedup.BANDS, 10, replace=False)
+        own[bands] = copy.reshape(near_dedup.BANDS, -1)[bands]
+        classes.append((i, 300, bytearray(own.tobytes())))
+    classes += [(i, 100, bytearray(copy.tobytes())) for i in (900, 901)]
+    words = prose(8, 100).split()
+    rows = [(i, f"only text {i}", "a") for i in range(700)] + [(900, " ".join(words), "a"), (901, " ".join([*words[:-1], "other"]), "a")]
+    table = spark.createDataFrame(classes, "id long, n_shingles long, registers binary").repartition(4)
+    got = near_dedup.links(table, make_docs(spark, rows), 2, 0.8)
+    assert [tuple(r) for r in got.collect()] == [(901, 900)]
+
+
 def test_one_of_each_keeps_columns(spark, odd_rows):
     docs = make_docs(spark, odd_rows)
     got = near_dedup.one_of_each(docs)
