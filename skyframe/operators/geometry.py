@@ -4,31 +4,39 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def inscribed_rectangle(w: int, h: int, degrees: float) -> tuple[int, int]:
-    """Whole-number size of the largest upright rectangle within a w x h rectangle turned by `degrees`.
+def _largest_upright(w, h, s, c, d) -> list[tuple]:
+    """(condition, width, height) of the largest upright rectangle in a turned one, the first condition that holds counting.
 
-    Where the short side limits both corners the rectangle touches it at its middle; else all four sides are touched.
+    A size (x, y) fits if x*c + y*s <= w and x*s + y*c <= h. The best size under one limit alone halves that limit between
+    both terms; it fits if it meets the other limit, which is so where the sine `d` of the double angle is large enough.
+    Else the best size lies where both limits are met exactly.
     """
-    s, c = abs(math.sin(math.radians(degrees))), abs(math.cos(math.radians(degrees)))
-    half = min(w, h) / 2
-    if min(w, h) <= 2.0 * s * c * max(w, h) or abs(s - c) < 1e-10:
-        return int(half / s), int(half / c)
-    span = c * c - s * s
-    return int((w * c - h * s) / span), int((h * c - w * s) / span)
+    both = c * c - s * s
+    return [
+        (w <= h * d, w / (2.0 * c), w / (2.0 * s)),
+        (h <= w * d, h / (2.0 * s), h / (2.0 * c)),
+        (None, (w * c - h * s) / both, (h * c - w * s) / both),
+    ]
+
+
+def inscribed_rectangle(w: int, h: int, degrees: float) -> tuple[int, int]:
+    """Whole-number size of the largest upright rectangle within a w x h rectangle turned by `degrees`."""
+    t = np.float64(math.radians(degrees))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = _largest_upright(w, h, abs(np.sin(t)), abs(np.cos(t)), abs(np.sin(2 * t)))
+    return next((int(x), int(y)) for holds, x, y in found if holds is None or holds)
 
 
 def inscribed_rectangle_columns(w: Column, h: Column, degrees: Column) -> tuple[Column, Column]:
     """`inscribed_rectangle` as expressions."""
-    s, c = F.abs(F.sin(F.radians(degrees))), F.abs(F.cos(F.radians(degrees)))
-    half = F.least(w, h) / 2
-    limited = (F.least(w, h) <= 2.0 * s * c * F.greatest(w, h)) | (F.abs(s - c) < 1e-10)
-    span = c * c - s * s
-    sides = (half / s, (w * c - h * s) / span), (half / c, (h * c - w * s) / span)
-    return tuple(F.when(limited, a).otherwise(b).cast("int") for a, b in sides)
+    t = F.radians(degrees)
+    first, second, last = _largest_upright(w, h, F.abs(F.sin(t)), F.abs(F.cos(t)), F.abs(F.sin(2 * t)))
+    return tuple(F.when(first[0], first[k]).when(second[0], second[k]).otherwise(last[k]).cast("int") for k in (1, 2))
 
 
 def rotate_points(points: DataFrame, angles: list[float], w: int, h: int, cw: int, ch: int, exact_crop: bool = False) -> DataFrame:

@@ -336,7 +336,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COMPONENTS = (
     "components AS (SELECT l_orderkey AS vec_id, 'S' || (l_linenumber % 3) AS skey, (l_linenumber % 3)::INT AS seg_ord, (l_partkey % 8)::INT AS x, (l_suppkey % 8)::INT AS y, "
-    "row_number() OVER (ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS ord FROM lineitem WHERE l_orderkey < 500)"
+    "row_number() OVER (ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS ord FROM lineitem WHERE l_orderkey IN (SELECT vec_id FROM embeddings))"
 )
 _SEGMENTS = (
     f"{_ISLANDS}, {_COMPONENTS}, keys AS (SELECT DISTINCT vec_id, skey, seg_ord FROM components), "
@@ -501,9 +501,10 @@ def rotate_points(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT DISTINCT p_size * 10 AS w, p_size * 7 + 20 AS h, (p_size % 24) * 15.0::DOUBLE AS angle FROM part), t AS (SELECT *, abs(sin(radians(angle))) AS s, abs(cos(radians(angle))) AS c FROM c), "
-    "u AS (SELECT *, least(w, h) <= 2.0 * s * c * greatest(w, h) OR abs(s - c) < 1e-10 AS lim, c * c - s * s AS d FROM t) "
-    "SELECT w, h, angle, trunc(CASE WHEN lim THEN least(w, h) / 2.0::DOUBLE / s ELSE (w * c - h * s) / d END)::INT AS rw, trunc(CASE WHEN lim THEN least(w, h) / 2.0::DOUBLE / c ELSE (h * c - w * s) / d END)::INT AS rh FROM u"
+    "WITH c AS (SELECT DISTINCT p_size * 10 AS w, p_size * 7 + 20 AS h, (p_size % 24) * 15.0::DOUBLE AS angle FROM part), "
+    "t AS (SELECT *, abs(sin(radians(angle))) AS s, abs(cos(radians(angle))) AS c, abs(sin(2 * radians(angle))) AS d FROM c) "
+    "SELECT w, h, angle, trunc(CASE WHEN w <= h * d THEN w / (2 * c) WHEN h <= w * d THEN h / (2 * s) ELSE (w * c - h * s) / (c * c - s * s) END)::INT AS rw, "
+    "trunc(CASE WHEN w <= h * d THEN w / (2 * s) WHEN h <= w * d THEN h / (2 * c) ELSE (h * c - w * s) / (c * c - s * s) END)::INT AS rh FROM t"
 )
 def rotated_rect(spark, sf_dir):
     sizes = table(spark, sf_dir, "part").select((F.col("p_size") * 10).alias("w"), (F.col("p_size") * 7 + 20).alias("h"), ((F.col("p_size") % 24) * F.lit(15.0)).alias("angle")).distinct()
