@@ -1,15 +1,27 @@
 """HTML main text by consensus host paths.
 
-Each page's containers are scored by the text of their own blocks. Pages vote for their best containers'
-generalised tag-class paths; Spark sums the votes of a host, and every page is extracted again from the
-containers on its host's winning paths, best first, or from its own best container where it has none of them.
+A page is read into units, its sectioning elements and lists, and the text blocks in them. A unit's path is that of
+the tags and classes above it, digits generalised. Each page scores its units by the prose they hold themselves and
+votes for their paths; it also tells Spark, for every path, the share of its prose below it, how much its names hint at
+boilerplate, and a hash of its text. Spark sums this by host:
 
-Boilerplate (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) is left out by element, role, class and id. Character references are decoded, white space
-within a block becomes one space, and blocks are joined by one line feed.
+* Paths with `VOTE_SHARE` of a host's votes win. A page is extracted again from the lowest unit that holds all its
+  units on winning paths, or, where it has none, those that hold `VOTE_SHARE` of its own prose. Ancestors that are an
+  article, or else a main element, or have prose of their own beside it, take its place, as does what is around a
+  section. Units in an article win alone where articles hold `ARTICLE_SHARE` of the votes.
+* Names are a hint only. A unit whose names or tag hint at menus, footers, adverts, comments and the like is left out,
+  unless its path holds the host's prose: half of it where the hint is weak, `MOSTLY` of it where it is strong.
+* A path without any hint is left out if its text recurs from page to page while the text around it doesn't, and it
+  holds little of the prose.
 
-Nulls: a null html is empty text; a null url counts as one host. Repeated rows vote and return each on their own. Empty
-tables give empty results. Extra columns are ignored.
+A path on under `VOTE_SHARE` of a host's pages has no consensus; then the page alone decides by the same rules. So a host
+has at most 1 / VOTE_SHARE winners and verdicts of 1 / VOTE_SHARE times the units of a page.
+
+Scripts, styles, form controls and hidden elements are no text. Character references are decoded, white space within a
+block becomes one space, and blocks are joined by one line feed.
+
+Nulls: a null html is empty text; all null urls are one host. Repeated rows vote and return each on their own. Empty tables
+give empty results. Extra columns are ignored. Very long pages and deep nesting take linear time and memory.
 """
 
 from __future__ import annotations
@@ -17,186 +29,385 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Paths of a host that pages are extracted by, and hosts up to which the table of paths goes to every task.
-PATHS_PER_HOST, BROADCAST_HOSTS = 3, 50_000
+#: Share of a host's votes (or pages) from which a path has a say.
+VOTE_SHARE = 0.05
+#: Share of the votes from which units in an article or main element keep those outside from winning.
+ARTICLE_SHARE = 0.25
+#: Share of the prose from which a path with a strong hint is main text after all, and pages it takes to say so.
+MOSTLY, LEAST_PAGES = 0.8, 3
+#: Hosts up to which the table of paths goes to every task.
+BROADCAST_HOSTS = 50_000
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea select svg math object audio video canvas title".split())
+SWALLOW = frozenset("script style textarea title".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer "
+    "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table "
+    "tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("article body center div main section td".split())
-LEFT_OUT = frozenset("nav aside footer form button dialog menu head fieldset search".split())
+UNITS = frozenset("article aside body center details dialog div dl fieldset figure footer form header main menu nav ol search section table ul".split())
+PROSE = frozenset("p h1 h2 h3 h4 li dd td blockquote pre".split())
 CLOSES_P = BLOCKS - frozenset("html head body caption tbody td tfoot th thead tr".split())
-#: Open elements that a start tag ends, within its own list or table.
-ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
-#: Words in a class, id or role that mark boilerplate.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|footer|header|masthead|menu|nav|navbar|navigation|navlinks?|newsletter|"
-    r"notices?|pagination|pager|popup|modal|promo|promoted|related|recommended|replies|respond|share|sharing|sidebar|side-bar|signup|subscribe|social|sponsor(?:ed)?|toolbar|widget|complementary|contentinfo|search|login|legal|copyright|skip-link)(?:$|[\s_-]|\d)",
-    re.I,
+#: Open elements that a start tag ends: (those, the elements that keep it from reaching further up).
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+}
+SCOPES = [(("p",), ("td", "th", "button", "table")), *dict.fromkeys(ENDS.values())]
+#: Tags that hint at boilerplate, strongly and weakly.
+STRONG, WEAK = 1.0, 0.6
+TAG_HINTS = {
+    **dict.fromkeys("nav aside footer dialog menu head button".split(), STRONG),
+    **dict.fromkeys("form fieldset header search".split(), WEAK),
+}
+#: Words in a class, id or role that hint at boilerplate: strongly as a whole name, weakly as a part of one.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus cookie "
+    "cookies consent footer header masthead menu nav navbar navigation navlink navlinks newsletter notice notices pagination pager "
+    "popup modal promo promoted related recommended replies respond share sharing sidebar signup subscribe social sponsor "
+    "sponsored toolbar widget complementary contentinfo search login legal copyright skip".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Name words that stay a strong hint within longer names.
+ALWAYS = frozenset("comment comments commentlist disqus cookie cookies consent advert advertisement sidebar sponsored newsletter breadcrumbs".split())
+
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 DIGITS = re.compile("[0-9]+")
 SPACE = re.compile(r"\s+")
+WORDS = re.compile("[a-z]+")
+
+
+def hint_of(names: str) -> float:
+    """How much class, id and role names hint at boilerplate."""
+    most = 0.0
+    for name in names.lower().split():
+        words = WORDS.findall(name)
+        if "".join(words) in NAMES or any(w in ALWAYS for w in words):
+            return STRONG
+        if any(w in NAMES for w in words):
+            most = WEAK
+    return most
+
+
+@dataclass
+class Page:
+    """Units (0 is the page) with their parents, path hashes, labels, hints and whether they are in an article, and the blocks (unit, text, weight) in page order."""
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    path: list[int] = field(default_factory=lambda: [0])
+    label: list[str] = field(default_factory=lambda: [""])
+    hint: list[float] = field(default_factory=lambda: [0.0])
+    article: list[bool] = field(default_factory=lambda: [False])
+    blocks: list[tuple[int, str, float]] = field(default_factory=list)
 
+    def add(self, parent: int, tag: str, classes: str, hint: float) -> int:
+        self.article.append(self.article[parent] or tag in ("article", "main"))
+        label = tag + "".join(f".{DIGITS.sub('#', c)}" for c in sorted(classes.split()))
+        self.parent.append(parent)
+        self.path.append(xxhash.xxh64_intdigest(label, self.path[parent]) >> 1)
+        self.label.append(label)
+        self.hint.append(hint)
+        return len(self.parent) - 1
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """(paths of the open containers outwards in, text, is a heading or paragraph) of each block outside boilerplate, in page order."""
-    out: list[tuple[tuple[str, ...], str, bool]] = []
-    stack: list[tuple[str, bool, str | None]] = []  # element, left out, its path if it is a container
+
+@dataclass(slots=True)
+class Open:
+    """An open element: its unit, whether its text is dropped, whether it is prose, in an article, in a link, and the outermost element of each scope."""
+
+    tag: str
+    unit: int
+    hidden: bool
+    prose: bool
+    article: bool
+    link: bool
+    nearest: tuple[int, ...]
+
+
+def parse(page: str) -> Page:
+    out = Page()
+    stack = [Open("", 0, False, False, False, False, (-1,) * len(SCOPES))]
+    opened: dict[str, int] = {}
     piece: list[str] = []
-    hidden, in_article = 0, 0
+    linked = 0
+    lacking: set[str] = set()  # end marks that don't come any more
 
     def end_block() -> None:
+        nonlocal linked
         if piece:
             text = SPACE.sub(" ", entities.unescape("".join(piece))).strip()
             piece.clear()
             if text:
-                prose = any(t in ("p", "h1", "h2", "h3", "li", "blockquote", "pre") for t, _, _ in stack)
-                out.append((tuple(c for _, _, c in stack if c), text, prose))
+                free = max(0, len(text) - linked)
+                out.blocks.append((stack[-1].unit, text, free if stack[-1].prose else free / 4))
+        linked = 0
 
     def close(k: int) -> None:
-        nonlocal hidden, in_article
-        for tag, left_out, _ in stack[k:]:
-            hidden -= left_out
-            in_article -= tag in ("article", "main")
+        for e in stack[k:]:
+            opened[e.tag] -= 1
         del stack[k:]
 
-    at, n = 0, len(page)
+    def after(mark: str, at: int, pattern: re.Pattern | None = None) -> int:
+        """Where the text after the next `mark` begins, or -1."""
+        if mark in lacking:
+            return -1
+        if pattern:
+            m = pattern.search(page, at)
+            e = m.end() if m else -1
+        else:
+            e = page.find(mark, at)
+            e += len(mark) if e >= 0 else 0
+        if e < 0:
+            lacking.add(mark)
+        return e
+
+    def text(a: int, b: int) -> None:
+        nonlocal linked
+        if b > a and not stack[-1].hidden:
+            piece.append(page[a:b])
+            linked += (b - a) * stack[-1].link
+
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = TAG.search(page, at)
-        stop = m.start() if m else n
-        if stop > at and not hidden:
-            piece.append(page[at:stop])
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0 or (lt > last and not page.startswith("<!--", lt)):
+            text(at, n)
             break
-        at = m.end()
-        if m.group(1) is not None and not hidden:
-            piece.append(m.group(1).replace("&", "&amp;"))
-        tag = (m.group(3) or "").lower()
-        if not tag:
+        text(at, lt)
+        head = page[lt + 1 : lt + 2]
+        if head in ("!", "?"):
+            if page.startswith("<!--", lt):
+                e = after("-->", lt + 4)
+                at = e if e >= 0 else n
+            elif page.startswith("<![CDATA[", lt) and (e := after("]]>", lt + 9)) >= 0:
+                if not stack[-1].hidden:
+                    piece.append(page[lt + 9 : e - 3].replace("&", "&amp;"))
+                at = e
+            else:
+                e = after(">", lt)
+                at = e if e >= 0 else n
             continue
-        if m.group(2):
-            if tag in BLOCKS or any(t == tag for t, _, _ in stack):
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if k is not None:
-                    if tag in BLOCKS:
-                        end_block()
-                    close(k)
+        m = TAG.match(page, lt)
+        if not m:
+            text(lt, lt + 1)
+            at = lt + 1
+            continue
+        at = m.end()
+        tag, rest = m.group(2).lower(), m.group(3)
+        if m.group(1):
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                if tag in BLOCKS:
+                    end_block()
+                close(k)
             continue
         if tag in RAW:
-            if not m.group(4).endswith("/"):
-                e = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = e.end() if e else (n if tag in ("script", "style", "textarea", "title") else at)
+            if not rest.endswith("/"):
+                e = after(f"</{tag}", at, re.compile(rf"</{re.escape(tag)}\s*>", re.I))
+                at = e if e >= 0 else (n if tag in SWALLOW else at)
             continue
-        if tag == "br" or tag == "hr":
-            if not hidden:
-                piece.append(" ")
+        if tag in ("br", "hr") and not stack[-1].hidden:
+            piece.append(" ")
         block = tag in BLOCKS
         if block:
             end_block()
         if tag in VOID:
             continue
-        if tag in CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if k is not None and not any(t in ("td", "th", "button", "table") for t, _, _ in stack[k:]):
-                close(k)
-        if tag in ENDS:
-            ended, limits = ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in limits:
-                    break
-                if stack[i][0] in ended.split():
-                    close(i)
-                    break
-        named, gone = "", False
-        if m.group(4):
-            got = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(m.group(4))}
-            named = got.get("class", "")
-            gone = tag not in ("html", "body", "article", "main") and bool(NAMES.search(named) or NAMES.search(got.get("id", "")) or NAMES.search(got.get("role", "")))
-            gone |= "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
-            gone |= tag == "article" and "comment" in named.lower()
-        gone |= tag in LEFT_OUT or (tag == "header" and not in_article)
-        if block or gone or tag in ("a", "span"):
-            path = None
-            if tag in CONTAINERS:
-                above = next((c for _, _, c in reversed(stack) if c), "")
-                path = f"{above}/{tag}" + "".join(f".{DIGITS.sub('#', c)}" for c in sorted(named.split()))
-            stack.append((tag, gone, path))
-            hidden += gone
-            in_article += tag in ("article", "main")
+        if tag in CLOSES_P and stack[-1].nearest[0] >= 0:
+            close(stack[-1].nearest[0])
+        if tag in ENDS and (k := stack[-1].nearest[SCOPES.index(ENDS[tag])]) >= 0:
+            close(k)
+        classes, hint, hidden = "", 0.0, False
+        if rest:
+            got = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(rest)}
+            classes = got.get("class", "")
+            hint = hint_of(f"{classes} {got.get('id', '')} {got.get('role', '')}")
+            hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
+        if not (block or tag in ("a", "span", "button")):
+            continue
+        above = stack[-1]
+        if tag in ("html", "body", "article", "main"):
+            hint = STRONG if hint == STRONG and tag == "article" and "comment" in classes.lower() else 0.0
+        hint = max(hint, 0.0 if tag == "header" and above.article else TAG_HINTS.get(tag, 0.0))
+        hidden |= tag in ("button", "head") or (tag == "a" and hint > 0)
+        unit = out.add(above.unit, tag, classes, hint) if tag in UNITS or (block and hint > 0) else above.unit
+        k = len(stack)
+        nearest = tuple((before if before >= 0 else k) if tag in ended else -1 if tag in limits else before for (ended, limits), before in zip(SCOPES, above.nearest, strict=True))
+        stack.append(Open(tag, unit, above.hidden or hidden, above.prose or tag in PROSE, above.article or tag in ("article", "main"), above.link or tag == "a", nearest))
+        opened[tag] = opened.get(tag, 0) + 1
     end_block()
     return out
 
 
-def scores(found: list[tuple[tuple[str, ...], str, bool]]) -> dict[str, float]:
-    """Text of a container's own blocks, half of that of the next one inside, more where it is an article or main."""
-    score: dict[str, float] = {}
-    for paths, text, prose in found:
-        weight = len(text) if prose else len(text) / 4
-        for path in reversed(paths[-2:]):
-            last = path.rpartition("/")[2].partition(".")[0]
-            score[path] = score.get(path, 0.0) + weight * (1.5 if last in ("article", "main") else 1.0)
-            weight /= 2
-    return score
+@dataclass
+class Measures:
+    """Of each unit: the share of the page's prose it holds itself and in all, and a hash of all its text."""
+
+    own: list[float]
+    share: list[float]
+    text: list[int]
+
 
+def measure(p: Page) -> Measures:
+    n = len(p.parent)
+    own, text = [0.0] * n, [0] * n
+    for unit, t, weight in p.blocks:
+        own[unit] += weight
+        text[unit] += xxhash.xxh64_intdigest(t)
+    share = list(own)
+    for u in range(n - 1, 0, -1):
+        share[p.parent[u]] += share[u]
+        text[p.parent[u]] += text[u]
+    total = share[0] or 1.0
+    return Measures([x / total for x in own], [x / total for x in share], [t & (2**63 - 1) for t in text])
 
-def text_at(found: list[tuple[tuple[str, ...], str, bool]], paths: list[str]) -> str:
-    """Text of the blocks under the first of `paths` that has any; else under the page's best container; else of all blocks."""
-    own = scores(found)
-    for path in [*paths, *sorted(own, key=lambda p: (-own[p], p))[:1]]:
-        got = [text for at, text, _ in found if path in at]
-        if got:
-            return "\n".join(got)
-    return "\n".join(text for _, text, _ in found)
+
+def dropped_alone(hint: float, share: float) -> bool:
+    """What one page says of a unit: it is left out if its names hint at it, unless the hint is weak and it holds half of the prose."""
+    return hint >= STRONG or (hint >= WEAK and share < 0.5)
+
+
+def text_of(p: Page, winners: frozenset[int] = frozenset(), verdicts: dict[int, bool] | None = None) -> str:
+    """The page's main text by the host's winning paths and its verdicts (path: left out or not)."""
+    m, n = measure(p), len(p.parent)
+    verdicts = verdicts or {}
+    gone, depth = [False] * n, [0] * n
+    for u in range(1, n):
+        up = p.parent[u]
+        depth[u] = depth[up] + 1
+        gone[u] = gone[up] or (verdicts[p.path[u]] if p.path[u] in verdicts else dropped_alone(p.hint[u], m.share[u]))
+    held = [u for u in range(n) if m.own[u] > 0 and not gone[u]]
+    left = sum(m.own[u] for u in held)
+    chosen = [u for u in held if p.path[u] in winners]
+    if not chosen:
+        chosen = [u for u in held if m.own[u] >= VOTE_SHARE * left]
+        if sum(m.own[u] for u in held if p.article[u]) >= ARTICLE_SHARE * left:
+            chosen = [u for u in chosen if p.article[u]]
+    if not chosen:
+        chosen = [u for u, _, _ in p.blocks if not gone[u]]
+        if not chosen:
+            return ""
+    top = chosen[0]
+    for u in chosen[1:]:
+        while u != top:
+            if depth[u] >= depth[top]:
+                u = p.parent[u]
+            else:
+                top = p.parent[top]
+    above, u = [], top
+    while u:
+        u = p.parent[u]
+        above.append(u)
+    tag = lambda x: p.label[x].partition(".")[0]
+    line = [top, *above]
+    named = next((x for x in line if tag(x) == "article"), None) or next((x for x in line if tag(x) == "main"), None)
+    beside = next((x for x in reversed(above) if m.own[x] > 0 and tag(x) not in ("body", "")), top)
+    top = min((x for x in (top, named, beside) if x is not None), key=lambda x: depth[x])
+    while tag(top) == "section" and tag(p.parent[top]) not in ("body", ""):  # a section is a part of what is around it
+        top = p.parent[top]
+    inside = [False] * n
+    for u in range(top, n):
+        inside[u] = not gone[u] and (u == top or (u > 0 and inside[p.parent[u]]))
+    return "\n".join(t for u, t, _ in p.blocks if inside[u])
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1))
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, share) of the three best containers of each page, shares of one page adding up to 1 at most."""
+TOLD = "host string, path long, text long, parent long, label string, article boolean, pages long, votes double, share double, hint double"
+
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def told(pages: DataFrame) -> DataFrame:
+    """What the pages tell of each (host, path, text), summed per batch; path 0 counts the pages."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, list, list] = ([], [], [])
+            rows: dict[tuple, list] = {}
             for h, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                own = scores(blocks(page.as_py() or ""))
-                total = sum(own.values())
-                for path in sorted(own, key=lambda p: (-own[p], p))[:3]:
-                    for to, v in zip(rows, (h, path, own[path] / total), strict=True):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.string(), pa.string(), pa.float64()), strict=True)], ["host", "path", "share"])
+                p = parse(page.as_py() or "")
+                m = measure(p)
+                mine: dict[int, list] = {}
+                for u in range(len(p.parent)):
+                    out = dropped_alone(p.hint[u], m.share[u])
+                    got = mine.setdefault(p.path[u], [0, p.path[p.parent[u]], p.label[u], p.article[u], 0.0, 0.0, 0.0])
+                    got[0] += m.text[u]
+                    got[4] += 0.0 if out else m.own[u]
+                    got[5] += m.share[u]
+                    got[6] = max(got[6], p.hint[u])
+                for path, (text, parent, label, article, votes, share, hint) in mine.items():
+                    got = rows.setdefault((h, path, text & (2**63 - 1)), [parent, label, article, 0, 0.0, 0.0, 0.0])
+                    for k, v in enumerate((1, votes, min(share, 1.0), hint), 3):
+                        got[k] += v
+            cols = list(zip(*((*k, *v) for k, v in rows.items()), strict=True)) or [()] * 10
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in TOLD.split(", ")])
+
+    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(tell, TOLD)
+
 
-    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, share double")
+def path_votes(pages: DataFrame) -> DataFrame:
+    """(host, path, parent, label, article, pages, votes, share, hint, recurring): sums, means, and the share of pages whose text at the path another page has too."""
+    by_text = told(pages).groupBy("host", "path", "text").agg(
+        F.min("parent").alias("parent"), F.min("label").alias("label"), F.max("article").alias("article"), *(F.sum(c).alias(c) for c in ("pages", "votes", "share", "hint"))
+    )
+    mean = lambda c: F.sum(c) / F.sum("pages")
+    return by_text.groupBy("host", "path").agg(
+        F.min("parent").alias("parent"), F.min("label").alias("label"), F.max("article").alias("article"), F.sum("pages").alias("pages"), F.sum("votes").alias("votes"),
+        mean("share").alias("share"), mean("hint").alias("hint"), mean(F.when(F.col("pages") > 1, F.col("pages")).otherwise(0)).alias("recurring"),
+    )
 
 
-def host_paths(pages: DataFrame, most: int = PATHS_PER_HOST) -> DataFrame:
-    """(host, paths): paths by their votes, of at least a twentieth of the best one's."""
-    by_path = votes(pages).groupBy("host", "path").agg(F.sum("share").alias("votes"))
-    ranked = by_path.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.round("votes", 6).alias("votes"), "path")), asc=False), 1, most).alias("top"))
-    return ranked.select("host", F.transform(F.filter("top", lambda t: t["votes"] * 20 >= F.get("top", F.lit(0))["votes"]), lambda t: t["path"]).alias("paths"))
+def host_paths(pages: DataFrame, vote_share: float = VOTE_SHARE) -> DataFrame:
+    """(host, winners, left_out, kept): path hashes. Sums are rounded, so that the order of adding doesn't count."""
+    paths = path_votes(pages).withColumns({c: F.round(c, 6) for c in ("votes", "share", "hint", "recurring")})
+    whole = paths.groupBy("host").agg(
+        F.max(F.when(F.col("path") == 0, F.col("pages"))).alias("of"),
+        (F.sum(F.when(F.col("article"), F.col("votes")).otherwise(0)) >= ARTICLE_SHARE * F.sum("votes")).alias("articles"),
+    )
+    around = paths.select("host", F.col("path").alias("parent"), F.col("recurring").alias("around"))
+    known = paths.where("path <> 0").join(whole, "host").join(around, ["host", "parent"], "left").where(F.col("pages") >= vote_share * F.col("of"))
+    strong = (F.col("hint") >= (STRONG + WEAK) / 2) & ~((F.col("share") >= MOSTLY) & (F.col("pages") >= LEAST_PAGES))
+    weak = (F.col("hint") >= WEAK / 2) & (F.col("share") < 0.5)
+    again = (F.col("pages") >= LEAST_PAGES) & (F.col("recurring") - F.col("around") >= 0.5) & (F.col("share") < 0.2)
+    judged = known.select("host", "path", "hint", ((F.col("votes") >= vote_share * F.col("of")) & (F.col("article") | ~F.col("articles"))).alias("wins"), (strong | weak | again).alias("out"))
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("path"))))
+    return (
+        judged.where("wins OR out OR hint > 0").groupBy("host")
+        .agg(listed(F.col("wins") & ~F.col("out")).alias("winners"), listed(F.col("out")).alias("left_out"), listed(~F.col("out") & (F.col("hint") > 0)).alias("kept"))
+    )
 
 
-def extract(pages: DataFrame, paths: DataFrame) -> DataFrame:
-    """Per row: page_id, url, text, n_chars."""
+def extract(pages: DataFrame, paths: DataFrame | None) -> DataFrame:
+    """Per row: page_id, url, text, n_chars. Without `paths` every page decides alone."""
+    lists = ["winners", "left_out", "kept"]
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_at(blocks(page.as_py() or ""), own or []) for page, own in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            texts = []
+            for page, won, out, kept in zip(batch.column("html"), *(batch.column(c).to_pylist() for c in lists), strict=True):
+                verdicts = dict.fromkeys(out or [], True) | dict.fromkeys(kept or [], False)
+                texts.append(text_of(parse(page.as_py() or ""), frozenset(won or []), verdicts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"],
+            )
 
-    few = paths.count() <= BROADCAST_HOSTS
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", "html", "paths")
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    if paths is None:
+        rows = rows.withColumns({c: F.expr("cast(NULL AS array<bigint>)") for c in lists})
+    else:
+        few = paths.count() <= BROADCAST_HOSTS
+        rows = rows.join(F.broadcast(paths) if few else paths, "host", "left")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return rows.mapInArrow(again, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return rows.select("page_id", "url", "html", *lists).mapInArrow(again, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

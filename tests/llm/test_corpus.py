@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -326,12 +327,70 @@ def test_pages(spark, none):
     assert len(got) == len(rows) and all(by[i].text == TEXT and by[i].n_chars == len(TEXT) for i in range(6))
     assert [by[i].text for i in (10, 11, 12, 20)] == ["", "", "plain text", "Long enough text of the page.\ntail"]
     assert by[21].n_chars == 399_999
-    paths = html_text.host_paths(pages).where("host = 'h0.example.com'").first().paths
-    assert paths[0] == "/body/div.content-#/article.p#.post"
+    votes = {r.label: r for r in html_text.path_votes(pages).where("host = 'h0.example.com'").collect()}
+    assert votes["article.p#.post"].pages == 3 and votes["section.comments"].share > 0.4 and votes["div.cookie-notice"].recurring == 1
+    chosen = html_text.host_paths(pages).where("host = 'h0.example.com'").first()
+    assert chosen.winners == [votes["article.p#.post"].path] and votes["section.comments"].path in chosen.left_out
     empty = pages.limit(0)
     assert html_text.extract(empty, html_text.host_paths(empty)).count() == 0
 
 
+LOST = [
+    ('<div class="search-results-content"><p>A story.</p><p>More of it.</p></div>', "A story.\nMore of it."),
+    ('<div class="post"><div class="legal-news"><p>The court said so.</p></div></div>', "The court said so."),
+    ("<nav><a>x</a></nav><form><article><h1>Head</h1><p>In a form.</p></article><button>Send</button></form>", "Head\nIn a form."),
+    ("<div><p>Before the table</p><table><tr><td>one<td>two<tr><td>three</table></div>", "Before the table\none\ntwo\nthree"),
+    ("<article><h1>Head</h1><p>lead</p><div class=body>" + "<p>long text</p>" * 40 + "</div></article>", "\n".join(["Head", "lead", *["long text"] * 40])),
+    ("<div><section class=intro><p>a</p></section><section class=body><p>" + "b " * 400 + "</p></section><section class=end><p>c</p></section></div>", None),
+]
+
+
+@pytest.mark.parametrize("page, text", LOST)
+def test_main_text_stays(page, text):
+    assert html_text.text_of(html_text.parse(page)) == (text or "a\n" + ("b " * 400).strip() + "\nc")
+
+
+def test_odd_pages_take_linear_time():
+    odd = ["<a " * 200_000, "<div>" * 100_000 + "x", "<ul><li>" * 50_000 + "x", "<p><table><td>" * 30_000, "<svg>" * 100_000, "<![CDATA[" * 100_000 + ">", "<!--" * 100_000, '<a x="' * 100_001 + ">", "<div>" * 50_000 + "</b>" * 50_000]
+    began = time.perf_counter()
+    for page in odd:
+        html_text.text_of(html_text.parse(page))
+    assert time.perf_counter() - began < 40
+
+
+def hosts_of_pages():
+    """(url, html, main text) of pages of made-up hosts, each with a template of its own; no name hints at anything but where it misleads."""
+    rng = random.Random(12)
+    line = lambda n: " ".join(rng.choice("ka lo mi te su ra vo ne".split()) + str(rng.randrange(10**6)) for _ in range(n))
+    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    for n in range(12):
+        main, readers, teaser = [line(rng.choice([3, 60])) for _ in range(3)], [line(60) for _ in range(rng.choice([1, 5]))], line(6)
+        for k, (html, text) in enumerate([
+            # readers' posts under a name that says nothing, longer than the text on some pages: they differ, but stay outside the article
+            (f"<article><h1>{teaser}</h1>{p(main)}</article><div class=q7>{p(readers)}</div>", [teaser, *main]),
+            # a notice under a name that says nothing, the same on every page, inside the text's own container
+            (f"<div class=m1><div class=z{n}><p>We keep records of visits to improve this place.</p></div>{p(main)}</div>", main),
+            # a misleading name on the text, and a real menu
+            (f"<div class=menu><ul><li><a>{teaser}</a></li></ul></div><div class=share-stories>{p(main)}</div>", main),
+            # the text in two sections of different weight, with a heading beside them
+            (f"<main><h1>{teaser}</h1><section class=s1>{p(main)}</section><section class=s2>{p(readers)}</section></main><footer>{p([line(5)])}</footer>", [teaser, *main, *readers]),
+            # a strong name that holds nearly all of the text on every page
+            (f"<div class=login><a>{teaser}</a></div><div class=notice>{p(main)}</div>", main),
+        ]):
+            yield f"https://host{k}.example.org/{n}", f"<html><body><nav><a>{line(4)}</a></nav>{html}</body></html>", "\n".join(text)
+
+
+def test_hosts_decide_by_votes(spark):
+    made = list(hosts_of_pages())
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(made)], "page_id long, url string, html string")
+    want = {i: t for i, (_, _, t) in enumerate(made)}
+    got = {r.page_id: r.text for r in html_text.extract(pages, html_text.host_paths(pages)).collect()}
+    assert got == want
+    alone = {r.page_id: r.text for r in html_text.extract(pages, None).collect()}
+    wrong = {made[i][0].split("/")[2] for i in want if alone[i] != want[i]}
+    assert {"host1.example.org", "host4.example.org"} <= wrong  # without votes a page can't tell
+
+
 # --- pipeline
 
 
