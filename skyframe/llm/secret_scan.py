@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found by pattern in each whole text. Their hashes are counted by distinct repositories and
-distinct owners over the corpus: a value with at least `WIDE_OWNERS` owners is a widely copied example, a
-rarer live-looking value is an owner's own credential. Base spans always stay; the method adds spans of
+distinct owners over the corpus: a value with at least `WIDE_OWNERS` owners or `WIDE_REPOSITORIES` repositories is a
+widely copied example, a rarer live-looking value is an owner's own credential. Base spans always stay; the method adds spans of
 kind `live` for long mixed tokens outside them that belong to few owners.
 
 Counting is by (hash, owner, repository), then (hash, owner), then hash, each with a partial sum before its
@@ -27,8 +27,8 @@ HEX = "[0-9a-f]{24,}"
 #: Tokens that may be credentials without a keyword.
 LONG = "[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "live")
-#: A value with this many owners is a copied example.
-WIDE_OWNERS = 4
+#: A value with this many owners, or in this many repositories of however few owners, is a copied example.
+WIDE_OWNERS, WIDE_REPOSITORIES = 4, 100
 MASK = "[SECRET]"
 
 _SPAN = "struct<start:int,rank:int,end:int,value:bigint>"
@@ -93,14 +93,24 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live (owner-specific values), n_copied (widely copied ones)."""
+def is_wide(wide_owners: int, wide_repositories: int) -> Column:
+    return (F.col("owners") >= wide_owners) | (F.col("repositories") >= wide_repositories)
+
+
+def scan(
+    docs: DataFrame, owner: str = "source", repository: str = "doc_id", wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES
+) -> DataFrame:
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live (owner-specific values), n_copied (widely copied ones).
+
+    most_owners and most_repositories are those of the row's most copied value, 0 without values.
+    """
     marked = staged(candidates(docs, owner, repository, ["doc_id"]).withColumn("row", F.monotonically_increasing_id()), "secrets")
     values = marked.select("row", F.explode(F.concat("base", "extra")).alias("span")).withColumn("value", F.col("span.value"))
     verdicts = (
         values.join(ownership(marked).withColumnRenamed("value", "of"), F.col("value") == F.col("of"))
-        .withColumn("wide", F.col("owners") >= wide_owners)
+        .withColumn("wide", is_wide(wide_owners, wide_repositories))
         .groupBy("row").agg(
+            F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"),
             F.collect_list(F.when((F.col("span.rank") == 3) & ~F.col("wide"), F.col("span"))).alias("live"),
             F.count(F.when(~F.col("wide"), 1)).alias("n_live"), F.count(F.when(F.col("wide"), 1)).alias("n_copied"),
         )
@@ -111,6 +121,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", wid
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("base", F.coalesce("live", none)))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("most_owners", F.lit(0)).alias("most_owners"), F.coalesce("most_repositories", F.lit(0)).alias("most_repositories"),
     )
 
 
@@ -130,14 +141,20 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.array_join(parts, MASK)).otherwise(text)
 
 
-def mask_documents(docs: DataFrame, owner: str = "source", repository: str = "doc_id", wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """The documents with all base spans and all owner-specific `live` spans masked and n_chars brought up to date."""
-    found = candidates(docs, owner, repository, [F.struct(*docs.columns).alias("_row")])
-    known = ownership(candidates(docs, owner, repository))
+def mask_documents(
+    docs: DataFrame, owner: str = "source", repository: str = "doc_id", wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES
+) -> DataFrame:
+    """The documents with all base spans and all owner-specific `live` spans masked and n_chars brought up to date.
+
+    Texts are scanned once: rows and their spans are written, and what is counted and joined reads the spans alone.
+    """
+    row = [F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("n")]
+    found = staged(candidates(docs, owner, repository, row), "masks")
+    known = ownership(found)
     plain = found.where(F.size("extra") == 0).select("_row", F.col("base").alias("spans"))
-    open_ = found.where(F.size("extra") > 0).withColumn("n", F.monotonically_increasing_id())
+    open_ = found.where(F.size("extra") > 0)
     live = (
-        open_.select("n", F.explode("extra").alias("span")).join(known.where(F.col("owners") < wide_owners), F.col("span.value") == F.col("value"), "left_semi")
+        open_.select("n", F.explode("extra").alias("span")).join(known.where(~is_wide(wide_owners, wide_repositories)), F.col("span.value") == F.col("value"), "left_semi")
         .groupBy("n").agg(F.collect_list("span").alias("live"))
     )
     settled = open_.join(live, "n", "left").select("_row", F.when(F.col("live").isNull(), F.col("base")).otherwise(F.concat("base", "live")).alias("spans"))
@@ -169,14 +186,18 @@ x AS (
     AND len(list_distinct(string_split(m, ''))) >= 10
     AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = v.doc_id AND b.s < v.e AND v.s < b.e)),
 c AS (SELECT * FROM b UNION ALL SELECT * FROM x),
-o AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners FROM c JOIN d USING (doc_id) GROUP BY value),
+o AS (
+  SELECT value, sum(repositories)::BIGINT AS repositories, count(*) AS owners
+  FROM (SELECT value, coalesce('=' || source, '') AS owner, count(DISTINCT doc_id) AS repositories FROM c JOIN d USING (doc_id) GROUP BY ALL) GROUP BY value),
 a AS (
   SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3), '') AS base,
-    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3 OR owners < 4), '') AS spans,
-    count(*) FILTER (owners < 4) AS n_live, count(*) FILTER (owners >= 4) AS n_copied
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3 OR (owners < 4 AND repositories < 100)), '') AS spans,
+    count(*) FILTER (owners < 4 AND repositories < 100) AS n_live, count(*) FILTER (owners >= 4 OR repositories >= 100) AS n_copied,
+    max(owners) AS most_owners, max(repositories) AS most_repositories
   FROM c JOIN o USING (value) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+  coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repositories, 0)::BIGINT AS most_repositories
 FROM d LEFT JOIN a USING (doc_id)
 """

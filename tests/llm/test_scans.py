@@ -58,6 +58,14 @@ def test_masking_keeps_all_rows_and_columns(spark, odd_rows, none):
     assert secret_scan.mask_documents(none).count() == 0 and secret_scan.scan(none).count() == 0
 
 
+def test_values_of_many_repositories_are_copied(spark):
+    rows = [(i, f"see Zx81Qw72Er63Ty54Ui45Op{'' if i < 6 else i} now", "hot") for i in range(9)]
+    got = {r.doc_id: r for r in secret_scan.scan(make_docs(spark, rows), wide_repositories=6).collect()}
+    assert [(got[i].spans != "", got[i].n_live, got[i].n_copied, got[i].most_owners, got[i].most_repositories) for i in (0, 8)] == [(False, 0, 1, 1, 6), (True, 1, 0, 1, 1)]
+    masked = {r.doc_id: r.text for r in secret_scan.mask_documents(make_docs(spark, rows), wide_repositories=6).collect()}
+    assert masked[0] == rows[0][1] and masked[8] == "see [SECRET] now"
+
+
 def test_secret_sql_twin(spark, duck, same):
     sf = f"{DATA}/sf0.001"
     same(queries.op1_secrets(spark, sf).toPandas(), duck.execute(queries.ORACLES["op1_secrets"]).df())
