@@ -76,7 +76,7 @@ def shifted(found: Column, by: Column) -> Column:
 
 def printed(found: Column) -> Column:
     """place.hash of each anchor in hexadecimal, comma-joined."""
-    return F.array_join(F.transform(found, lambda a: F.lower(F.concat(F.hex(a["at"]), F.lit("."), F.lpad(F.hex(a["hash"]), 16, "0")))), ",")
+    return F.lower(F.array_join(F.transform(found, lambda a: F.concat(F.hex(a["at"]), F.lit("."), F.hex(a["hash"]))), ","))
 
 
 def links(found: Column) -> Column:
@@ -121,7 +121,9 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
     along = Window.partitionBy("_cut").orderBy("_copy", F.col("_key").desc(), "text")
     seen = (
-        in_cuts(rows, "_key").withColumn("next_text", F.lead("text").over(along)).withColumn("own", anchors(F.col("text"))).withColumn("next", F.lead("own").over(along))
+        in_cuts(rows, "_key").withColumn("next_text", F.lead("text").over(along)).withColumn("found", anchors(F.col("text")))
+        .withColumn("own", complete(F.col("found"), F.col("text"))).withColumn("own_links", links(F.col("own")))
+        .withColumns({"next": F.lead("found").over(along), "next_links": F.lead("own_links").over(along)})
         .where("NOT _copy").withColumn("n", F.char_length("text")).withColumn("half", F.floor(F.col("n") / 2).cast("int"))
     )
     cut = F.col("n") - F.col("half")
@@ -131,14 +133,14 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     )
     across = anchors(F.substring(F.col("edited"), F.col("border") + 1, cut - F.col("border") + (K - 1)))
     parts = F.concat(
-        F.filter("own", lambda a: a["at"] + K <= cut), shifted(across, F.col("border")),
+        F.filter("found", lambda a: a["at"] + K <= cut), shifted(across, F.col("border")),
         shifted(F.filter("next", lambda a: a["at"] + K <= F.char_length("tail")), cut),
     )
     return (
-        seen.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), complete(F.col("own"), F.col("text")).alias("own"), complete(parts, F.col("edited")).alias("changed"), complete(F.col("next"), F.col("next_text")).alias("next"))
-        .select("*", links(F.col("own")).alias("own_links"), links(F.col("changed")).alias("changed_links"), links(F.col("next")).alias("next_links"))
+        seen.withColumn("parts", parts).withColumn("changed", complete(F.col("parts"), F.col("edited"))).withColumn("changed_links", links(F.col("changed")))
         .select(
-            "doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("changed")).alias("edited_fingerprint"),
+            "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+            printed(F.col("own")).alias("fingerprint"), printed(F.col("changed")).alias("edited_fingerprint"),
             likeness(F.col("own_links"), F.col("changed_links")).alias("near_edited"), likeness(F.col("own_links"), F.col("next_links")).alias("near_next"),
         )
     )

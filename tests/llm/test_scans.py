@@ -154,7 +154,7 @@ def test_fingerprints_equal_brute_force(spark, odd_rows, none):
     rows = [r for r in odd_rows if r[0] != 8] + [(8, odd_rows[7][1], "a"), (20, "😀é漢" * 90 + "end", "a"), (21, "x" * 35, "a"), (22, "y" * 36, "a"), (23, "line\nline\r\u2028 " * 20, "a")]
     got = {r.doc_id: r for r in fingerprints.fingerprint(make_docs(spark, rows)).collect()}
     ids = sorted((r for r in rows), key=lambda r: -(r[0] if r[0] is not None else -1))
-    shown = lambda a: ",".join(f"{i:x}.{h & (2**64 - 1):016x}" for i, h in a)
+    shown = lambda a: ",".join(f"{i:x}.{h & (2**64 - 1):x}" for i, h in a)
     for k, (i, t, _) in enumerate(ids):
         t, after = t or "", ids[(k + 1) % len(ids)][1] or ""
         half = len(t) // 2
