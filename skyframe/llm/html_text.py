@@ -36,6 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: Share of a host's votes (or pages) from which a path has a say.
 VOTE_SHARE = 0.05
 #: Share of the votes from which units in an article or main element keep those outside from winning.
@@ -370,7 +372,7 @@ def path_votes(pages: DataFrame) -> DataFrame:
 
 def host_paths(pages: DataFrame, vote_share: float = VOTE_SHARE) -> DataFrame:
     """(host, winners, left_out, kept): path hashes. Sums are rounded, so that the order of adding doesn't count."""
-    paths = path_votes(pages).withColumns({c: F.round(c, 6) for c in ("votes", "share", "hint", "recurring")})
+    paths = staged(path_votes(pages), "votes").withColumns({c: F.round(c, 6) for c in ("votes", "share", "hint", "recurring")})
     whole = paths.groupBy("host").agg(
         F.max(F.when(F.col("path") == 0, F.col("pages"))).alias("of"),
         (F.sum(F.when(F.col("article"), F.col("votes")).otherwise(0)) >= ARTICLE_SHARE * F.sum("votes")).alias("articles"),
