@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
+import time
 
+import numpy as np
 import xxhash
 
 from skyframe.llm import fingerprints, licenses, personal_data, queries, secret_scan
@@ -130,6 +133,39 @@ def test_licenses_equal_brute_force(spark, odd_rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def contact_rows(n: int):
+    rng = random.Random(9)
+    number = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    for i in range(n):
+        card = next(c for c in iter(lambda: number(16), None) if personal_data.luhn(c))
+        yield (i, f"{prose(i, 30)} in {rng.randrange(1900, 2030)} mail ann.b{i}@ex{i}.example.org ring +1 ({number(3)}) {number(3)}-{number(4)} so {card} at 10.{i % 250}.3.4 and {number(5)} more", "a")
+
+
+def test_field_finds_what_patterns_miss(spark):
+    field = personal_data.fit(make_docs(spark, list(contact_rows(200)), False))
+    found = lambda t: [(personal_data.KINDS[k], t[s:e]) for k, s, e in sorted(set(personal_data.spans_of([t], field)[0][1]) - set(personal_data.spans_of([t], field)[0][0]))]
+    for want, text in [
+        (("email", "bob(at)example[dot]com"), "write to bob(at)example[dot]com today"), (("ip", "10[.]2[.]3[.]4"), "the host 10[.]2[.]3[.]4 is up"),
+        (("card", "4111.1111.1111.1111"), "pay by card 4111.1111.1111.1111 now"), (("phone", "578 555 6437"), "phone 578 555 6437 now"),
+    ]:
+        assert found(text) == [want], text
+    # a later mention is found by its likeness to a known one, however far away, and not alone
+    later = "x " * 3000 + "then 44 20 7946 0958 again"
+    assert found("a +44 20 7946 0958 b " + later) == [("phone", "44 20 7946 0958")] and found(later) == [] == found("a +44 31 2222 3333 b " + later)
+    for plain in ("in 2020 12 31 we had 1500 items", "page 3.14 of 12", "see 4111.1111.1111.1112 there", "v1.2.3 and 20 30 40"):
+        assert found(plain) == []
+
+
+def test_odd_private_texts_take_linear_time():
+    field = personal_data.Field(np.zeros((34, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+    n = len(personal_data.nodes_of("a1").features[0])
+    field.unary = np.zeros((n, 5))
+    began = time.perf_counter()
+    for text in ("1" * 10**6, "1." * 300_000, "a@" * 200_000, "1.2.3.4 " * 20_000, "(" * 500_000 + "1", "12 " * 50_000):
+        personal_data.spans_of([text], field)
+    assert time.perf_counter() - began < 60
+
+
 def spark_hash(*values) -> int:
     """xxhash64 of strings, (8-byte) numbers and one-tuples of 4-byte numbers, each the seed of the next."""
     h = 42
