@@ -3,15 +3,15 @@
 A document's set is its distinct word shingles. Each of M registers keeps the truncated, exponentially spaced
 minimum of the set's hashes: floor(-log_b of the least exponential variate), so registers of a union are the
 larger of both. Equal sets are one class, told by a hash of the whole sorted set. Classes are banded on
-`BAND` registers; pairs that meet in a band are kept if the likelihood of their joint registers allows the wanted
-similarity, and confirmed on the full sets.
+`BAND` registers; pairs that meet in a band are kept if the joint likelihood of their larger, smaller and equal registers
+allows the wanted similarity, and confirmed on the full sets.
 
 Pairs are formed without a product within a group. First every class meets the least member of each of its
 band groups, then, where they aren't in one component yet, a member chosen by hash; confirmed links are joined to
 components. The pairs that are alike at all (`ALIKE`) join classes to families. Band groups that hold several families
 are compared whole, registers against registers in blocks of up to twice `BLOCK` members, and families with a likely pair between
 them become one, so any link of two classes that share a band lies within a family. Only
-families that still hold several components are looked at again, in blocks of `BLOCK` members: full sets of
+families that still hold several components are looked at again, in blocks of `BLOCK` members or `BLOCK_BYTES`: full sets of
 different components are compared as a matrix product, and no more links are put out than join components.
 In a band group the work grows with members outside its largest family times members.
 
@@ -36,8 +36,8 @@ from .wordarrays import U64, TextChunk, chunks, mix
 BANDS, BAND = 32, 5
 REGISTERS = BANDS * BAND
 BASE = 1.02
-#: Members of a family that are compared in one block.
-BLOCK = 800
+#: Members of a family, and bytes of their sets, that are compared in one block.
+BLOCK, BLOCK_BYTES = 800, 16 << 20
 #: Share of equal registers from which classes are of one family.
 ALIKE = 0.5
 #: Standard deviations that a register estimate may fall below the wanted similarity.
@@ -134,14 +134,38 @@ def band_hashes(classes: DataFrame, wanted=None) -> DataFrame:
     return classes.select("id", "registers").mapInArrow(hashed, f"id {classes.schema['id'].dataType.simpleString()}, bucket long")
 
 
-def likely(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the joint registers allow the similarity, by the likelihood of how many are equal.
+def log_likelihood(more: np.ndarray, less: np.ndarray, u: np.ndarray, similarity: np.ndarray) -> np.ndarray:
+    """Log-likelihood of a similarity J, given the counts of registers in which a's is the larger or the smaller one.
 
-    Equal registers have probability p = J or more; the count of equal ones is binomial, and pairs are kept while it isn't
-    `SLACK` deviations short of what the similarity gives. Set sizes bound the similarity exactly.
+    Of the union's members the share u - v*J is a's alone and v - u*J is b's alone (u, v: the sets' shares of both sizes). A register
+    is larger in a where the least of all is a's alone by at least a step: with probability p(u - v*J), p(x) = -log_b(1 - x*(b-1)/b).
+    """
+    v = 1 - u
+    p = lambda x: np.clip(-np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE), 1e-3, 1)
+    larger, smaller = p(u - v * similarity), p(v - u * similarity)
+    equal = np.maximum(1 - larger - smaller, 1e-3)
+    return more * np.log(larger) + less * np.log(smaller) + (REGISTERS - more - less) * np.log(equal)
+
+
+def likely(more: np.ndarray, less: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the joint registers allow the similarity: by the likelihood ratio of it and the best estimate.
+
+    Sizes bound the similarity exactly. Registers are equal with a probability of J or more, which rules most pairs out without an
+    estimate; of the others those are kept whose estimate reaches the similarity or is no more than `SLACK` deviations better than it.
     """
     least, most = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    return (100 * least >= round(100 * similarity) * most) & (equal >= similarity - SLACK * np.sqrt(similarity * (1 - similarity) / REGISTERS))
+    equal = 1 - (more + less) / REGISTERS
+    keep = (100 * least >= round(100 * similarity) * most) & (equal >= similarity - SLACK * np.sqrt(similarity * (1 - similarity) / REGISTERS))
+    at = np.flatnonzero(keep)
+    if len(at):
+        m, l, u, top = more[at, None], less[at, None], (size_a / (size_a + size_b))[at, None], (least / most)[at]
+        grid = np.linspace(0.5, 1, 51) * top[:, None]
+        tried = log_likelihood(m, l, u, grid)
+        best = tried.argmax(1)
+        wanted = log_likelihood(m, l, u, np.full((len(at), 1), similarity))[:, 0]
+        reached = grid[np.arange(len(at)), best] >= similarity
+        keep[at] = reached | (2 * (tried.max(1) - wanted) <= SLACK**2)
+    return keep
 
 
 def alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -154,7 +178,7 @@ def alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
             if len(batch):
                 a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint16).reshape(-1, REGISTERS) for n in ("regs_a", "regs_b"))
                 equal = (a == b).mean(1)
-                may = likely(equal, batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), similarity)
+                may = likely((a > b).sum(1), (a < b).sum(1), batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), similarity)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(may)], ["a", "b", "likely"]).filter(pa.array(may | (equal >= ALIKE)))
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -233,9 +257,9 @@ def joining_links(sets: list[np.ndarray], component: np.ndarray, similarity: flo
 
 
 def family_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the components of a family, from members(id, family, component, n) of the families with several."""
+    """Links (a, b) between the components of a family, from members(id, family, component, n, bytes) of the families with several."""
     dealt = (
-        members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        members.withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("id", "family", "component", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right")).join(sets, "id")
     )
@@ -255,7 +279,7 @@ def joining_pairs(regs: np.ndarray, sizes: np.ndarray, family: np.ndarray, simil
     parent = np.arange(len(names))
     out = []
     for i in np.flatnonzero(family != np.bincount(family).argmax()):
-        for j in np.flatnonzero(likely((regs == regs[i]).mean(1), sizes[i], sizes, similarity) & (parent[family] != parent[family[i]])):
+        for j in np.flatnonzero(likely((regs[i] > regs).sum(1), (regs[i] < regs).sum(1), np.full(len(sizes), sizes[i]), sizes, similarity) & (parent[family] != parent[family[i]])):
             x, y = parent[family[i]], parent[family[j]]
             if x != y:
                 parent[parent == max(x, y)] = min(x, y)
@@ -349,9 +373,9 @@ def links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     both = staged(first.unionByName(confirm(apart, sets, similarity)), "links")
     discard(shared)
     known = components(both)
-    members = either.join(known, "id", "left").join(family.withColumnRenamed("component", "family"), "id", "left")
-    members = staged(members.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family")), "members")
-    several = staged(members.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("family", "n"), "families")
+    members = either.join(known, "id", "left").join(family.withColumnRenamed("component", "family"), "id", "left").join(classes.select("id", "n_shingles"), "id")
+    members = staged(members.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family"), "n_shingles"), "members")
+    several = staged(members.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("bytes")).where("low <> high").select("family", "n", "bytes"), "families")
     return components(both.unionByName(family_links(members.join(several, "family"), sets, similarity)))
 
 

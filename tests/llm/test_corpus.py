@@ -73,6 +73,55 @@ def test_components_equal_brute_force(spark, odd_rows, none):
     assert near_dedup.dedup(none).count() == 0
 
 
+def test_joint_likelihood_estimates_similarity():
+    rng = np.random.default_rng(3)
+    for common, a, b in ((900, 50, 50), (400, 0, 100), (500, 300, 100), (2000, 100, 300)):
+        h = rng.integers(0, 2**63, common + a + b, dtype=np.uint64)
+        regs = near_dedup.registers(np.concatenate([h[: common + a], h[:common], h[common + a :]]), np.array([0, common + a, 2 * common + a + b])).astype(int)
+        more, less = (regs[0] > regs[1]).sum(), (regs[0] < regs[1]).sum()
+        grid = np.linspace(0.01, 1, 200) * min(common + a, common + b) / max(common + a, common + b)
+        best = grid[near_dedup.log_likelihood(more, less, (common + a) / (2 * common + a + b), grid).argmax()]
+        assert abs(best - common / (common + a + b)) < 0.1
+        sizes = np.array([common + a]), np.array([common + b])
+        assert near_dedup.likely(np.array([more]), np.array([less]), *sizes, 0.8)[0] == (common / (common + a + b) > 0.7)
+
+
+def exact_components(rows, percent: int = 80):
+    """Components by comparing every pair that can be similar: such pairs share one of each set's rarest shingles."""
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        if w:
+            sets[i] = set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)}
+    count = Counter(x for s in sets.values() for x in s)
+    parent, held, links = {i: i for i, _ in rows}, {}, set()
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, s in sorted(sets.items(), key=lambda p: len(p[1])):
+        rare = sorted(s, key=lambda x: (count[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for x in rare for j in held.get(x, ())}:
+            common = len(s & sets[j])
+            if 100 * common >= percent * (len(s) + len(sets[j]) - common):
+                links.add((i, j))
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+        for x in rare:
+            held.setdefault(x, []).append(i)
+    return {i: root(i) for i, _ in rows}, links
+
+
+def test_recall_on_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    want, links = exact_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    got = {r.doc_id: r.component_id for r in near_dedup.dedup(docs, shingle=2).collect()}
+    assert sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links) and all(want[i] == want[c] for i, c in got.items())
+    assert got == want  # all links, and none too many
+
+
 def test_large_groups_go_through_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     rows = near_rows()
