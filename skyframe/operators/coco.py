@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import sample_name
+from .kernels import polygons
+from .pixels import run_lengths
 
 CATEGORY = (1, "GRG")
 
@@ -31,12 +33,34 @@ def origin_ids(samples: DataFrame, cutout: str, id: str = "id") -> DataFrame:
 
 
 def annotation_rows(boxes: DataFrame, bbox_format: str = "xyxy") -> DataFrame:
-    """(id, image_id, category_id, bbox, area, iscrowd) from (id, image_id, xmin, ymin, xmax, ymax, area); rows without box or area go."""
+    """(id, image_id, category_id, bbox, area, [segmentation,] iscrowd) from (id, image_id, xmin, ymin, xmax, ymax, area[, segmentation]).
+
+    Rows without box or area go.
+    """
     if bbox_format not in ("xyxy", "xywh"):
         raise ValueError("bbox_format is 'xyxy' or 'xywh'")
     x, y, a, b = (F.col(c).cast("double") for c in ("xmin", "ymin", "xmax", "ymax"))
     box = F.array(x, y, a, b) if bbox_format == "xyxy" else F.array(x, y, a - x, b - y)
-    return boxes.where("xmin IS NOT NULL AND area > 0").select("id", "image_id", F.lit(CATEGORY[0]).cast("long").alias("category_id"), box.alias("bbox"), F.col("area").cast("double").alias("area"), F.lit(0).alias("iscrowd"))
+    held = ["segmentation"] if "segmentation" in boxes.columns else []
+    return boxes.where("xmin IS NOT NULL AND area > 0").select(
+        "id", "image_id", F.lit(CATEGORY[0]).cast("long").alias("category_id"), box.alias("bbox"), F.col("area").cast("double").alias("area"), *held, F.lit(0).alias("iscrowd")
+    )
+
+
+def segmentations(mask: DataFrame, key: str, h: int, w: int, mode: str = "rle") -> DataFrame:
+    """(key, segmentation) of each mask(key, x, y): compact run lengths or outlines."""
+    if mode not in ("rle", "polygon"):
+        raise ValueError("a segmentation is 'rle' or 'polygon'")
+    none = {"rle": "struct<size:array<int>,counts:string>", "polygons": "array<array<int>>"}
+    if mode == "rle":
+        packed = packed_counts(run_lengths(mask, key, h, w), key)
+        rle = F.struct(F.array(F.lit(h), F.lit(w)).alias("size"), "counts")
+        return packed.select(key, F.struct(rle.alias("rle"), F.lit(None).cast(none["polygons"]).alias("polygons")).alias("segmentation"))
+    runs = run_lengths(mask.select(key, F.col("y").alias("x"), F.col("x").alias("y")), key, w, h)  # row by row
+    listed = runs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("run", "length"))).alias("r"))
+    data = F.flatten(F.transform("r", lambda r: F.array_repeat((r["run"] % 2).cast("double"), r["length"].cast("int"))))
+    outlines = polygons(listed.select(key, F.lit(h).alias("h"), F.lit(w).alias("w"), data.alias("data")), key)
+    return outlines.select(key, F.struct(F.lit(None).cast(none["rle"]).alias("rle"), F.col("polygons").cast(none["polygons"]).alias("polygons")).alias("segmentation"))
 
 
 def image_rows(samples: DataFrame, w: int, h: int, prefix: str) -> DataFrame:

@@ -33,6 +33,12 @@ def clean(points: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     return held.withColumn("removed", F.size("grg") == 0)
 
 
+def cleaned_positions(cleaned: DataFrame, key: str) -> DataFrame:
+    """(key, grg_positions, all_component_positions, updated) of the images that `clean` leaves: the object's points, then all others."""
+    xy = lambda c: F.transform(c, lambda p: F.array(p["x"], p["y"]))
+    return cleaned.where("NOT removed").select(key, xy(F.col("grg")).alias("grg_positions"), xy(F.concat("grg", "other")).alias("all_component_positions"), "updated")
+
+
 def judge(points: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     """(key, all_inside, other_inside): whether all of an object's points lie in its mask, and whether another's does."""
     placed = points_in_mask(points, mask, key)

@@ -28,7 +28,10 @@ def augmented(cutouts: DataFrame, components: DataFrame, s: Settings) -> tuple[D
 
 
 def training(cutouts: DataFrame, components: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """images, annotations, proposals, encoded pixels, cleaned points and scores of a training set."""
+    """images, annotations, proposals, encoded pixels, cleaned points and scores of a training set.
+
+    Images and annotations are those that cleaning leaves, with cleaned positions; scores are of the set before it.
+    """
     level, crop = s.nr_sigmas * s.rms, s.crop_size
     whole = kernels.label_components(cutouts, level, KEY)
     central = grg.find_central(components, whole, KEY, s.cutout_size, s.cutout_size).select(KEY, F.col("skey").alias("central"))
@@ -43,9 +46,9 @@ def training(cutouts: DataFrame, components: DataFrame, s: Settings) -> dict[str
     named = samples.join(cutouts.select(KEY, "ra", "dec"), KEY)
     all_islands = segment.segment_islands(points, labels, VIEW).select(VIEW, "island_id").distinct()
     regions = proposals.subsets(proposals.island_properties(labels.join(all_islands, [VIEW, "island_id"], "left_semi"), VIEW), VIEW, s.max_islands)
-    at = F.struct("ord", "x", "y")
-    xy = lambda c: F.transform(F.sort_array(c), lambda p: F.array(p["x"], p["y"]))
-    positions = points.groupBy(VIEW).agg(xy(F.collect_list(F.when(F.col("grg"), at))).alias("grg_positions"), xy(F.collect_list(at)).alias("all_component_positions"))
+    cleaned = quality.clean(points, mask, VIEW)
+    positions = quality.cleaned_positions(cleaned, VIEW)
+    outlined = samples.join(positions.select(VIEW), VIEW, "left_semi").join(coco.segmentations(mask, VIEW, crop, crop, s.segmentation), VIEW)
     metadata = F.struct(
         F.col("ra").alias("RA"), F.col("dec").alias("DEC"), "grg_positions", "all_component_positions", (F.col("angle") != 0).alias("rotated"), "origin_id", F.col("angle").alias("rotation_angle"),
         F.lit("asinh" if s.asinh else "sqrt").alias("stretch"), F.lit(False).alias("reprojected"), F.lit(None).cast("double").alias("old_redshift"), F.lit(None).cast("double").alias("new_redshift"),
@@ -54,10 +57,10 @@ def training(cutouts: DataFrame, components: DataFrame, s: Settings) -> dict[str
     encode = stretch.rgb_encode(F.col("v"), s.rms, s.asinh)
     return {
         "images": coco.image_rows(described, crop, crop, "GRG"),
-        "annotations": coco.annotation_rows(samples.select("id", F.col("id").alias("image_id"), "xmin", "ymin", "xmax", "ymax", "area")),
+        "annotations": coco.annotation_rows(outlined.select("id", F.col("id").alias("image_id"), "xmin", "ymin", "xmax", "ymax", "area", "segmentation")),
         "proposals": regions.join(samples.select(VIEW, "id"), VIEW),
         "pixels": pixels.explode_pixels(turned, VIEW).select(VIEW, "x", "y", *(c.alias(n) for c, n in zip(encode, "rgb", strict=True))),
-        "cleaned": quality.clean(points, mask, VIEW),
+        "cleaned": cleaned,
         "metrics": quality.metrics(quality.judge(points, mask, VIEW)),
     }
 

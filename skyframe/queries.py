@@ -456,6 +456,16 @@ def clean_components(spark, sf_dir):
     return held.select(KEY, text("grg").alias("grg"), text("other").alias("other"), "updated")
 
 
+@query(
+    f"WITH RECURSIVE {_JUDGED}, held AS (SELECT vec_id, string_agg(x || ':' || y, ',' ORDER BY NOT grg, ord) FILTER (inside) AS own, string_agg(x || ':' || y, ',' ORDER BY grg, ord) FILTER (NOT inside) AS rest, "
+    "coalesce(bool_or(grg AND NOT inside), false) AS updated FROM placed GROUP BY vec_id HAVING bool_or(inside)) SELECT vec_id, own AS grg_positions, concat_ws(',', own, rest) AS all_positions, updated FROM held"
+)
+def cleaned_images(spark, sf_dir):
+    text = lambda c: F.array_join(F.transform(c, lambda p: F.array_join(p.cast("array<string>"), ":")), ",")
+    left = quality.cleaned_positions(quality.clean(*_points_and_mask(spark, sf_dir), KEY), KEY)
+    return left.select(KEY, text("grg_positions").alias("grg_positions"), text("all_component_positions").alias("all_positions"), "updated")
+
+
 @query(f"WITH RECURSIVE {_JUDGED} SELECT vec_id FROM placed GROUP BY vec_id HAVING NOT bool_or(inside)")
 def clean_removed(spark, sf_dir):
     return quality.clean(*_points_and_mask(spark, sf_dir), KEY).where("removed").select(KEY)

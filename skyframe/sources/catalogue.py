@@ -31,6 +31,7 @@ class Settings:
     max_islands: int = 10
     angles: list[float] = field(default_factory=lambda: [0.0, 45.0, 90.0, 135.0, 180.0, 225.0, 270.0, 315.0])
     asinh: bool = False
+    segmentation: str = "rle"
 
     @classmethod
     def from_yaml(cls, path: str) -> Settings:

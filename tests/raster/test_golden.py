@@ -256,6 +256,15 @@ def test_training_and_search_plans(spark):
     out = datasets.training(cut, comps, s)
     assert out["images"].count() == 2 and out["annotations"].count() == 2 and out["metrics"].first().recall == 1.0
     assert out["images"].orderBy("id").first().file_name == "GRG_0000000000_RA10.0_DEC20.0.png"
+    held = out["annotations"].orderBy("id").first()
+    runs = coco.unpacked_counts(out["annotations"].select("id", "segmentation.rle.counts"), "id").where(f"id = {held.id}").orderBy("run").collect()
+    assert list(held.segmentation.rle.size) == [28, 28] and sum(r.length for r in runs) == 28 * 28 and sum(r.length for r in runs[1::2]) == held.area
+    assert out["images"].orderBy("id").first().metadata.grg_positions == [[14, 14]]
+    square = spark.createDataFrame([(7, x, y) for x in (2, 3, 4) for y in (1, 2)], "image_id long, x int, y int")
+    outline = coco.segmentations(square, "image_id", 6, 8, "polygon").first().segmentation
+    assert outline.rle is None and sorted(zip(outline.polygons[0][::2], outline.polygons[0][1::2], strict=True)) == [(2, 1), (2, 2), (4, 1), (4, 2)]
+    with pytest.raises(ValueError):
+        coco.segmentations(comps, "image_id", 4, 4, "outline")
     assert out["proposals"].count() >= 2 and out["pixels"].count() == 2 * 28 * 28
     found = datasets.search(cut, comps, s)
     assert found["images"].count() == 1 and found["proposals"].count() == 3
