@@ -1,19 +1,21 @@
 """Exact substring dedup: every byte covered by a 100-byte string that also starts earlier is removed.
 
-Suffixes are dealt out by content. The least hash of the `GRAM`-byte grams in a 100-byte window names the
-window, so equal windows have equal names, and runs of windows of one name are segments. Names that occur
-once in the corpus hold no repeat; they are told apart by counts, and a bitmap of fixed size keeps most of them
-from being sent (where the bitmap is full, more is sent and the result is the same). Equal segments are settled by their first occurrence. What differs under one name goes to
-the suffix arrays:
-
-Segments of a bucket of names are dealt into shards. A shard's suffixes are sorted once, as letters of `LETTER`
-bytes at every byte offset, which gives its Burrows-Wheeler transform. Shards are merged by interleave refinement:
-starting from one after the other, each round moves the source bits to the buckets of their transform's
-letters, and after k rounds the interleave is sorted by k letters. Its blocks are the repeated intervals: after
-`LENGTH / LETTER` rounds the suffixes of one block share 100 bytes. No suffix is sorted again.
-
-A name with over `HOT_SEGMENTS` different segments (the borders of a passage in a great many documents) would
-gather in one task. Its windows are counted by their 128-bit hashes instead, which is exact too and spreads them.
+Suffixes are dealt out by content. The least hash of the 32-byte grams in a 100-byte window names the window, so equal
+windows have equal names, and runs of windows of one name are segments. Names that occur once in the corpus hold no
+repeat; they are told apart by counts, and a bitmap sized by the corpus keeps most of them from being sent (where it is
+full, more is sent and the result is the same). Equal segments count as one before they are sent: the first occurrence
+stands for all, the others are repeats of it. What differs under one name goes to the suffix arrays:
+
+Segments of a bucket of names are dealt into shards. A shard's suffixes are sorted once by their first `LENGTH` bytes,
+read as letters of `LETTER` bytes at every byte offset, which gives its Burrows-Wheeler transform and the number of
+letters that neighbours share. Shards are merged by interleave refinement: after k rounds each suffix of one shard has
+its place among the other's suffixes by k letters, and each round moves places to where the transform's letters send
+them, by counts alone. The rounds in which a place or an interval still changed are the common prefixes at the seams,
+and runs of suffixes that share `LENGTH / LETTER` letters are the repeated intervals. No suffix is sorted again.
+
+A name with over `HOT_SEGMENTS` different segments (the borders of a passage in a great many documents) would gather in
+one task. It is split by longer context: its segments get new names by their grams of 64, then 96 bytes, and go the same
+way. Under a 96-byte name, segments differ by four bytes at either end and their number is bounded by those.
 
 Nulls: a null text is empty. A null doc_id sorts before all others. Rows that share a doc_id share the removed ranges,
 each cut to its length, and aren't earlier than one another. Empty tables give empty results. Extra columns are ignored.
@@ -34,15 +36,19 @@ from .bitmaps import array_of, in_array, marked, words_of
 from .staging import kept, staged
 from .wordarrays import U64, TextChunk, chunks, mix
 
-LENGTH, GRAM, LETTER = 100, 32, 50
-WINDOW = LENGTH - GRAM + 1
-#: Bits of the filter of documents that may lose something.
-DOC_BITS = 22
+LENGTH, LETTER = 100, 5
+DEPTH = LENGTH // LETTER
+#: Bytes of the grams that name windows, and those that name the windows of hot names anew.
+GRAM, FINER = 32, (64, 96)
+#: Least and most bits of the filters, of names and of documents that may lose something. They grow with the corpus in between.
+NAME_BITS, DOC_BITS = (22, 29), (16, 25)
 #: Bytes of the segments of one bucket and of one shard, and different segments from which a name is hot.
 BUCKET_BYTES, SHARD_BYTES, HOT_SEGMENTS = 1 << 19, 1 << 18, 2000
 #: Bytes turned into arrays at once: few enough for a core's cache.
 CHUNK = 1 << 17
 _LEAST = -(2**63)
+#: A filter's words and its number of bits.
+Filter = tuple[np.ndarray, int]
 
 
 def _slide(a: np.ndarray, n: int, f) -> np.ndarray:
@@ -55,14 +61,14 @@ def _slide(a: np.ndarray, n: int, f) -> np.ndarray:
     return (f(a[:-rest], a[rest:]) if len(a) > rest else a[:0]) if rest else a
 
 
-def windows(c: TextChunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(c: TextChunk, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gram hashes, and for each window start the window's name and whether it lies within one text."""
     n = len(c.buf)
     if n < LENGTH:
         e = np.zeros(0, np.uint64)
         return e, e, e.astype(bool)
-    grams = c.hashes_of_length(GRAM)
-    names = _slide(grams, WINDOW, np.minimum)
+    grams = c.hashes_of_length(gram)
+    names = _slide(grams, LENGTH - gram + 1, np.minimum)
     edge = np.zeros(n + 1, np.int32)
     long = np.flatnonzero(np.diff(c.off) >= LENGTH)
     edge[c.off[long]] += 1
@@ -72,14 +78,15 @@ def windows(c: TextChunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def chosen_grams(grams: np.ndarray, names: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """The name of each gram occurrence that names a window."""
-    over = np.zeros(len(names) + 2 * (WINDOW - 1), np.uint64)
-    over[WINDOW - 1 : WINDOW - 1 + len(names)] = np.where(valid, names, U64(0))
-    return mix(grams[_slide(over, WINDOW, np.maximum)[: len(grams)] == grams])
+    n = LENGTH - GRAM + 1
+    over = np.zeros(len(names) + 2 * (n - 1), np.uint64)
+    over[n - 1 : n - 1 + len(names)] = np.where(valid, names, U64(0))
+    return mix(grams[_slide(over, n, np.maximum)[: len(grams)] == grams])
 
 
-def segments(c: TextChunk, wanted: np.ndarray | None) -> tuple[np.ndarray, ...]:
+def segments(c: TextChunk, wanted: Filter | None, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(name, start, end, whether its gram recurs) of the segments whose names' bits are set; starts and ends are byte places in the chunk."""
-    grams, names, valid = windows(c)
+    grams, names, valid = windows(c, gram)
     if not len(names):
         e = np.zeros(0, np.int64)
         return e.astype(np.uint64), e, e, e.astype(bool)
@@ -91,17 +98,17 @@ def segments(c: TextChunk, wanted: np.ndarray | None) -> tuple[np.ndarray, ...]:
     starts, ends = starts[keep], ends[keep]
     key = mix(names[starts])
     if wanted is not None:
-        keep = in_array(wanted, key)
+        keep = in_array(wanted[0], key, wanted[1])
         key, starts, ends = key[keep], starts[keep], ends[keep]
-    n = ends - starts + WINDOW - 1
+    n = ends - starts + LENGTH - gram
     own = np.repeat(np.arange(len(starts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[own]
     recurs = np.bincount(own, grams[at] == names[starts][own], len(starts)) > 1
     return key, starts, ends - 1 + LENGTH, recurs
 
 
-def repeated_names(docs: DataFrame) -> np.ndarray:
-    """The bitmap of the names of which the corpus has two occurrences or more."""
+def repeated_names(docs: DataFrame, bits: int) -> Filter:
+    """The filter of the names of which the corpus has two occurrences or more."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,21 +117,25 @@ def repeated_names(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int32))], ["name", "n"])
 
     names = docs.select("text").mapInArrow(counted, "name long, n int").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
-    return array_of(words_of(names, F.col("name")))
+    return array_of(words_of(names, F.col("name"), bits), bits), bits
 
 
-def found_segments(docs: DataFrame, bitmap, with_bytes: bool) -> DataFrame:
-    """(name, segment, doc, start, end, recurs) and, if asked for, the bytes; segment is their hash."""
+def found_segments(docs: DataFrame, bitmap, with_bytes: bool, gram: int = GRAM, origin: bool = False) -> DataFrame:
+    """(name, segment, doc, start, end, recurs) and, if asked for, the bytes; segment is their hash.
+
+    With `origin`, texts are pieces of documents and begin at their column `start`.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
+            begin = batch.column("start").to_numpy() if origin else np.zeros(len(ids), np.int64)
             for i, _, c in chunks(batch.column("text"), CHUNK):
-                key, starts, ends, recurs = segments(c, bitmap.value)
+                key, starts, ends, recurs = segments(c, bitmap and bitmap.value, gram)
                 if not len(key):
                     continue
                 text = np.searchsorted(c.off, starts, "right") - 1
-                at = c.off[text]
+                at = c.off[text] - begin[i + text]
                 cols = {"name": key.view(np.int64), "segment": c.hashes(starts, ends).view(np.int64), "doc": ids[i + text], "start": starts - at, "end": ends - at, "recurs": recurs}
                 if with_bytes:
                     whole = c.buf.tobytes()
@@ -134,59 +145,115 @@ def found_segments(docs: DataFrame, bitmap, with_bytes: bool) -> DataFrame:
     return docs.mapInArrow(found, "name long, segment long, doc long, start long, end long, recurs boolean" + ", bytes binary" * with_bytes)
 
 
+def _ranked(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order by several keys, and the dense rank (from 0) of each element."""
+    bits = max((int(k.max()).bit_length() for k in keys), default=0)
+    if bits * len(keys) <= 63:
+        joined = keys[0].astype(np.int64)
+        for k in keys[1:]:
+            joined = (joined << bits) | k
+        keys = [joined]
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        there = k[order]
+        new[1:] |= there[1:] != there[:-1]
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.cumsum(new)
+    return order, ranks
+
+
 class Transform:
-    """Suffixes of some segments in the order of their first `LENGTH / LETTER` letters, and the letters before them.
+    """Suffixes of some segments in the order of their first `DEPTH` letters, and the letters before them.
 
-    `before` is 0 where a suffix begins its segment (at one of the LETTER offsets), `block` numbers the runs of equal suffixes.
+    A letter is `LETTER` bytes; 0 stands before a segment's first bytes and after its last ones, and is like no other letter.
+    `common` is the number of letters, `DEPTH` at most, that a suffix shares with the one before it in the order.
     """
 
-    def __init__(self, before: np.ndarray, where: np.ndarray, block: np.ndarray):
-        self.before, self.where, self.block = before, where, block
+    def __init__(self, before: np.ndarray, where: np.ndarray, common: np.ndarray, ends: int):
+        self.before, self.where, self.common, self.ends = before, where, common, ends
+
+    @property
+    def block(self) -> np.ndarray:
+        """The number of the repeated interval of each suffix: equal suffixes have equal numbers."""
+        return np.cumsum(self.common < DEPTH)
 
     @classmethod
     def build(cls, pieces: list[bytes], first: int) -> Transform:
         """The transform of one shard; `where` numbers the places of all pieces from `first`, one place past each end included."""
-        c = TextChunk.of(pieces)
-        sizes = np.diff(c.off)
-        own = np.repeat(np.arange(c.n), sizes + 1)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        own = np.repeat(np.arange(len(pieces)), sizes + 1)
         place = np.arange(len(own)) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
-        whole = place + LETTER <= sizes[own]
-        at = (c.off[:-1][own] + place)[whole]
-        letter = np.zeros(len(own), np.uint64)
-        letter[whole] = c.hashes(at, at + LETTER) | U64(1)
-        depth = LENGTH // LETTER
-        keys = []
-        for k in range(depth):
-            shifted = np.zeros(len(own), np.uint64)
-            fits = np.flatnonzero(place + k * LETTER <= sizes[own])
-            shifted[fits] = letter[fits + k * LETTER]
-            keys.append(shifted)
-        order = np.lexsort(keys[::-1])
-        new = np.ones(len(own), bool)
-        if len(own) > 1:
-            new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-        before = np.zeros(len(own), np.uint64)
+        left = sizes[own] - place
+        flat = np.frombuffer(b"\0".join(pieces) + bytes(1 + LETTER), np.uint8).astype(np.int64)
+        letter = np.zeros(len(own), np.int64)
+        for k in range(LETTER):
+            letter = (letter << 8) | flat[k : k + len(own)]
+        letter = np.where(left >= LETTER, letter + 1, 0)
+
+        def on(values: np.ndarray, letters: int) -> np.ndarray:
+            """The values so many letters further on; 0 beyond the segment."""
+            by = letters * LETTER
+            out = np.zeros_like(values)
+            out[: len(values) - by] = values[by:]
+            out[left < by] = 0
+            return out
+
+        _, ranks = _ranked([letter])
+        for step in (1, 3):  # ranks by three letters, then by nine
+            _, ranks = _ranked([ranks, on(ranks, step), on(ranks, 2 * step)])
+        order, _ = _ranked([ranks, on(ranks, 9), on(ranks, DEPTH - 9)])
+        common = np.zeros(len(own), np.int64)
+        like = np.arange(1, len(own))
+        for k in range(DEPTH):
+            a, b = order[like - 1] + k * LETTER, order[like] + k * LETTER
+            like = like[(letter[a] == letter[b]) & (letter[b] != 0)]
+            common[like] = k + 1
         back = np.flatnonzero(place >= LETTER)
+        before = np.zeros(len(own), np.int64)
         before[back] = letter[back - LETTER]
-        return cls(before[order], first + order, np.cumsum(new))
+        return cls(before[order], first + order, common, int((letter == 0).sum()))
+
+    def moves(self) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes in the order of the suffixes one letter longer, and those letters."""
+        order = np.argsort(self.before, kind="stable")
+        return order, self.before[order]
 
     def merge(self, other: Transform) -> Transform:
-        """Both in one order, by refinement of the interleave alone."""
-        n = len(self.before) + len(other.before)
-        from_other = np.zeros(n, bool)
-        from_other[len(self.before) :] = True
-        block = np.zeros(n, np.int64)
-        letters = np.empty(n, np.uint64)
-        for _ in range(LENGTH // LETTER):
-            letters[~from_other], letters[from_other] = self.before, other.before
-            order = np.argsort(letters, kind="stable")
-            from_other, moved, under = from_other[order], letters[order], block[order]
-            new = np.ones(n, bool)
-            new[1:] = (moved[1:] != moved[:-1]) | (under[1:] != under[:-1])
-            block = np.cumsum(new)
-        out = Transform(letters, np.empty(n, np.int64), block)
-        out.before[~from_other], out.before[from_other] = self.before, other.before
-        out.where[~from_other], out.where[from_other] = self.where, other.where
+        """Both in one order, by refinement of the interleave alone.
+
+        `low` and `high` bound the other's suffixes that share the letters compared so far with each suffix of this one.
+        """
+        n, m = len(self.before), len(other.before)
+        order, letters = self.moves()
+        to, theirs = other.moves()
+        alphabet, starts = np.unique(theirs, return_index=True)
+        held = np.repeat(np.arange(len(alphabet)), np.diff(np.append(starts, m))) * (m + 1) + to
+        rank = np.searchsorted(alphabet, letters)
+        known = np.append(alphabet, -1)[rank] == letters
+        base = rank * (m + 1)
+        low, high = np.zeros(n, np.int64), np.full(n, m, np.int64)
+        above, below = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k in range(DEPTH):
+            new = np.searchsorted(held, base + np.where(known, low[order], 0))
+            new[: self.ends] = 0
+            top = new.copy()
+            open_ = np.flatnonzero(known & (low < high)[order])
+            top[open_] = np.searchsorted(held, base[open_] + high[order[open_]])
+            top[: self.ends] = 0
+            above[new > low] = k
+            below[top < high] = k
+            low, high = new, top
+        below[high > low] = DEPTH
+        from_other = np.ones(n + m, bool)
+        from_other[np.arange(n) + low] = False
+        out = Transform(*(np.empty(n + m, np.int64) for _ in range(3)), self.ends + other.ends)
+        for name in ("before", "where", "common"):
+            column = getattr(out, name)
+            column[~from_other], column[from_other] = getattr(self, name), getattr(other, name)
+        seams = np.flatnonzero(from_other[1:] != from_other[:-1]) + 1
+        mine = np.cumsum(~from_other)[seams] - 1  # the last own suffix up to the seam
+        out.common[seams] = np.where(from_other[seams], below[mine], above[mine])
         return out
 
 
@@ -203,13 +270,15 @@ def repeats_of(doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> tuple
     while len(shards) > 1:
         shards = [a.merge(b) for a, b in zip(shards[::2], shards[1::2], strict=False)] + shards[len(shards) // 2 * 2 :]
     t = shards[0]
-    own = np.searchsorted(first, t.where, "right") - 1
-    place = t.where - first[own]
-    whole = place + LENGTH <= sizes[own]
-    block, own, place = t.block[whole], own[whole], place[whole]
-    d, p = doc[own], start[own] + place
+    repeated = t.common == DEPTH
+    repeated[:-1] |= repeated[1:]
+    block, where = t.block[repeated], t.where[repeated]
+    own = np.searchsorted(first, where, "right") - 1
+    d, p = doc[own], start[own] + where - first[own]
     order = np.lexsort((p, d, block))
-    again = order[1:][block[order][1:] == block[order][:-1]]
+    block, d, p = block[order], d[order], p[order]
+    least = np.maximum.accumulate(np.where(np.append(True, block[1:] != block[:-1]), np.arange(len(block)), 0)) if len(block) else block
+    again = (d != d[least]) | (p != p[least])
     return covered(d[again], p[again])
 
 
@@ -239,56 +308,61 @@ def merged_repeats(contested: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInPandas(merge, RANGES)
 
 
-def hashed_repeats(contested: DataFrame) -> DataFrame:
-    """Repeats among the segments of hot names, by counting window hashes."""
+def later_ones(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The ranges of all occurrences of a segment but its first."""
+    firsts = groups.where("n > 1").select("name", "segment", F.struct("first.doc", "first.start").alias("first"))
+    later = rows.select("name", "segment", "doc", "start", "end").join(firsts, ["name", "segment"]).where(F.struct("doc", "start") > F.col("first"))
+    return later.select("doc", "start", "end")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, start = batch.column("doc").to_numpy(), batch.column("start").to_numpy()
-            for i, _, c in chunks(batch.column("bytes")):
-                n = np.maximum(np.diff(c.off) - LENGTH + 1, 0)
-                own = np.repeat(np.arange(c.n), n)
-                place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                at = c.off[own] + place
-                halves = c.hashes(at, at + LENGTH // 2), c.hashes(at + LENGTH // 2, at + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(halves[0] + U64(7)).view(np.int64)), pa.array(halves[1].view(np.int64)), pa.array(doc[i + own]), pa.array(start[i + own] + place)], ["a", "b", "doc", "start"])
-
-    w = contested.select("doc", "start", "bytes").mapInArrow(hashed, "a long, b long, doc long, start long")
-    firsts = w.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = w.join(firsts, ["a", "b"]).where(F.struct("doc", "start") > F.col("first"))
-    return again.select("doc", "start", (F.col("start") + LENGTH).alias("end"))
-
-
-def removed_ranges(docs: DataFrame) -> DataFrame:
+
+def open_names(groups: DataFrame) -> DataFrame:
+    """The names that hold more than one different segment, or one in which their gram recurs."""
+    return groups.groupBy("name").agg(F.count("*").alias("different"), F.max("recurs").alias("any_recurs")).where("different > 1 OR any_recurs").drop("any_recurs")
+
+
+def split_names(hot: DataFrame, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The segments of hot names, named anew by longer grams: the ranges settled as equal, and what stays contested."""
+    rows = kept(found_segments(hot.select("doc", "start", F.col("bytes").alias("text")), None, True, gram, origin=True))
+    groups = kept(rows.groupBy("name", "segment").agg(F.min(F.struct("doc", "start", "bytes")).alias("first"), F.count("*").alias("n"), F.max("recurs").alias("recurs")))
+    contested = groups.join(open_names(groups), "name").select("name", "different", "first.doc", "first.start", "first.bytes")
+    return staged(later_ones(rows, groups), "ranges"), kept(contested)
+
+
+def removed_ranges(docs: DataFrame, bits: int) -> DataFrame:
     """(doc, start, end) byte ranges of docs(doc, text) to remove; they may overlap."""
     spread = docs.sparkSession.sparkContext.broadcast
-    rows = kept(found_segments(docs, spread(repeated_names(docs)), False))
+    rows = kept(found_segments(docs, spread(repeated_names(docs, bits)), False))
     different = kept(rows.groupBy("name", "segment").agg(F.min(F.struct("doc", "start", "end")).alias("first"), F.count("*").alias("n"), F.max("recurs").alias("recurs")))
-    firsts = different.where("n > 1").select("name", "segment", F.struct("first.doc", "first.start").alias("first"))
-    later = rows.select("name", "segment", "doc", "start", "end").join(firsts, ["name", "segment"]).where(F.struct("doc", "start") > F.col("first"))
-    copies = staged(later.select("doc", "start", "end"), "ranges")
+    found = staged(later_ones(rows, different), "ranges")
     rows.unpersist()
-    names = different.groupBy("name").agg(F.count("*").alias("different"), F.max("recurs").alias("any_recurs")).where("different > 1 OR any_recurs").drop("any_recurs")
-    names = kept(names)  # held: the join deals its rows anew and can split a hot name
+    names = kept(open_names(different))  # held: the join deals its rows anew and can split a hot name
     open_ = kept(different.join(names, "name").select("name", "segment", "different", "first.doc", "first.start", "first.end"))
     different.unpersist()
-    size = open_.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
-    texts = found_segments(docs, spread(array_of(words_of(open_, F.col("name")))), True).select("name", "segment", "doc", "start", "bytes")
+    wanted = spread((array_of(words_of(open_, F.col("name"), bits), bits), bits))
+    texts = found_segments(docs, wanted, True).select("name", "segment", "doc", "start", "bytes")
     contested = kept(open_.drop("end").join(texts, ["name", "segment", "doc", "start"]).select("name", "different", "doc", "start", "bytes").distinct())
     open_.unpersist()
-    few = merged_repeats(contested.where(F.col("different") <= HOT_SEGMENTS), max(1, -(-size // BUCKET_BYTES)))
-    many = hashed_repeats(contested.where(F.col("different") > HOT_SEGMENTS))
-    return copies.unionByName(few).unionByName(many)
+    for gram in (*FINER, None):
+        here = F.lit(True) if gram is None else F.col("different") <= HOT_SEGMENTS
+        size, hot = contested.agg(F.sum(F.when(here, F.length("bytes"))), F.count(F.when(~here, 1))).first()
+        found = found.unionByName(merged_repeats(contested.where(here), max(1, -(-(size or 0) // BUCKET_BYTES))))
+        if not hot:
+            break
+        settled, contested = split_names(contested.where(~here), gram)
+        found = found.unionByName(settled)
+    return found
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Only documents that may have ranges are sent to them; a bitmap of fixed size tells the others.
+    Only documents that may have ranges are sent to them; a bitmap tells the others.
     """
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), "text")
-    ranges = staged(removed_ranges(keyed.select("doc", "text")).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "removed")
-    split = marked(keyed, F.xxhash64("doc"), words_of(ranges, F.xxhash64("doc"), DOC_BITS), DOC_BITS)
+    rows, size = keyed.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    name_bits, doc_bits = (min(max((n or 0).bit_length(), least), most) for n, (least, most) in (((size or 0) // 8, NAME_BITS), (rows * 8, DOC_BITS)))
+    ranges = staged(removed_ranges(keyed.select("doc", "text"), name_bits).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "removed")
+    split = marked(keyed, F.xxhash64("doc"), words_of(ranges, F.xxhash64("doc"), doc_bits), doc_bits)
     none = F.expr("cast(NULL AS array<bigint>)")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

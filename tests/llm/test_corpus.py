@@ -227,6 +227,33 @@ def test_merged_transforms_equal_one_sort():
     assert groups(whole) == groups(merged) and len(merged.where) == len(whole.where)
 
 
+def test_merged_common_prefixes_equal_those_of_the_texts():
+    pieces = [prose(s % 4, 40).encode()[s * 3 :] for s in range(9)] + [b"a" * 260, b"\0" * 120 + b"a" * 120]
+    first = np.cumsum([len(p) + 1 for p in pieces]) - [len(p) + 1 for p in pieces]
+    build = suffix_dedup.Transform.build
+    t = build(pieces[:2], 0).merge(build(pieces[2:5], int(first[2]))).merge(build(pieces[5:8], int(first[5])).merge(build(pieces[8:], int(first[8]))))
+
+    def letters(w):
+        own = np.searchsorted(first, w, "right") - 1
+        tail = pieces[own][w - first[own] :]
+        return [tail[k : k + 5] for k in range(0, min(len(tail) - 4, 100), 5)]
+
+    suffixes = [letters(w) for w in t.where]
+    assert sorted(t.where.tolist()) == list(range(sum(len(p) + 1 for p in pieces)))
+    assert all(a <= b for a, b in zip(suffixes, suffixes[1:], strict=False))
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert t.common[1:].tolist() == [shared(a, b) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+
+
+def test_the_transforms_find_what_equal_segments_leave(spark, monkeypatch):
+    passage = prose(60, 40)
+    rows = [(i, f"{prose(800 + i, 30)} {passage} {prose(900 + i, 30)}", "a") for i in range(8)]
+    docs = make_docs(spark, rows)
+    whole = sum(r.n_removed for r in suffix_dedup.dedup(docs).collect())
+    monkeypatch.setattr(suffix_dedup, "merged_repeats", lambda contested, buckets: contested.selectExpr("doc", "start", "start AS end").where("false"))
+    assert whole == sum(v[1] for v in brute_removed(rows).values()) > sum(r.n_removed for r in suffix_dedup.dedup(docs).collect())
+
+
 # --- quality rules
 
 
