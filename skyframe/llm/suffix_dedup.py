@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import array_of, in_array, marked, words_of
-from .staging import kept, staged
+from .staging import discard, kept, staged
 from .wordarrays import U64, TextChunk, chunks, mix
 
 LENGTH, LETTER = 100, 5
@@ -120,16 +120,13 @@ def repeated_names(docs: DataFrame, bits: int) -> Filter:
     return array_of(words_of(names, F.col("name"), bits), bits), bits
 
 
-def found_segments(docs: DataFrame, bitmap, with_bytes: bool, gram: int = GRAM, origin: bool = False) -> DataFrame:
-    """(name, segment, doc, start, end, recurs) and, if asked for, the bytes; segment is their hash.
-
-    With `origin`, texts are pieces of documents and begin at their column `start`.
-    """
+def found_segments(pieces: DataFrame, bitmap, with_bytes: bool, gram: int) -> DataFrame:
+    """(name, segment, doc, start, end, recurs) of pieces(doc, start, text) and, if asked for, the bytes; segment is their hash."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
-            begin = batch.column("start").to_numpy() if origin else np.zeros(len(ids), np.int64)
+            begin = batch.column("start").to_numpy()
             for i, _, c in chunks(batch.column("text"), CHUNK):
                 key, starts, ends, recurs = segments(c, bitmap and bitmap.value, gram)
                 if not len(key):
@@ -142,7 +139,7 @@ def found_segments(docs: DataFrame, bitmap, with_bytes: bool, gram: int = GRAM,
                     cols["bytes"] = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
 
-    return docs.mapInArrow(found, "name long, segment long, doc long, start long, end long, recurs boolean" + ", bytes binary" * with_bytes)
+    return pieces.mapInArrow(found, "name long, segment long, doc long, start long, end long, recurs boolean" + ", bytes binary" * with_bytes)
 
 
 def _ranked(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -320,35 +317,36 @@ def open_names(groups: DataFrame) -> DataFrame:
     return groups.groupBy("name").agg(F.count("*").alias("different"), F.max("recurs").alias("any_recurs")).where("different > 1 OR any_recurs").drop("any_recurs")
 
 
-def split_names(hot: DataFrame, gram: int) -> tuple[DataFrame, DataFrame]:
-    """The segments of hot names, named anew by longer grams: the ranges settled as equal, and what stays contested."""
-    rows = kept(found_segments(hot.select("doc", "start", F.col("bytes").alias("text")), None, True, gram, origin=True))
-    groups = kept(rows.groupBy("name", "segment").agg(F.min(F.struct("doc", "start", "bytes")).alias("first"), F.count("*").alias("n"), F.max("recurs").alias("recurs")))
-    contested = groups.join(open_names(groups), "name").select("name", "different", "first.doc", "first.start", "first.bytes")
-    return staged(later_ones(rows, groups), "ranges"), kept(contested)
+def contested_segments(pieces: DataFrame, names: Filter | None, gram: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Of pieces(doc, start, text), written: the ranges settled as equal segments, and the segments that differ under one name."""
+    spread = pieces.sparkSession.sparkContext.broadcast
+    rows = kept(found_segments(pieces, names and spread(names), False, gram))
+    groups = kept(rows.groupBy("name", "segment").agg(F.min(F.struct("doc", "start", "end")).alias("first"), F.count("*").alias("n"), F.max("recurs").alias("recurs")))
+    settled = staged(later_ones(rows, groups), "ranges")
+    rows.unpersist()
+    open_ = kept(open_names(groups))  # held: the join deals its rows anew and can split a hot name
+    firsts = kept(groups.join(open_, "name").select("name", "segment", "different", "first.doc", "first.start"))
+    groups.unpersist()
+    open_.unpersist()
+    wanted = spread((array_of(words_of(firsts, F.col("name"), bits), bits), bits))
+    texts = found_segments(pieces, wanted, True, gram).select("name", "segment", "doc", "start", "bytes")
+    contested = staged(firsts.join(texts, ["name", "segment", "doc", "start"]).select("name", "different", "doc", "start", "bytes").distinct(), "contested")
+    firsts.unpersist()
+    return settled, contested
 
 
 def removed_ranges(docs: DataFrame, bits: int) -> DataFrame:
-    """(doc, start, end) byte ranges of docs(doc, text) to remove; they may overlap."""
-    spread = docs.sparkSession.sparkContext.broadcast
-    rows = kept(found_segments(docs, spread(repeated_names(docs, bits)), False))
-    different = kept(rows.groupBy("name", "segment").agg(F.min(F.struct("doc", "start", "end")).alias("first"), F.count("*").alias("n"), F.max("recurs").alias("recurs")))
-    found = staged(later_ones(rows, different), "ranges")
-    rows.unpersist()
-    names = kept(open_names(different))  # held: the join deals its rows anew and can split a hot name
-    open_ = kept(different.join(names, "name").select("name", "segment", "different", "first.doc", "first.start", "first.end"))
-    different.unpersist()
-    wanted = spread((array_of(words_of(open_, F.col("name"), bits), bits), bits))
-    texts = found_segments(docs, wanted, True).select("name", "segment", "doc", "start", "bytes")
-    contested = kept(open_.drop("end").join(texts, ["name", "segment", "doc", "start"]).select("name", "different", "doc", "start", "bytes").distinct())
-    open_.unpersist()
+    """(doc, start, end) byte ranges of docs(doc, text) to remove; they may overlap. All that it reads is written."""
+    whole = docs.select("doc", F.lit(0).cast("long").alias("start"), "text")
+    found, contested = contested_segments(whole, repeated_names(docs, bits), GRAM, bits)
     for gram in (*FINER, None):
         here = F.lit(True) if gram is None else F.col("different") <= HOT_SEGMENTS
         size, hot = contested.agg(F.sum(F.when(here, F.length("bytes"))), F.count(F.when(~here, 1))).first()
         found = found.unionByName(merged_repeats(contested.where(here), max(1, -(-(size or 0) // BUCKET_BYTES))))
         if not hot:
             break
-        settled, contested = split_names(contested.where(~here), gram)
+        pieces = contested.where(~here).select("doc", "start", F.col("bytes").alias("text"))
+        settled, contested = contested_segments(pieces, None, gram, bits)
         found = found.unionByName(settled)
     return found
 
@@ -361,7 +359,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), "text")
     rows, size = keyed.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     name_bits, doc_bits = (min(max((n or 0).bit_length(), least), most) for n, (least, most) in (((size or 0) // 8, NAME_BITS), (rows * 8, DOC_BITS)))
-    ranges = staged(removed_ranges(keyed.select("doc", "text"), name_bits).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "removed")
+    found = removed_ranges(keyed.select("doc", "text"), name_bits)
+    ranges = staged(found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "removed")
+    discard(found)
     split = marked(keyed, F.xxhash64("doc"), words_of(ranges, F.xxhash64("doc"), doc_bits), doc_bits)
     none = F.expr("cast(NULL AS array<bigint>)")
 
