@@ -142,15 +142,23 @@ def found_segments(pieces: DataFrame, bitmap, with_bytes: bool, gram: int) -> Da
     return pieces.mapInArrow(found, "name long, segment long, doc long, start long, end long, recurs boolean" + ", bytes binary" * with_bytes)
 
 
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    """The order of non-negative keys, by place among equal ones where key and place fit one number (as letters do)."""
+    bits = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    return np.sort((keys << bits) | np.arange(len(keys))) & ((1 << bits) - 1)
+
+
 def _ranked(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The stable order by several keys, and the dense rank (from 0) of each element."""
+    """An order by several keys, and the dense rank (from 0) of each element."""
     bits = max((int(k.max()).bit_length() for k in keys), default=0)
     if bits * len(keys) <= 63:
         joined = keys[0].astype(np.int64)
         for k in keys[1:]:
             joined = (joined << bits) | k
         keys = [joined]
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(order), bool)
     for k in keys:
         there = k[order]
@@ -213,34 +221,47 @@ class Transform:
 
     def moves(self) -> tuple[np.ndarray, np.ndarray]:
         """The suffixes in the order of the suffixes one letter longer, and those letters."""
-        order = np.argsort(self.before, kind="stable")
+        order = _ordered(self.before)
         return order, self.before[order]
 
     def merge(self, other: Transform) -> Transform:
         """Both in one order, by refinement of the interleave alone.
 
         `low` and `high` bound the other's suffixes that share the letters compared so far with each suffix of this one.
+        Suffixes that share them with none have their place, so each round moves the open ones only.
         """
         n, m = len(self.before), len(other.before)
         order, letters = self.moves()
         to, theirs = other.moves()
-        alphabet, starts = np.unique(theirs, return_index=True)
+        starts = np.flatnonzero(np.append(True, theirs[1:] != theirs[:-1]))
+        alphabet = theirs[starts]
         held = np.repeat(np.arange(len(alphabet)), np.diff(np.append(starts, m))) * (m + 1) + to
         rank = np.searchsorted(alphabet, letters)
         known = np.append(alphabet, -1)[rank] == letters
         base = rank * (m + 1)
         low, high = np.zeros(n, np.int64), np.full(n, m, np.int64)
         above, below = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        # Letters that the other lacks, and ends, have their place after the first letter.
+        placed = ~known
+        placed[: self.ends] = True
+        high[placed] = low[placed] = np.where(np.arange(n) < self.ends, 0, np.searchsorted(held, base))[placed]
+        open_ = np.flatnonzero(~placed)
+        tails = order[open_]
         for k in range(DEPTH):
-            new = np.searchsorted(held, base + np.where(known, low[order], 0))
-            new[: self.ends] = 0
-            top = new.copy()
-            open_ = np.flatnonzero(known & (low < high)[order])
-            top[open_] = np.searchsorted(held, base[open_] + high[order[open_]])
-            top[: self.ends] = 0
-            above[new > low] = k
-            below[top < high] = k
-            low, high = new, top
+            if k == 0:  # no letter compared: every tail is open over all
+                a, b = np.searchsorted(held, base[open_]), np.searchsorted(held, base[open_] + m)
+            else:
+                a, b = low[tails], high[tails]
+                wide = a < b
+                a = np.searchsorted(held, base[open_] + a)
+                top = a.copy()
+                top[wide] = np.searchsorted(held, base[open_[wide]] + b[wide])
+                b = top
+            above[open_[a > low[open_]]] = k
+            below[open_[b < high[open_]]] = k
+            low[open_], high[open_] = a, b
+            still = a < b
+            open_, tails = open_[still], tails[still]
         below[high > low] = DEPTH
         from_other = np.ones(n + m, bool)
         from_other[np.arange(n) + low] = False
