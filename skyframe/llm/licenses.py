@@ -9,7 +9,7 @@ The template table is small (`MOST_TEMPLATE_WORDS` is checked) and is the broadc
 sentinel gram that always joins, so rows without hits stay and texts are tokenised once.
 
 Nulls: a null text is empty: no words, no labels, score 0, null first and last word. A null doc_id is kept.
-Repeated rows get a result each. Extra columns are ignored.
+Repeated rows get a result each. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,3 +126,33 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int =
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), sorted_set(base_labels).alias("base_labels"), sorted_set(F.concat(base_labels, "own")).alias("labels"),
         F.when(F.size("head.base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
+
+
+def _oracle() -> str:
+    """The same rows by the words themselves instead of hashes."""
+    listed = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"('{p[0]}', '{p[1]}', {repr(p[2]) if len(p) > 2 else 'NULL'}, '{label}')" for p, label in PHRASES)
+    split = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {split} AS w FROM documents),
+p AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS i FROM d),
+g AS (SELECT r, i, a, lead(a) OVER v AS b, lead(a, 2) OVER v AS c FROM p WINDOW v AS (PARTITION BY r ORDER BY i)),
+base AS (SELECT r, i, label FROM g JOIN (VALUES {phrases}) ph(x, y, z, label) ON a = x AND b = y AND (z IS NULL OR c = z)),
+t AS (SELECT template, label, {split} AS w FROM (VALUES {listed}) l(template, label, text)),
+tp AS (SELECT template, label, len(w) - {K - 1} AS n, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS place FROM t),
+tg AS (SELECT *, lead(a) OVER v AS b, lead(a, 2) OVER v AS c FROM tp WINDOW v AS (PARTITION BY template ORDER BY place)),
+votes AS (SELECT r, template, label, n, i - place AS diagonal, count(*) AS hits FROM g JOIN tg USING (a, b, c) GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER v <= {NEAR} THEN 0 ELSE 1 END AS step FROM votes WINDOW v AS (PARTITION BY r, template ORDER BY diagonal)),
+runs AS (SELECT *, sum(step) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM steps),
+spans AS (SELECT r, label, least(1::DOUBLE, sum(hits)::DOUBLE / n) AS share FROM runs GROUP BY r, template, label, n, run),
+own AS (SELECT r, label, share FROM spans WHERE share >= {COVER}::DOUBLE),
+bases AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM own) GROUP BY r),
+best AS (SELECT r, max(share) AS share FROM own GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1::DOUBLE ELSE coalesce(share, 0::DOUBLE) END AS score
+FROM d LEFT JOIN bases USING (r) LEFT JOIN named USING (r) LEFT JOIN best USING (r)
+"""
+
+
+ORACLE = _oracle()

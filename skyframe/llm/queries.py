@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pack": op10_pack,
 }
 
-ORACLES: dict[str, str] = {"op1_secrets": secret_scan.ORACLE, "op6_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_secrets": secret_scan.ORACLE, "op6_mix": mixing.ORACLE, "op7_licenses": licenses.ORACLE}

@@ -133,6 +133,45 @@ def test_licenses_equal_brute_force(spark, odd_rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def brute_spans(w: list[str]) -> list[tuple[float, str]]:
+    """(share, label) of the template spans in some words, diagonals compared one by one."""
+    found = []
+    for label, text in licenses.TEMPLATES:
+        t = re.findall("[a-z0-9]+", text.lower())
+        places = len(t) - licenses.K + 1
+        votes = sorted(i - j for i in range(len(w) - licenses.K + 1) for j in range(places) if w[i : i + licenses.K] == t[j : j + licenses.K])
+        runs = np.split(votes, np.flatnonzero(np.diff(votes) > licenses.NEAR) + 1) if votes else []
+        found += [(min(1.0, len(r) / places), label) for r in runs if len(r) / places >= licenses.COVER]
+    return found
+
+
+def test_license_spans_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in range(240):
+        t = licenses.TEMPLATES[n % len(licenses.TEMPLATES)][1].split()
+        for _ in range(n // 48):  # words go, come or change, so that diagonals shift by one or more
+            at, kind = rng.randrange(len(t) + 1), rng.randrange(3)
+            t[at : at + (kind != 1)] = [["extra"] * rng.randrange(1, 5), ["more"], []][kind]
+        parts = [prose(n, rng.randrange(20)), " ".join(t), prose(n + 1, rng.randrange(20))]
+        rows.append((n, " ".join([*parts, *([" ".join(t[: len(t) * 2 // 3])] if n % 5 == 0 else [])]), "a"))
+    got = {r.doc_id: r for r in licenses.scan(make_docs(spark, rows)).collect()}
+    sure = 0
+    for i, text, _ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+        want = brute_spans(w)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert got[i].labels == ",".join(sorted(base | {label for _, label in want})), text
+        assert got[i].score == (1.0 if base else max((s for s, _ in want), default=0.0)), text
+        sure += bool(want)
+    assert 120 < sure < 240
+
+
+def test_license_sql_twin(spark, duck, same):
+    sf = f"{DATA}/sf0.001"
+    same(queries.op7_licenses(spark, sf).toPandas(), duck.execute(queries.ORACLES["op7_licenses"]).df())
+
+
 def contact_rows(n: int):
     rng = random.Random(9)
     number = lambda k: "".join(rng.choice("123456789") for _ in range(k))
