@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, licenses, mixing, near_dedup, packing, personal_data, quality_rules, secret_scan, suffix_dedup
+from . import fingerprints, html_text, licenses, mixing, near_dedup, packing, personal_data, quality_rules, secret_scan, simhash_dedup, source_divergence, spelling, suffix_dedup
 from .staging import staged
 
 
@@ -58,6 +58,18 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_html_text": op2_html_text,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_near_dedup": op9_near_dedup,
     "op10_pack": op10_pack,
+    "op11_divergence": op11_divergence,
+    "op12_simhash": op12_simhash,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLES: dict[str, str] = {"op1_secrets": secret_scan.ORACLE, "op6_mix": mixing.ORACLE, "op7_licenses": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op1_secrets": secret_scan.ORACLE, "op6_mix": mixing.ORACLE, "op7_licenses": licenses.ORACLE, "op11_divergence": source_divergence.ORACLE, "op13_spelling": spelling.ORACLE}
