@@ -67,10 +67,3 @@ def near_pairs(left: DataFrame, right: DataFrame, reach: float, cell: float | No
     b = b.withColumn("cx", F.explode(F.transform(around, lambda d: F.col("bx") + d))).withColumn("cy", F.explode(F.transform(around, lambda d: F.col("by") + d)))
     close = (F.abs(F.col("lx") - F.col("rx")) <= reach) & (F.abs(F.col("ly") - F.col("ry")) <= reach)
     return a.join(b, ["cx", "cy"]).where(close).select("left_id", "right_id")
-
-
-def sky_to_pixel(ra: Column, dec: Column, ra0: Column, dec0: Column, cdelt1: Column, cdelt2: Column, w: int, h: int) -> tuple[Column, Column]:
-    """Linear projection about the cutout's centre; a definition of our own."""
-    x = F.rint((ra - ra0) * F.cos(F.radians(dec0)) / cdelt1 + w / 2).cast("int")
-    y = F.rint((dec - dec0) / cdelt2 + h / 2).cast("int")
-    return x, y

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import cosmology, numeric, stretch, units
 from .functions.names import proposal_name, sample_name
-from .operators import coco, geometry, grg, kernels, pixels, proposals, quality, segment, split
+from .operators import coco, geometry, grg, kernels, pixels, proposals, quality, segment, sky, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -531,6 +531,48 @@ def spatial_range_join(spark, sf_dir):
     return geometry.near_pairs(sky("customer", "c_custkey", "c_acctbal"), sky("supplier", "s_suppkey", "s_acctbal"), 25.0)
 
 
+_SCALE, _FIELD = 2 / 60, 300
+_PLACED = (
+    "cat AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ((l_partkey * 911 + l_linenumber * 13) % 36000) / 100.0::DOUBLE AS ra, ((l_suppkey * 179 + l_orderkey * 7) % 17801) / 100.0::DOUBLE - 89.0::DOUBLE AS dec FROM lineitem), "
+    "cut AS (SELECT s_suppkey AS cutout, (s_suppkey * 360 % 36000) / 100.0::DOUBLE AS ra0, CASE s_suppkey % 10 WHEN 0 THEN 89.0::DOUBLE WHEN 5 THEN -89.0::DOUBLE ELSE ((s_suppkey * 5393) % 17801) / 100.0::DOUBLE - 89.0::DOUBLE END AS dec0, s_suppkey % 2 AS odd FROM supplier), "
+    "turned AS (SELECT *, radians(ra - ra0) AS a, radians(dec) AS d, radians(dec0) AS d0 FROM cat, cut), "
+    "facing AS (SELECT *, sin(d0) * sin(d) + cos(d0) * cos(d) * cos(a) AS f, cos(d) * sin(a) AS east, cos(d0) * sin(d) - sin(d0) * cos(d) * cos(a) AS north FROM turned), "
+    f"plane AS (SELECT *, degrees(east / CASE odd WHEN 1 THEN 1 ELSE f END) / -{_SCALE!r}::DOUBLE AS px, degrees(north / CASE odd WHEN 1 THEN 1 ELSE f END) / {_SCALE!r}::DOUBLE AS py FROM facing WHERE f > 0), "
+    f"placed AS (SELECT *, round_even(150 + px, 0)::INT AS x, round_even(150 + py, 0)::INT AS y FROM plane WHERE abs(px) < 200 AND abs(py) < 200)"
+)
+
+
+def sky_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as components all over the sky, poles and RA 0 included; the supplier is the parent source."""
+    ra = ((F.col("l_partkey") * 911 + F.col("l_linenumber") * 13) % 36000) / F.lit(100.0)
+    dec = ((F.col("l_suppkey") * 179 + F.col("l_orderkey") * 7) % 17801) / F.lit(100.0) - 89.0
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ra.alias("ra"), dec.alias("dec"))
+
+
+def sky_cutouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as cutouts of ten degrees, some at RA 0 and at declinations of 89 degrees; every other one is orthographic."""
+    k = F.col("s_suppkey")
+    ra = (k * 360 % 36000) / F.lit(100.0)
+    dec = F.when(k % 10 == 0, 89.0).when(k % 10 == 5, -89.0).otherwise(((k * 5393) % 17801) / F.lit(100.0) - 89.0)
+    cards = {"CRVAL1": ra, "CRVAL2": dec, "CRPIX1": F.lit(151.0), "CRPIX2": F.lit(151.0), "CDELT1": F.lit(-_SCALE), "CDELT2": F.lit(_SCALE)}
+    kind = F.when(k % 2 == 1, "RA---SIN").otherwise("RA---TAN")
+    header = F.create_map(F.lit("CTYPE1"), kind, *(c for n, v in cards.items() for c in (F.lit(n), v.cast("string"))))
+    return table(spark, sf_dir, "supplier").select(k.alias("cutout"), F.lit(_FIELD).alias("w"), F.lit(_FIELD).alias("h"), header.alias("header"))
+
+
+@query(f"WITH {_PLACED} SELECT cutout, l_orderkey, l_linenumber, l_partkey, x, y FROM placed WHERE x BETWEEN 0 AND 299 AND y BETWEEN 0 AND 299")
+def sky_cutout_join(spark, sf_dir):
+    """Catalogue rows in each cutout at their pixels."""
+    return sky.catalogue_pixels(sky_catalogue(spark, sf_dir), sky_cutouts(spark, sf_dir), "cutout").select("cutout", "l_orderkey", "l_linenumber", "l_partkey", "x", "y")
+
+
+@query(f"WITH {_PLACED}, own AS (SELECT *, dense_rank() OVER (PARTITION BY cutout ORDER BY l_suppkey::VARCHAR) - 1 AS seg_ord FROM placed WHERE x BETWEEN 0 AND 299 AND y BETWEEN 0 AND 299) SELECT cutout, l_suppkey::VARCHAR AS skey, seg_ord::INT AS seg_ord, count(*) AS n, min(x) AS xmin, max(y) AS ymax FROM own GROUP BY ALL")
+def sky_objects(spark, sf_dir):
+    """Objects of each cutout, by the parent source of its catalogue rows."""
+    held = sky.cutout_components(sky_catalogue(spark, sf_dir), sky_cutouts(spark, sf_dir), "l_suppkey", "l_orderkey", "cutout")
+    return held.groupBy("cutout", "skey", "seg_ord").agg(F.count("*").alias("n"), F.min("x").alias("xmin"), F.max("y").alias("ymax"))
+
+
 # --- coco: orders and lineitem ----------------------------------------------------------------------------------------
 
 
