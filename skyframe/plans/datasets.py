@@ -1,7 +1,7 @@
 """The training, search and split plans, each one chain of operators.
 
 Inputs: cutouts(image_id, ra, dec, h, w, data) and components(image_id, skey, seg_ord, ord, x, y); or, from the sky, cutouts with their
-header and a catalogue(ra, dec, source, component), which are joined to components first.
+header and a catalogue(ra, dec, source, component), which are joined to components first; these are read many times and so written once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stretch
 from ..operators import coco, geometry, grg, kernels, pixels, proposals, quality, segment, sky, split
+from ..session import checkpointed
 from ..sources.catalogue import Settings
 
 KEY, VIEW = "image_id", "view_id"
@@ -68,12 +69,12 @@ def training(cutouts: DataFrame, components: DataFrame, s: Settings) -> dict[str
 
 def training_from_catalogue(cutouts: DataFrame, catalogue: DataFrame, s: Settings, source: str = "source", component: str = "component") -> dict[str, DataFrame]:
     """`training` with the catalogue's rows that each cutout shows, grouped to objects by their parent source."""
-    return training(cutouts, sky.cutout_components(catalogue, cutouts, source, component, KEY), s)
+    return training(cutouts, checkpointed(sky.cutout_components(catalogue, cutouts, source, component, KEY)), s)
 
 
 def search_from_catalogue(cutouts: DataFrame, catalogue: DataFrame, s: Settings, component: str = "component") -> dict[str, DataFrame]:
     """`search` with the catalogue's rows that each cutout shows, every one an object of its own."""
-    return search(cutouts, sky.cutout_components(catalogue, cutouts, None, component, KEY), s)
+    return search(cutouts, checkpointed(sky.cutout_components(catalogue, cutouts, None, component, KEY)), s)
 
 
 def search(cutouts: DataFrame, components: DataFrame, s: Settings) -> dict[str, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import cosmology, numeric, stretch, units
 from .functions.names import proposal_name, sample_name
-from .operators import coco, geometry, grg, kernels, pixels, proposals, quality, segment, sky, split
+from .operators import aperture, coco, geometry, grg, kernels, mosaics, pixels, polygons, proposals, quality, reproject, segment, sky, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,13 @@ def _e(z: str) -> str:
     return f"sqrt({cosmology.OMEGA_M!r}::DOUBLE * {a} * {a} * {a} + {cosmology.OMEGA_R!r}::DOUBLE * {a} * {a} * {a} * {a} + {cosmology.OMEGA_L!r}::DOUBLE)"
 
 
+def _e_massive(z: str) -> str:
+    """E(z) with the density of one massive neutrino, for luminosity distances."""
+    a, photon, mass, power = f"(1 + {z})", cosmology.OMEGA_PHOTON, cosmology._MASS, cosmology._POWER
+    heavy = f"pow(1 + pow({mass!r}::DOUBLE / {a}, {power!r}::DOUBLE), {1 / power!r}::DOUBLE)"
+    return f"sqrt({cosmology.OMEGA_M!r}::DOUBLE * {a} * {a} * {a} + {photon!r}::DOUBLE * (1 + {cosmology._EACH!r}::DOUBLE * (2 + {heavy})) * {a} * {a} * {a} * {a} + {cosmology.OMEGA_L!r}::DOUBLE)"
+
+
 _Z = "z AS (SELECT DISTINCT 0.01::DOUBLE + l_discount AS z FROM lineitem)"
 _DC = f"(SELECT sum((CASE WHEN i = 0 OR i = {cosmology.STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / {_e(f'(z * i / {cosmology.STEPS}.0::DOUBLE)')}) FROM range({cosmology.STEPS} + 1) r(i)) * z / {3 * cosmology.STEPS}.0::DOUBLE * {cosmology.hubble_distance()!r}::DOUBLE"
 
@@ -217,6 +224,12 @@ def connected_components(spark, sf_dir):
     return labels(spark, sf_dir)
 
 
+@query(f"WITH RECURSIVE {_LABELS} SELECT * FROM labels")
+def tiled_components(spark, sf_dir):
+    """The same, from tiles of three pixels that are labelled alone and linked across their seams."""
+    return mosaics.label_tiles(mosaics.cut_tiles(rasters(spark, sf_dir), 3, KEY), LEVEL, 3, KEY)
+
+
 _ISLANDS = f"{_LABELS}, islands AS (SELECT vec_id, island_id, count(*)::BIGINT AS area, {_BOX} FROM labels GROUP BY vec_id, island_id)"
 _TOP = f"{_ISLANDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY area DESC, island_id)::INT AS rank FROM islands)"
 
@@ -321,6 +334,66 @@ def cutout_stamps(spark, sf_dir):
     return pixels.cutouts(at, all_pixels(spark, sf_dir), 4, KEY).select("id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), r6("v", "v"))
 
 
+#: The share of a pixel in a circle as the sum over the pixel's edges of the sectors and triangles that an edge spans with the circle's middle.
+_SHARES = (
+    "places AS (SELECT x.i::INT AS x, y.i::INT AS y, x.i - 3.2::DOUBLE AS cx, y.i - 3.6::DOUBLE AS cy FROM range(8) x(i), range(8) y(i)), "
+    "corners AS (SELECT x, y, cx + s.px AS px, cy + s.py AS py, cx + s.qx AS qx, cy + s.qy AS qy FROM places, (VALUES (-0.5::DOUBLE, -0.5::DOUBLE, 0.5::DOUBLE, -0.5::DOUBLE), (0.5, -0.5, 0.5, 0.5), (0.5, 0.5, -0.5, 0.5), (-0.5, 0.5, -0.5, -0.5)) s(px, py, qx, qy)), "
+    "reach AS (SELECT *, -(px * (qx - px) + py * (qy - py)) AS mid, pow(px * (qx - px) + py * (qy - py), 2) - (px * px + py * py - 6.25::DOUBLE) AS disc FROM corners), "
+    "cut AS (SELECT *, CASE WHEN disc <= 0 THEN 1 ELSE least(greatest(mid - sqrt(greatest(disc, 0)), 0), 1) END AS t1, CASE WHEN disc <= 0 THEN 1 ELSE least(greatest(mid + sqrt(greatest(disc, 0)), 0), 1) END AS t2 FROM reach), "
+    "met AS (SELECT *, px + t1 * (qx - px) AS ax, py + t1 * (qy - py) AS ay, px + t2 * (qx - px) AS ux, py + t2 * (qy - py) AS uy FROM cut), "
+    "shares AS (SELECT x, y, sum((6.25::DOUBLE * atan2(px * ay - py * ax, px * ax + py * ay) + (ax * uy - ay * ux) + 6.25::DOUBLE * atan2(ux * qy - uy * qx, ux * qx + uy * qy)) / 2) AS share FROM met GROUP BY x, y)"
+)
+
+
+@query(f"WITH {_PIXELS}, {_SHARES} SELECT vec_id, round(sum(v * share), 6) AS flux, round(sum(share), 6) AS area FROM pixels JOIN shares USING (x, y) WHERE share > 1e-12 GROUP BY vec_id")
+def aperture_exact(spark, sf_dir):
+    """Photometry with exact pixel shares, about a place off the grid."""
+    return aperture.aperture_sum(all_pixels(spark, sf_dir), KEY, 3.2, 3.6, 2.5).select(KEY, r6("flux", "flux"), r6("area", "area"))
+
+
+#: A mosaic of 8 x 8 rasters: vec_id by vec_id, 16 a row.
+_MOSAIC = f"{_PIXELS}, mosaic AS (SELECT (vec_id % 16) * 8 + x AS mx, (vec_id // 16) * 8 + y AS my, v FROM pixels)"
+
+
+@query(f"WITH {_MOSAIC}, p AS (SELECT vec_id, (vec_id % 16) * 8 + vec_id % 5 AS px, (vec_id // 16) * 8 + vec_id % 7 AS py FROM embeddings) SELECT vec_id AS id, (mx - px + 5)::INT AS x, (my - py + 5)::INT AS y, round(v, 6) AS v FROM mosaic JOIN p ON mx BETWEEN px - 5 AND px + 4 AND my BETWEEN py - 5 AND py + 4")
+def mosaic_stamps(spark, sf_dir):
+    """Stamps of ten pixels across the tiles of a mosaic, blank where there is none."""
+    held = rasters(spark, sf_dir).select(F.lit(0).alias("mosaic"), ((F.col(KEY) % 16) * SIDE).cast("int").alias("x0"), (F.floor(F.col(KEY) / 16) * SIDE).cast("int").alias("y0"), "h", "w", "data", KEY)
+    at = held.select("mosaic", F.col(KEY).alias("id"), (F.col("x0") + F.col(KEY) % 5).cast("int").alias("x"), (F.col("y0") + F.col(KEY) % 7).cast("int").alias("y"))
+    cut = mosaics.stamps(at, held.drop(KEY), 10, SIDE, "mosaic")
+    return pixels.explode_pixels(cut, "id", ~F.isnan("v")).select("id", "x", "y", r6("v", "v"))
+
+
+@query(
+    "WITH c AS (SELECT l_orderkey AS vec_id, (l_linenumber % 3)::INT AS polygon, (l_partkey % 8)::INT AS x, (l_suppkey % 8)::INT AS y, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS k, count(*) OVER (PARTITION BY l_orderkey, l_linenumber % 3) AS n FROM lineitem WHERE l_orderkey IN (SELECT vec_id FROM embeddings)), "
+    "e AS (SELECT a.vec_id, a.polygon, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.polygon = b.polygon AND b.k = a.k % a.n + 1 WHERE a.n >= 3), "
+    "p AS (SELECT DISTINCT vec_id, polygon, px.i::INT AS x, py.i::INT AS y FROM e, range(8) px(i), range(8) py(i)), "
+    "j AS (SELECT vec_id, polygon, p.x, p.y, count(*) FILTER ((y1 > p.y) <> (y2 > p.y) AND (p.x - x1) * abs(y2 - y1) < (p.y - y1) * (x2 - x1) * sign(y2 - y1)) AS crossings, "
+    "bool_or((x2 - x1) * (p.y - y1) = (y2 - y1) * (p.x - x1) AND p.x BETWEEN least(x1, x2) AND greatest(x1, x2) AND p.y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS on_edge FROM p JOIN e USING (vec_id, polygon) GROUP BY ALL) "
+    "SELECT DISTINCT vec_id, x, y FROM j WHERE on_edge OR crossings % 2 = 1"
+)
+def polygon_fill(spark, sf_dir):
+    """Pixels of each raster that its segments' positions, taken as outlines, enclose."""
+    listed = components(spark, sf_dir).groupBy(KEY, F.col("seg_ord").alias("polygon")).agg(F.sort_array(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
+    flat = listed.select(KEY, "polygon", F.flatten(F.transform("p", lambda p: F.array(p["x"], p["y"]))).alias("points"))
+    return polygons.fill(flat, KEY, SIDE, SIDE)
+
+
+_DL = f"(SELECT sum((CASE WHEN i = 0 OR i = {cosmology.STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / {_e_massive('(Z * i / ' + str(cosmology.STEPS) + '.0::DOUBLE)')}) FROM range({cosmology.STEPS} + 1) r(i)) * Z * (1 + Z)"
+
+
+@query(
+    f"WITH {_MASK}, o AS (SELECT vec_id, 0.05::DOUBLE + 0.01 * (vec_id % 10) AS z, sum(v) AS total FROM mask GROUP BY vec_id), zs AS (SELECT i::INT AS step, 0.2::DOUBLE + i * ((0.5::DOUBLE - 0.2::DOUBLE) / 3) AS z_new FROM range(4) r(i)), "
+    f"near AS (SELECT DISTINCT z, {_DL.replace('Z', 'z')} AS dl FROM o), far AS (SELECT step, z_new, {_DL.replace('Z', 'z_new')} AS dl FROM zs) "
+    "SELECT vec_id, step, round(z_new, 6) AS z_new, round(total * pow(near.dl / far.dl, 2), 6) AS flux FROM o JOIN near USING (z), far"
+)
+def redshift_sweep(spark, sf_dir):
+    """Flux against redshift in a circle that holds the whole frame."""
+    objects = rasters(spark, sf_dir).select(KEY, "h", "w", F.transform("data", lambda v: F.when(v >= LEVEL, v).otherwise(0.0)).alias("data"), (F.lit(0.05) + F.lit(0.01) * (F.col(KEY) % 10)).alias("z"))
+    lit = objects.where(F.exists("data", lambda v: v > 0))
+    return reproject.sweep(lit, 0.2, 0.5, 4, (16, 16), 12.0, KEY).select(KEY, "step", r6("z_new", "z_new"), r6("flux", "flux"))
+
+
 # --- pixels + components -------------------------------------------------------------------------------------------
 
 

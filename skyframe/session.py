@@ -1,8 +1,10 @@
-"""A Spark session with the settings that the operators expect."""
+"""A Spark session with the settings that the operators expect, and checkpoints."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "skyframe", master: str | None = None, shuffle_partitions: int | None = None, **settings: str) -> SparkSession:
@@ -15,3 +17,11 @@ def session(name: str = "skyframe", master: str | None = None, shuffle_partition
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the folder in spark.checkpoint.dir, which cuts its plan; without that setting to one for this run (local mode)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return df.checkpoint(eager=True)
