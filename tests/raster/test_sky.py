@@ -96,7 +96,7 @@ def test_plans_take_a_catalogue(spark):
     by_hand, by_sky = (p["images"].collect() for p in (datasets.training(cutouts, components, s), datasets.training_from_catalogue(cutouts, catalogue, s)))
     assert sorted(map(str, by_hand)) == sorted(map(str, by_sky)) and by_sky
     found = datasets.search_from_catalogue(cutouts, catalogue, s)["images"].select("metadata.positions").collect()
-    assert {k.split("/")[0] for r in found for k in r.positions} == {"1", "2", "3", "4", "5", "6", "7"}
+    assert {k.split("/")[0] for r in found for k in r.positions} == {"1", "2", "3", "4", "5", "6"}  # an image without proposals goes
 
 
 # --- mosaics
