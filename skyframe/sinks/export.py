@@ -10,19 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import proposal_name
-from ..session import checkpointed
+from ..session import checkpointed, store_of
 
 #: Bytes that are held of a file while it is copied or joined.
 STEP = 4 << 20
 
 
-def store_of(root: str):
-    """(file system, base path) of a folder that every executor reaches."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-
-
 def document_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame, by: str = "split") -> DataFrame:
     """(by, part, id, value): the lines of each split's document in order of part and id. Categories are those of every split.
 
@@ -44,7 +37,7 @@ def write_documents(images: DataFrame, annotations: DataFrame, categories: DataF
     """Writes `root`/<split>/`name` for every split and returns (split, path, bytes).
 
     Lines are sorted in ranges and written as parts; each split's parts are then joined as streams by one task that holds `STEP` bytes at a
-    time, so neither a task nor the driver holds a split. Ids are unique within a table, or lines that share the least id lack a comma: checked.
+    time, so neither a task nor the driver holds a split. Ids that repeat within a table are an error.
     """
     clash = images.groupBy(by, "id").count().where("count > 1").select("id").unionByName(annotations.groupBy(by, "id").count().where("count > 1").select("id"))
     if not clash.isEmpty():

@@ -1,6 +1,6 @@
 """FITS files as DataFrames, read through Spark's own file listing so that any store works.
 
-Files are parsed whole, one a row; a file must fit a task (binary rows are limited to 2 GB).
+Files are parsed whole here, one a row; a file must fit a task (binary rows are limited to 2 GB). `fits_tables` reads larger ones by byte ranges.
 """
 
 from __future__ import annotations
@@ -9,13 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 2880
 _KINDS = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
-# The type codes of binary-table columns and their bytes.
-_CODES = {"L": "S1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "A": "S", "E": ">f4", "D": ">f8"}
 HDUS = "path string, idx int, header map<string,string>, bitpix int, naxis array<int>, data array<double>"
 
 
@@ -62,8 +61,15 @@ def image(header: dict[str, str], bitpix: int, axes: list[int], raw: bytes) -> n
     """Scaled values in file order, or None for units that hold no image."""
     if not axes or header.get("XTENSION", "IMAGE") not in ("IMAGE", "IUEIMAGE"):
         return None
-    a = np.frombuffer(raw[: abs(bitpix) // 8 * int(np.prod(axes))], _KINDS[bitpix]).astype(float)
-    return a * float(header.get("BSCALE", 1)) + float(header.get("BZERO", 0))
+    return pixel_values(header, np.frombuffer(raw[: abs(bitpix) // 8 * int(np.prod(axes))], _KINDS[bitpix]))
+
+
+def pixel_values(header: dict[str, str], stored: np.ndarray) -> np.ndarray:
+    """Stored values as doubles: scaled, and NaN where whole numbers have the value of the BLANK card."""
+    a = stored.astype(float) * float(header.get("BSCALE", 1)) + float(header.get("BZERO", 0))
+    if "BLANK" in header and stored.dtype.kind in "iu":
+        a[stored == int(header["BLANK"])] = np.nan
+    return a
 
 
 def read_hdus(spark: SparkSession, path: str) -> DataFrame:
@@ -100,27 +106,27 @@ def rasters(hdus: DataFrame, idx: int = 0) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: str, idx: int = 1) -> DataFrame:
-    """Rows of a binary table; only the columns of `schema` are decoded. Byte strings become text."""
-    names = spark.createDataFrame([], schema).columns
+    """Rows of a binary table by Spark's binary reader, so that any store works; only the columns of `schema` are decoded.
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for content in f["content"]:
-                for i, (header, _, axes, raw) in enumerate(parse(bytes(content))):
+    Values are as `fits_tables.decoded` states them. A file is held whole; `fits_tables.read` reads byte ranges.
+    """
+    from .fits_tables import decoded, fields
+
+    wanted = spark.createDataFrame([], schema).schema
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                for i, (header, _, axes, raw) in enumerate(parse(content.as_py())):
                     if i != idx or header.get("XTENSION") != "BINTABLE":
                         continue
-                    kinds = []
-                    for c in range(int(header["TFIELDS"])):
-                        form = header[f"TFORM{c + 1}"].strip()
-                        n, code = int(form[:-1] or 1) if form[:-1].isdigit() or len(form) == 1 else 1, form[-1]
-                        kinds.append((header.get(f"TTYPE{c + 1}", f"col{c + 1}"), f"S{n}" if code == "A" else _CODES[code], () if code == "A" or n == 1 else (n,)))
-                    t = np.frombuffer(raw[: axes[0] * axes[1]], np.dtype(kinds))
-                    for a in range(0, max(1, len(t)), 10_000):
-                        part = t[a : a + 10_000]
-                        own = {n: part[n] for n in names}
-                        yield pd.DataFrame({n: [x.decode("utf-8").rstrip() for x in v] if v.dtype.kind == "S" else list(v) if v.ndim > 1 else v.astype(v.dtype.newbyteorder("=")) for n, v in own.items()})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
+                    stride, n = axes[0], axes[1]
+                    heap = int(header.get("THEAP", stride * n))
+                    for a in range(0, n, 10_000):
+                        b = min(n, a + 10_000)
+                        yield decoded(np.frombuffer(raw[a * stride : b * stride], np.uint8).reshape(b - a, stride), fields(header), wanted, lambda at, size, raw=raw, heap=heap: raw[heap + at : heap + at + size])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
 
 
 def to_bytes(data: np.ndarray, header: dict[str, str | float | int] | None = None) -> bytes:
