@@ -263,17 +263,28 @@ def proposals_top4(spark, sf_dir):
     return proposals.subsets(island_properties(spark, sf_dir), KEY, 4)
 
 
-@query(
-    f"WITH {_PIXELS}, p AS (SELECT vec_id, x * 8 + y AS p, (v >= 0.1::DOUBLE)::INT AS m FROM pixels UNION ALL SELECT DISTINCT vec_id, -1, 0 FROM pixels), "
-    "g AS (SELECT *, sum(c) OVER (PARTITION BY vec_id ORDER BY p) AS run FROM (SELECT *, (m <> lag(m, 1, 0) OVER (PARTITION BY vec_id ORDER BY p))::INT AS c FROM p)) "
-    "SELECT vec_id, run::INT AS run, count(*) FILTER (p >= 0)::INT AS length FROM g GROUP BY vec_id, run"
+_RUNS = (
+    f"{_PIXELS}, p AS (SELECT vec_id, x * 8 + y AS p, (v >= 0.1::DOUBLE)::INT AS m FROM pixels UNION ALL SELECT DISTINCT vec_id, -1, 0 FROM pixels), "
+    "g AS (SELECT *, sum(c) OVER (PARTITION BY vec_id ORDER BY p) AS run FROM (SELECT *, (m <> lag(m, 1, 0) OVER (PARTITION BY vec_id ORDER BY p))::INT AS c FROM p)), "
+    "runs AS (SELECT vec_id, run::INT AS run, count(*) FILTER (p >= 0)::INT AS length FROM g GROUP BY vec_id, run)"
 )
+
+
+@query(f"WITH {_RUNS} SELECT * FROM runs")
 def rle_runs(spark, sf_dir):
     runs = pixels.run_lengths(mask(spark, sf_dir), KEY, SIDE, SIDE)
     return runs.select(KEY, F.col("run").cast("int").alias("run"), F.col("length").cast("int").alias("length"))
 
 
-@query(None)
+_MORE = "rest <> CASE WHEN low >= 16 THEN -1 ELSE 0 END"
+
+
+@query(
+    f"WITH RECURSIVE {_RUNS}, d AS (SELECT vec_id, run, CASE WHEN run > 2 THEN length - lag(length, 2) OVER (PARTITION BY vec_id ORDER BY run) ELSE length END AS x FROM runs), "
+    "c AS (SELECT vec_id, run, 0 AS k, x - 32 * floor(x / 32.0::DOUBLE) AS low, floor(x / 32.0::DOUBLE) AS rest FROM d "
+    f"UNION ALL SELECT vec_id, run, k + 1, rest - 32 * floor(rest / 32.0::DOUBLE), floor(rest / 32.0::DOUBLE) FROM c WHERE {_MORE}) "
+    f"SELECT vec_id, string_agg(chr((48 + low + CASE WHEN {_MORE} THEN 32 ELSE 0 END)::INT), '' ORDER BY run, k) AS counts FROM c GROUP BY vec_id"
+)
 def rle_strings(spark, sf_dir):
     return coco.packed_counts(rle_runs(spark, sf_dir), KEY)
 
@@ -539,9 +550,11 @@ def cleaned_images(spark, sf_dir):
     return left.select(KEY, text("grg_positions").alias("grg_positions"), text("all_component_positions").alias("all_positions"), "updated")
 
 
-@query(f"WITH RECURSIVE {_JUDGED} SELECT vec_id FROM placed GROUP BY vec_id HAVING NOT bool_or(inside)")
+@query(f"WITH RECURSIVE {_JUDGED.replace('LEFT JOIN omask m USING (vec_id, x, y)', 'LEFT JOIN omask m ON m.vec_id = p.vec_id AND m.x = (p.x + 4) % 8 AND m.y = p.y')} SELECT vec_id FROM placed GROUP BY vec_id HAVING NOT bool_or(inside)")
 def clean_removed(spark, sf_dir):
-    return quality.clean(*_points_and_mask(spark, sf_dir), KEY).where("removed").select(KEY)
+    """Images that lose their object: the positions are moved by half a raster, as an object's own positions are always in its mask."""
+    points, held = _points_and_mask(spark, sf_dir)
+    return quality.clean(points.withColumn("x", ((F.col("x") + 4) % SIDE).cast("int")), held, KEY).where("removed").select(KEY)
 
 
 @query(
