@@ -349,7 +349,7 @@ def _spans(text: str, label: int, run: list[tuple[int, int]]) -> Iterator[tuple[
         s, e = p[0][0], p[-1][1]
         while e > s and not (text[e - 1].isalnum()):
             e -= 1
-        if e - s <= 400 and formed(kind, text[s:e]):
+        if formed(kind, text[s:e]):
             yield label - 1, s, e
 
 

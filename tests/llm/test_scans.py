@@ -189,6 +189,8 @@ def test_field_finds_what_patterns_miss(spark):
         (("card", "4111.1111.1111.1111"), "pay by card 4111.1111.1111.1111 now"), (("phone", "578 555 6437"), "phone 578 555 6437 now"),
     ]:
         assert found(text) == [want], text
+    long = "b" * 500 + "(at)example[dot]com"  # of any length
+    assert found(f"write to {long} today") == [("email", long)]
     # a later mention is found by its likeness to a known one, however far away, and not alone
     later = "x " * 3000 + "then 44 20 7946 0958 again"
     assert found("a +44 20 7946 0958 b " + later) == [("phone", "44 20 7946 0958")] and found(later) == [] == found("a +44 31 2222 3333 b " + later)
