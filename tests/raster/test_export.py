@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyframe.__main__ import arguments
+from skyframe.__main__ import arguments, main
 from skyframe.operators import coco
 from skyframe.sinks import export, images
 from skyframe.sources import coco_json, proposal_files
@@ -96,3 +96,18 @@ def test_command_line():
     assert arguments(["train", "--cutouts", "c", "--catalogue", "k", "--out", "o"]).settings is None
     with pytest.raises(SystemExit):
         arguments(["search", "--out", "o"])
+
+
+def test_splits_from_the_command_line(spark, tmp_path):
+    pictures, annotations = (df.drop("split").withColumn("split", F.lit("all")) for df in tables(spark, 60))
+    export.write_documents(pictures, annotations, coco.categories(spark), str(tmp_path))
+    for folder in ("png", "npz"):
+        (tmp_path / folder).mkdir()
+    for i in range(60):
+        (tmp_path / "png" / f"g_{i}.png").write_bytes(b"x")
+    main(["split", "--document", str(tmp_path / "all/annotations.json"), "--images", str(tmp_path / "png"), "--proposals", str(tmp_path / "npz"), "--out", str(tmp_path / "out")])
+    docs = {k: json.load(open(tmp_path / "out" / k / "annotations.json")) for k in ("train", "val", "test")}
+    assert {k: len(d["images"]) for k, d in docs.items()} == {"train": 14, "val": 3, "test": 3}
+    for k, d in docs.items():
+        assert {i["file_name"] for i in d["images"]} == {p.name for p in (tmp_path / "out" / k / "images").iterdir()}
+        assert {a["image_id"] for a in d["annotations"]} == {i["id"] for i in d["images"]}
