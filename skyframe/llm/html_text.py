@@ -18,7 +18,10 @@ A path on under `VOTE_SHARE` of a host's pages has no consensus; then the page a
 has at most 1 / VOTE_SHARE winners and verdicts of 1 / VOTE_SHARE times the units of a page.
 
 Scripts, styles, form controls and hidden elements are no text. Character references are decoded, white space within a
-block becomes one space, and blocks are joined by one line feed.
+block becomes one space, and blocks are joined by one line feed. A path with a strong hint that holds `MOSTLY` of the prose on a
+host of fewer than `LEAST_PAGES` is unsure: it is left out unless the page has no text without it and only its names speak against it.
+
+Html is parsed once: units, blocks and what a page tells of its paths are written and read by all that follows.
 
 Nulls: a null html is empty text; all null urls are one host. Repeated rows vote and return each on their own. Empty tables
 give empty results. Extra columns are ignored. Very long pages and deep nesting take linear time and memory.
@@ -44,8 +47,10 @@ VOTE_SHARE = 0.05
 ARTICLE_SHARE = 0.25
 #: Share of the prose from which a path with a strong hint is main text after all, and pages it takes to say so.
 MOSTLY, LEAST_PAGES = 0.8, 3
-#: Hosts up to which the table of paths goes to every task.
-BROADCAST_HOSTS = 50_000
+#: Bytes up to which the table of paths goes to every task.
+BROADCAST_BYTES = 32 << 20
+#: Pages that a task holds parsed at a time.
+SLICE = 64
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -187,7 +192,7 @@ def parse(page: str) -> Page:
         head = page[lt + 1 : lt + 2]
         if head in ("!", "?"):
             if page.startswith("<!--", lt):
-                e = after("-->", lt + 4)
+                e = after("-->", lt + 2)  # <!--> is a whole comment
                 at = e if e >= 0 else n
             elif page.startswith("<![CDATA[", lt) and (e := after("]]>", lt + 9)) >= 0:
                 if not stack[-1].hidden:
@@ -253,25 +258,31 @@ def parse(page: str) -> Page:
 
 @dataclass
 class Measures:
-    """Of each unit: the share of the page's prose it holds itself and in all, and a hash of all its text."""
+    """Of each unit: the share of the page's prose it holds itself and in all."""
 
     own: list[float]
     share: list[float]
-    text: list[int]
 
 
 def measure(p: Page) -> Measures:
-    n = len(p.parent)
-    own, text = [0.0] * n, [0] * n
-    for unit, t, weight in p.blocks:
+    own = [0.0] * len(p.parent)
+    for unit, _, weight in p.blocks:
         own[unit] += weight
-        text[unit] += xxhash.xxh64_intdigest(t)
     share = list(own)
-    for u in range(n - 1, 0, -1):
+    for u in range(len(own) - 1, 0, -1):
         share[p.parent[u]] += share[u]
-        text[p.parent[u]] += text[u]
     total = share[0] or 1.0
-    return Measures([x / total for x in own], [x / total for x in share], [t & (2**63 - 1) for t in text])
+    return Measures([x / total for x in own], [x / total for x in share])
+
+
+def text_hashes(p: Page) -> list[int]:
+    """Of each unit: a hash of all its text."""
+    out = [0] * len(p.parent)
+    for unit, t, _ in p.blocks:
+        out[unit] += xxhash.xxh64_intdigest(t)
+    for u in range(len(out) - 1, 0, -1):
+        out[p.parent[u]] += out[u]
+    return [t & (2**63 - 1) for t in out]
 
 
 def dropped_alone(hint: float, share: float) -> bool:
@@ -279,15 +290,20 @@ def dropped_alone(hint: float, share: float) -> bool:
     return hint >= STRONG or (hint >= WEAK and share < 0.5)
 
 
-def text_of(p: Page, winners: frozenset[int] = frozenset(), verdicts: dict[int, bool] | None = None) -> str:
-    """The page's main text by the host's winning paths and its verdicts (path: left out or not)."""
+def text_of(p: Page, winners: frozenset[int] = frozenset(), verdicts: dict[int, bool] | None = None, unsure: frozenset[int] = frozenset()) -> str:
+    """The page's main text by the host's winning paths, its verdicts (path: left out or not) and the paths left out only where there is other text."""
     m, n = measure(p), len(p.parent)
     verdicts = verdicts or {}
+    tag = lambda x: p.label[x].partition(".")[0]
+    out = [verdicts[p.path[u]] if p.path[u] in verdicts else dropped_alone(p.hint[u], m.share[u]) for u in range(n)]
     gone, depth = [False] * n, [0] * n
     for u in range(1, n):
-        up = p.parent[u]
-        depth[u] = depth[up] + 1
-        gone[u] = gone[up] or (verdicts[p.path[u]] if p.path[u] in verdicts else dropped_alone(p.hint[u], m.share[u]))
+        depth[u] = depth[p.parent[u]] + 1
+        gone[u] = gone[p.parent[u]] or out[u]
+    if unsure and all(gone[u] for u, _, _ in p.blocks):
+        for u in range(1, n):
+            out[u] &= p.path[u] not in unsure or tag(u) in TAG_HINTS
+            gone[u] = gone[p.parent[u]] or out[u]
     held = [u for u in range(n) if m.own[u] > 0 and not gone[u]]
     left = sum(m.own[u] for u in held)
     chosen = [u for u in held if p.path[u] in winners]
@@ -310,7 +326,6 @@ def text_of(p: Page, winners: frozenset[int] = frozenset(), verdicts: dict[int,
     while u:
         u = p.parent[u]
         above.append(u)
-    tag = lambda x: p.label[x].partition(".")[0]
     line = [top, *above]
     named = next((x for x in line if tag(x) == "article"), None) or next((x for x in line if tag(x) == "main"), None)
     beside = next((x for x in reversed(above) if m.own[x] > 0 and tag(x) not in ("body", "")), top)
@@ -327,41 +342,67 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1))
 
 
-TOLD = "host string, path long, text long, parent long, label string, article boolean, pages long, votes double, share double, hint double"
+SAID = "path long, parent long, label string, article boolean, text long, votes double, share double, hint double"
+PARSED = f"units array<struct<parent:int,path:long,label:string,hint:double,article:boolean>>, blocks array<struct<unit:int,text:string,weight:double>>, said array<struct<{SAID.replace(' ', ':').replace(',:', ',')}>>"
+
 
+def structs(rows: list[list[tuple]], kind: str) -> pa.Array:
+    """Lists of structs from lists of tuples, by columns."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.split(":") for f in kind[kind.index("struct<") + 7 : kind.index(">")].split(",")]
+    columns = list(zip(*(t for row in rows for t in row), strict=True)) or [()] * len(fields)
+    values = pa.StructArray.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+    limits = [0]
+    for row in rows:
+        limits.append(limits[-1] + len(row))
+    return pa.ListArray.from_arrays(pa.array(limits, pa.int32()), values)
 
-def told(pages: DataFrame) -> DataFrame:
-    """What the pages tell of each (host, path, text), summed per batch; path 0 counts the pages."""
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tells(p: Page) -> list[tuple]:
+    """What a page says of each of its paths."""
+    m, text = measure(p), text_hashes(p)
+    mine: dict[int, list] = {}
+    for u in range(len(p.parent)):
+        got = mine.setdefault(p.path[u], [p.path[p.parent[u]], p.label[u], p.article[u], 0, 0.0, 0.0, 0.0])
+        got[3] += text[u]
+        got[4] += 0.0 if dropped_alone(p.hint[u], m.share[u]) else m.own[u]
+        got[5] += m.share[u]
+        got[6] = max(got[6], p.hint[u])
+    return [(path, *got[:3], got[3] & (2**63 - 1), got[4], min(got[5], 1.0), got[6]) for path, got in mine.items()]
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Per row: page_id, url, host, its units and blocks, and what it says of its paths."""
+    schema = {c.split(" ", 1)[0]: c.split(" ", 1)[1] for c in PARSED.split(", ")}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[tuple, list] = {}
-            for h, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                p = parse(page.as_py() or "")
-                m = measure(p)
-                mine: dict[int, list] = {}
-                for u in range(len(p.parent)):
-                    out = dropped_alone(p.hint[u], m.share[u])
-                    got = mine.setdefault(p.path[u], [0, p.path[p.parent[u]], p.label[u], p.article[u], 0.0, 0.0, 0.0])
-                    got[0] += m.text[u]
-                    got[4] += 0.0 if out else m.own[u]
-                    got[5] += m.share[u]
-                    got[6] = max(got[6], p.hint[u])
-                for path, (text, parent, label, article, votes, share, hint) in mine.items():
-                    got = rows.setdefault((h, path, text & (2**63 - 1)), [parent, label, article, 0, 0.0, 0.0, 0.0])
-                    for k, v in enumerate((1, votes, min(share, 1.0), hint), 3):
-                        got[k] += v
-            cols = list(zip(*((*k, *v) for k, v in rows.items()), strict=True)) or [()] * 10
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in TOLD.split(", ")])
-
-    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(tell, TOLD)
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                found = [parse(page.as_py() or "") for page in part.column("html")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("page_id"), part.column("url"), part.column("host"),
+                        structs([list(zip(p.parent, p.path, p.label, p.hint, p.article, strict=True)) for p in found], schema["units"]),
+                        structs([p.blocks for p in found], schema["blocks"]), structs([tells(p) for p in found], schema["said"]),
+                    ],
+                    ["page_id", "url", "host", *schema],
+                )
+
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+    return pages.select("page_id", "url", host(F.col("url")).alias("host"), "html").mapInArrow(read, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, {PARSED}")
 
 
 def path_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, parent, label, article, pages, votes, share, hint, recurring): sums, means, and the share of pages whose text at the path another page has too."""
-    by_text = told(pages).groupBy("host", "path", "text").agg(
-        F.min("parent").alias("parent"), F.min("label").alias("label"), F.max("article").alias("article"), *(F.sum(c).alias(c) for c in ("pages", "votes", "share", "hint"))
+    """`votes_of` html."""
+    return votes_of(parsed(pages))
+
+
+def votes_of(read: DataFrame) -> DataFrame:
+    """(host, path, parent, label, article, pages, votes, share, hint, recurring): sums, means, and the share of pages whose text at the path another page has too. Path 0 counts the pages."""
+    told = read.select("host", F.inline("said"))
+    by_text = told.groupBy("host", "path", "text").agg(
+        F.min("parent").alias("parent"), F.min("label").alias("label"), F.max("article").alias("article"), F.count("*").alias("pages"), *(F.sum(c).alias(c) for c in ("votes", "share", "hint"))
     )
     mean = lambda c: F.sum(c) / F.sum("pages")
     return by_text.groupBy("host", "path").agg(
@@ -371,45 +412,78 @@ def path_votes(pages: DataFrame) -> DataFrame:
 
 
 def host_paths(pages: DataFrame, vote_share: float = VOTE_SHARE) -> DataFrame:
-    """(host, winners, left_out, kept): path hashes. Sums are rounded, so that the order of adding doesn't count."""
-    paths = staged(path_votes(pages), "votes").withColumns({c: F.round(c, 6) for c in ("votes", "share", "hint", "recurring")})
+    """`paths_of` html."""
+    return paths_of(parsed(pages), vote_share)
+
+
+def paths_of(read: DataFrame, vote_share: float = VOTE_SHARE) -> DataFrame:
+    """(host, winners, left_out, kept, unsure): path hashes. Sums are rounded, so that the order of adding doesn't count."""
+    paths = staged(votes_of(read), "votes").withColumns({c: F.round(c, 6) for c in ("votes", "share", "hint", "recurring")})
     whole = paths.groupBy("host").agg(
         F.max(F.when(F.col("path") == 0, F.col("pages"))).alias("of"),
         (F.sum(F.when(F.col("article"), F.col("votes")).otherwise(0)) >= ARTICLE_SHARE * F.sum("votes")).alias("articles"),
     )
     around = paths.select("host", F.col("path").alias("parent"), F.col("recurring").alias("around"))
     known = paths.where("path <> 0").join(whole, "host").join(around, ["host", "parent"], "left").where(F.col("pages") >= vote_share * F.col("of"))
-    strong = (F.col("hint") >= (STRONG + WEAK) / 2) & ~((F.col("share") >= MOSTLY) & (F.col("pages") >= LEAST_PAGES))
+    mostly = (F.col("hint") >= (STRONG + WEAK) / 2) & (F.col("share") >= MOSTLY)
+    unsure = mostly & (F.col("pages") < LEAST_PAGES)
+    strong = (F.col("hint") >= (STRONG + WEAK) / 2) & ~mostly
     weak = (F.col("hint") >= WEAK / 2) & (F.col("share") < 0.5)
     again = (F.col("pages") >= LEAST_PAGES) & (F.col("recurring") - F.col("around") >= 0.5) & (F.col("share") < 0.2)
-    judged = known.select("host", "path", "hint", ((F.col("votes") >= vote_share * F.col("of")) & (F.col("article") | ~F.col("articles"))).alias("wins"), (strong | weak | again).alias("out"))
+    judged = known.select("host", "path", "hint", ((F.col("votes") >= vote_share * F.col("of")) & (F.col("article") | ~F.col("articles"))).alias("wins"), (~unsure & (strong | weak | again)).alias("out"), unsure.alias("unsure"))
     listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("path"))))
     return (
         judged.where("wins OR out OR hint > 0").groupBy("host")
-        .agg(listed(F.col("wins") & ~F.col("out")).alias("winners"), listed(F.col("out")).alias("left_out"), listed(~F.col("out") & (F.col("hint") > 0)).alias("kept"))
+        .agg(
+            listed(F.col("wins") & ~F.col("out") & ~F.col("unsure")).alias("winners"), listed(F.col("out")).alias("left_out"),
+            listed(~F.col("out") & ~F.col("unsure") & (F.col("hint") > 0)).alias("kept"), listed(F.col("unsure")).alias("unsure"),
+        )
     )
 
 
 def extract(pages: DataFrame, paths: DataFrame | None) -> DataFrame:
+    """`texts_of` html."""
+    return texts_of(parsed(pages), paths)
+
+
+def texts_of(read: DataFrame, paths: DataFrame | None) -> DataFrame:
     """Per row: page_id, url, text, n_chars. Without `paths` every page decides alone."""
-    lists = ["winners", "left_out", "kept"]
+    lists = ["winners", "left_out", "kept", "unsure"]
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, won, out, kept in zip(batch.column("html"), *(batch.column(c).to_pylist() for c in lists), strict=True):
-                verdicts = dict.fromkeys(out or [], True) | dict.fromkeys(kept or [], False)
-                texts.append(text_of(parse(page.as_py() or ""), frozenset(won or []), verdicts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
-            )
-
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                texts = []
+                for page, won, out, kept, unsure in zip(zip(*(members(part.column(c)) for c in ("units", "blocks")), strict=True), *(part.column(c).to_pylist() for c in lists), strict=True):
+                    (parent, path, label, hint, article), blocks = page
+                    verdicts = dict.fromkeys(out or [], True) | dict.fromkeys(kept or [], False)
+                    texts.append(text_of(Page(parent, path, label, hint, article, list(zip(*blocks, strict=True))), frozenset(won or []), verdicts, frozenset(unsure or [])))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    ["page_id", "url", "text", "n_chars"],
+                )
+
+    rows = read.select("page_id", "url", "host", "units", "blocks")
     if paths is None:
         rows = rows.withColumns({c: F.expr("cast(NULL AS array<bigint>)") for c in lists})
     else:
-        few = paths.count() <= BROADCAST_HOSTS
+        n_hosts, n_paths = paths.agg(F.count("*"), F.coalesce(F.sum(sum(F.size(c) for c in lists)), F.lit(0))).first()
+        few = 128 * n_hosts + 8 * n_paths <= BROADCAST_BYTES
         rows = rows.join(F.broadcast(paths) if few else paths, "host", "left")
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return rows.select("page_id", "url", "html", *lists).mapInArrow(again, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    kinds = {c: read.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+    return rows.select("page_id", "url", "units", "blocks", *lists).mapInArrow(again, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+
+
+def members(column: pa.ListArray) -> Iterator[list[list]]:
+    """Per row, its structs as lists by field."""
+    limits = column.offsets.to_pylist()
+    fields = [f.to_pylist() for f in column.values.slice(limits[0], limits[-1] - limits[0]).flatten()]
+    for a, b in zip(limits, limits[1:], strict=False):
+        yield [f[a - limits[0] : b - limits[0]] for f in fields]
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """Per row of pages: page_id, url, text, n_chars, by the consensus of each host."""
+    read = staged(parsed(pages), "parsed")
+    return texts_of(read, staged(paths_of(read), "paths"))
