@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 BITS = 26
 
 
+def bits_for(keys: int, most: int = BITS) -> int:
+    """Bits' logarithm of a filter with 16 bits a key or more, up to `most`."""
+    return max(16, min(most, (16 * keys).bit_length()))
+
+
 def _place(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed, 64 - bits)
 

@@ -8,12 +8,13 @@ allows the wanted similarity, and confirmed on the full sets.
 
 Pairs are formed without a product within a group. First every class meets the least member of each of its
 band groups, then, where they aren't in one component yet, a member chosen by hash; confirmed links are joined to
-components. The pairs that are alike at all (`ALIKE`) join classes to families. Band groups that hold several families
-are compared whole, registers against registers in blocks of up to twice `BLOCK` members, and families with a likely pair between
-them become one, so any link of two classes that share a band lies within a family. Only
-families that still hold several components are looked at again, in blocks of `BLOCK` members or `BLOCK_BYTES`: full sets of
-different components are compared as a matrix product, and no more links are put out than join components.
-In a band group the work grows with members outside its largest family times members.
+components. The pairs that are alike at all (`ALIKE`) join classes to families. In band groups that hold several families, members
+outside the largest one (open) meet all, registers against registers in blocks of up to twice `BLOCK` members, and families with a
+likely pair between them become one, so any link of two classes that share a band lies within a family. Only
+families that still hold several components are looked at again, in blocks of `BLOCK` members or `BLOCK_BYTES`: full sets of members
+outside the largest component (open) are compared with all as a matrix product, and no more links are put out than join components.
+Blocks are dealt by open members (`dealt`): a group's other members are copied once a block of open ones, not to each other, so
+rows copied and comparisons both grow with a group's open members times its members.
 
 Nulls: a null text or a text without words has the empty set and is linked with nothing. A null doc_id is never linked.
 Rows that share a doc_id and a set share the result. Empty tables give empty results. Extra columns are ignored.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import array_of, in_array, marked, words_of
+from .bitmaps import array_of, bits_for, in_array, marked, words_of
 from .staging import discard, staged
 from .wordarrays import U64, TextChunk, chunks, mix
 
@@ -38,6 +39,8 @@ REGISTERS = BANDS * BAND
 BASE = 1.02
 #: Members of a family, and bytes of their sets, that are compared in one block.
 BLOCK, BLOCK_BYTES = 800, 16 << 20
+#: Logarithm of the most bits of the filter of shared buckets, which grows with them (64 MB).
+FILTER_BITS = 29
 #: Share of equal registers from which classes are of one family.
 ALIKE = 0.5
 #: Standard deviations that a register estimate may fall below the wanted similarity.
@@ -115,7 +118,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def band_hashes(classes: DataFrame, wanted=None) -> DataFrame:
-    """(id, bucket) of each class and band; the band is part of the bucket's hash. `wanted`, a broadcast filter, drops other buckets."""
+    """(id, bucket) of each class and band; the band is part of the bucket's hash. `wanted`, a filter and its bits' logarithm, drops other buckets."""
+    words, bits = wanted or (None, 0)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,8 +130,8 @@ def band_hashes(classes: DataFrame, wanted=None) -> DataFrame:
             for k in range(BAND):
                 h = mix(h * U64(0x9E3779B97F4A7C15) + regs[:, :, k] + U64(1))
             own, h = np.repeat(np.arange(len(h)), BANDS), h.ravel()
-            if wanted is not None:
-                keep = in_array(wanted.value, h)
+            if words is not None:
+                keep = in_array(words.value, h, bits)
                 own, h = own[keep], h[keep]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own)), pa.array(h.view(np.int64))], ["id", "bucket"])
 
@@ -217,8 +221,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def joining_links(sets: list[np.ndarray], component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Index pairs of similar sets that join the components, a forest: no two of them join the same components."""
+def joining_links(sets: list[np.ndarray], component: np.ndarray, opened: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs of similar sets, one of them open, that join the components, a forest: no two of them join the same components."""
     names, component = np.unique(component, return_inverse=True)
     sizes = np.array([len(s) for s in sets])
     parent = list(range(len(names)))
@@ -229,8 +233,7 @@ def joining_links(sets: list[np.ndarray], component: np.ndarray, similarity: flo
             i = parent[i]
         return i
 
-    largest = np.bincount(component).argmax()
-    rows = np.flatnonzero(component != largest)
+    rows = np.flatnonzero(opened)
     values, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     own = np.repeat(np.arange(len(sets)), sizes)
     shared = np.flatnonzero(n[inverse] > 1)  # a shingle of one set is in no intersection
@@ -256,29 +259,45 @@ def joining_links(sets: list[np.ndarray], component: np.ndarray, similarity: flo
     return out
 
 
-def family_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the components of a family, from members(id, family, component, n, bytes) of the families with several."""
-    dealt = (
-        members.withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("id", "family", "component", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right")).join(sets, "id")
+def dealt(members: DataFrame, group: str, part: str, sized: bool = False) -> DataFrame:
+    """Members of the groups that hold several parts, each in the blocks (`left`, `right`) where it meets others, with `opened`: whether it is to meet all of its block.
+
+    A group's open members, those outside its largest part, are cut into blocks 0 to p - 1, the others into p to q - 1, all of at most `BLOCK` members on average and, if `sized`,
+    `BLOCK_BYTES` of the column bytes. Blocks i < p and j >= i meet, so an open member is copied q times and another one p times.
+    """
+    size = F.sum("bytes") if sized else F.lit(0)
+    parts = members.groupBy(group, part).agg(F.count("*").alias("n"), size.alias("bytes"))
+    groups = parts.groupBy(group).agg(F.max_by(F.struct(part, "n", "bytes"), F.struct("n", part)).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
+    cuts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    groups = groups.select(
+        group, F.col(f"most.{part}").alias("largest"), cuts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("p"), cuts(F.col("most.n"), F.col("most.bytes")).alias("r")
     )
+    opened = F.col(part) != F.col("largest")
+    chunk = F.when(F.col("opened"), F.pmod(F.xxhash64("id"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.col("r"))).cast("int")
+    last = F.when(F.col("opened"), F.col("p") + F.col("r")).otherwise(F.col("p")) - 1
+    placed = members.join(groups, group).withColumn("opened", opened).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return placed.select("id", group, part, (F.col("chunk") <= F.col("other")).alias("opened"), F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
+
+
+def family_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the components of a family, from members(id, family, component, bytes)."""
+    blocks = dealt(members, "family", "component", sized=True).join(sets, "id")
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
-        found = joining_links([np.frombuffer(s, np.uint64) for s in f["shingles"]], f["component"].to_numpy(), similarity)
+        found = joining_links([np.frombuffer(s, np.uint64) for s in f["shingles"]], f["component"].to_numpy(), f["opened"].to_numpy(), similarity)
         ids = f["id"].to_numpy()
         return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
 
     kind = members.schema["id"].dataType.simpleString()
-    return dealt.groupBy("family", "left", "right").applyInPandas(meet, f"a {kind}, b {kind}")
+    return blocks.groupBy("family", "left", "right").applyInPandas(meet, f"a {kind}, b {kind}")
 
 
-def joining_pairs(regs: np.ndarray, sizes: np.ndarray, family: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Index pairs with likely registers that join the families, a forest as in `joining_links`."""
+def joining_pairs(regs: np.ndarray, sizes: np.ndarray, family: np.ndarray, opened: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs with likely registers, one of them open, that join the families, a forest as in `joining_links`."""
     names, family = np.unique(family, return_inverse=True)
     parent = np.arange(len(names))
     out = []
-    for i in np.flatnonzero(family != np.bincount(family).argmax()):
+    for i in np.flatnonzero(opened):
         for j in np.flatnonzero(likely((regs[i] > regs).sum(1), (regs[i] < regs).sum(1), np.full(len(sizes), sizes[i]), sizes, similarity) & (parent[family] != parent[family[i]])):
             x, y = parent[family[i]], parent[family[j]]
             if x != y:
@@ -289,26 +308,18 @@ def joining_pairs(regs: np.ndarray, sizes: np.ndarray, family: np.ndarray, simil
 
 def bucket_pairs(shared: DataFrame, family: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Likely pairs (a, b, likely) between families that share a bucket, from shared(id, bucket, n) and family(id, family); as many as join the families of a block."""
-    placed = shared.where("n > 2").join(family, "id", "left").select("id", "bucket", "n", F.coalesce("family", "id").alias("family"))
-    mixed = placed.groupBy("bucket").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("bucket")
-    dealt = (
-        placed.join(mixed, "bucket", "left_semi")
-        .withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("id", "family", "bucket", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
-        .join(classes.select("id", "n_shingles", "registers"), "id")
-    )
+    placed = shared.where("n > 2").join(family, "id", "left").select("id", "bucket", F.coalesce("family", "id").alias("family"))
+    blocks = dealt(placed, "bucket", "family").join(classes.select("id", "n_shingles", "registers"), "id")
     kind = classes.schema["id"].dataType.simpleString()
 
     def meet(t: pa.Table) -> pa.Table:
         regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        family = t.column("family").to_numpy()
-        found = joining_pairs(regs, t.column("n_shingles").to_numpy(), family, similarity) if (family != family[0]).any() else []
+        found = joining_pairs(regs, t.column("n_shingles").to_numpy(), t.column("family").to_numpy(), t.column("opened").to_numpy(zero_copy_only=False), similarity)
         i, j = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
         ids = t.column("id").combine_chunks()
         return pa.table({"a": ids.take(i), "b": ids.take(j)})
 
-    found = dealt.groupBy("bucket", "left", "right").applyInArrow(meet, f"a {kind}, b {kind}")
+    found = blocks.groupBy("bucket", "left", "right").applyInArrow(meet, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("likely")).distinct()
 
 
@@ -352,8 +363,9 @@ def links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     """(id, component) of the classes that have a link, but the least of each component."""
     by_hash = F.min_by("id", F.xxhash64("id", "bucket"))
     groups = staged(band_hashes(classes).groupBy("bucket").agg(F.min("id").alias("least"), by_hash.alias("any"), F.count("*").alias("n")).where("n > 1"), "groups")
-    full = docs.sparkSession.sparkContext.broadcast(array_of(words_of(groups, F.col("bucket"))))
-    shared = staged(band_hashes(classes, full).join(groups, "bucket").select("id", "bucket", "least", "any", "n"), "shared")
+    bits = bits_for(groups.count(), FILTER_BITS)
+    full = docs.sparkSession.sparkContext.broadcast(array_of(words_of(groups, F.col("bucket"), bits), bits))
+    shared = staged(band_hashes(classes, (full, bits)).join(groups, "bucket").select("id", "bucket", "least", "any", "n"), "shared")
     discard(groups)
     pair = lambda c: shared.where(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")).distinct()
     near = staged(alike(pair("least").union(pair("any")).distinct(), classes, similarity), "pairs")
@@ -374,9 +386,11 @@ def links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     discard(shared)
     known = components(both)
     members = either.join(known, "id", "left").join(family.withColumnRenamed("component", "family"), "id", "left").join(classes.select("id", "n_shingles"), "id")
-    members = staged(members.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family"), "n_shingles"), "members")
-    several = staged(members.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("bytes")).where("low <> high").select("family", "n", "bytes"), "families")
-    return components(both.unionByName(family_links(members.join(several, "family"), sets, similarity)))
+    members = staged(members.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family"), (8 * F.col("n_shingles")).alias("bytes")), "members")
+    found = components(both.unionByName(family_links(members, sets, similarity)))
+    for done in (near, across, either, sets, first, both, members):
+        discard(done)
+    return found
 
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
