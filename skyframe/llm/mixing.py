@@ -104,14 +104,23 @@ def sample(docs: DataFrame, weight: Column | None = None, seed: str = SEED, buck
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Whole documents as often as the mix takes them; the document at a budget's limit comes if at least half of it fits."""
+    """Whole documents as often as the mix takes them; the document at a budget's limit comes if at least half of it fits.
+
+    Equal rows share what they take together: each comes as often as all can, and what is left over comes from one of them.
+    """
     row = F.xxhash64(*docs.columns).alias("_row")
-    copies = sample(docs.select("doc_id", "source", "text", row), carry=["_row"])
+    takes = sample(docs.select("doc_id", "source", "text", row), carry=["_row"])
     n = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    copies = copies.select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_of"), n.alias("_copies")).groupBy("_doc", "_of").agg(F.max("_copies").alias("_copies")).where("_copies > 0")
+    copies = takes.groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_of")).agg(F.sum(n).alias("_sum"), F.count("*").alias("_n")).where("_sum > 0")
+    copies = staged(copies.selectExpr("_doc", "_of", "_sum div _n AS _each", "_sum % _n AS _rest"), "copies")
     whole = docs.select(F.struct(*docs.columns).alias("_d"), row)
-    taken = whole.join(copies, F.col("_d.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of")))
-    return taken.select("_d", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_d.*")
+    same = F.col("_d.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of"))
+    often = lambda df, n: df.select("_d", F.explode(F.sequence(F.lit(1).cast("long"), n))).select("_d.*")
+    out = often(whole.join(copies.where("_each > 0"), same), F.col("_each"))
+    left = copies.where("_rest > 0")  # the row at a source's limit, where it is repeated
+    if not left.isEmpty():
+        out = out.unionByName(often(whole.join(left, same).groupBy("_doc", "_of").agg(F.first("_d").alias("_d"), F.first("_rest").alias("_rest")), F.col("_rest")))
+    return out
 
 
 ORACLE = r"""
