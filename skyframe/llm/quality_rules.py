@@ -180,8 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    got = rows.mapInArrow(lambda it: _scored(it, None, True), "quality int, " + ", ".join(f"{b} long" for b in BASE) + ", features array<double>").limit(sample_rows).select("quality", "n_words", "n_repeat_words", "features").collect()
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("quality", "text")  # one text a doc_id, the same in every run
+    got = rows.mapInArrow(lambda it: _scored(it, None, True), "quality int, " + ", ".join(f"{b} long" for b in BASE) + ", features array<double>").select("quality", "n_words", "n_repeat_words", "features").collect()
     got = [r for r in got if r[1] >= 50 and 100 * r[2] <= 50 * r[1]]
     if len(got) < 40 or len({r[0] for r in got}) < 2:
         return None

@@ -153,6 +153,44 @@ def test_pair_that_no_leader_of_its_buckets_is_like(spark, monkeypatch, block):
     assert [tuple(r) for r in got.collect()] == [(901, 900)]
 
 
+def test_large_groups_are_dealt_by_open_members(spark):
+    """20,000 members with ten outside the largest part: five like one of the others, five like none. Others are copied once a block of open ones."""
+    rng = np.random.default_rng(5)
+    n, near, far = 20_000, range(20_000, 20_005), range(20_005, 20_010)
+    regs = rng.integers(1, 60_000, (n + 10, near_dedup.REGISTERS)).astype(np.uint16)
+    sets = rng.integers(0, 2**62, (n + 10, 20)).astype(np.uint64)
+    for i in near:
+        regs[i], sets[i] = regs[7 * (i - n)], sets[7 * (i - n)]
+        regs[i, 0], sets[i, 0] = 0, i
+    sets.sort(axis=1)
+    pdf = pd.DataFrame({"id": range(n + 10), "n_shingles": 20, "registers": [r.tobytes() for r in regs], "shingles": [s.tobytes() for s in sets]})
+    table = spark.createDataFrame(pdf, "id long, n_shingles long, registers binary, shingles binary").repartition(4)
+    part = F.when(F.col("id") < n, F.lit(0).cast("long")).otherwise(F.col("id")).alias("part")
+    want = {(7 * (i - n), i) for i in near}
+
+    shared = table.select("id", F.lit(5).cast("long").alias("bucket"), F.lit(n + 10).alias("n"))
+    found = near_dedup.bucket_pairs(shared, table.select("id", part.alias("family")), table, 0.8).collect()
+    assert {(r.a, r.b) for r in found} == want
+    members = table.select("id", F.lit(1).cast("long").alias("family"), part.alias("component"), F.lit(160).alias("bytes"))
+    assert near_dedup.dealt(members, "family", "component", sized=True).count() == n + 10 * (1 + n // near_dedup.BLOCK)
+    found = near_dedup.family_links(members, table.select("id", "shingles"), 0.8).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found} == want
+
+
+@pytest.mark.parametrize("n_open, n_rest", [(0, 9), (3, 9), (9, 9), (17, 17)])
+def test_blocks_hold_every_open_pair_once(spark, monkeypatch, n_open, n_rest):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rows = [(i, 1, 100 + min(i, n_open)) for i in range(n_open + n_rest)]
+    met = Counter()
+    blocks: dict[tuple, list] = {}
+    for r in near_dedup.dealt(spark.createDataFrame(rows, "id long, g long, part long"), "g", "part").collect():
+        blocks.setdefault((r.left, r.right), []).append(r)
+    for b in blocks.values():
+        met.update({(min(x.id, y.id), max(x.id, y.id)) for x in b if x.opened for y in b if x.id != y.id})
+    assert {(i, j) for i in range(n_open) for j in range(i + 1, n_open + n_rest)} <= set(met)
+    assert all(i < n_open for i, _ in met)
+
+
 def test_one_of_each_keeps_columns(spark, odd_rows):
     docs = make_docs(spark, odd_rows)
     got = near_dedup.one_of_each(docs)
@@ -297,6 +335,8 @@ def test_trees_separate_and_stay_monotone(spark, none):
     assert all(r.kept == bool(r.doc_id % 2) for r in held_out)
     kept = quality_rules.filter_documents(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 100
+    again = quality_rules.fit(docs.union(docs).repartition(7), labels)
+    assert all(np.array_equal(getattr(again, f), getattr(fitted, f)) for f in ("feature", "split", "value"))  # repeated rows count once
     assert quality_rules.fit(none, labels) is None and quality_rules.fit(docs, labels.limit(0)) is None
 
 
@@ -319,6 +359,18 @@ def test_mix_budgets(spark, odd, odd_rows, none):
     assert mixing.sample(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_repeated_rows_take_their_share(spark):
+    """Equal rows across a budget's limit come as often in all as the sample takes them, not each as often as one of them."""
+    rows = [(1, prose(1, 30), "a")] * 40 + [(i, prose(i, 20), "a") for i in range(2, 12)] + [(50 + i, prose(i, 30), "b") for i in range(60)] + [(200, prose(5, 40), "b")] * 3
+    docs = make_docs(spark, rows)
+    taken = mixing.sample(docs).toPandas()
+    n = taken.epochs + ((taken.part > 0) & (2 * taken.part >= taken["size"]))
+    of_one = n[taken.doc_id == 1]
+    assert of_one.min() < of_one.max()  # the limit is among them
+    got = {r.doc_id: r["count"] for r in mixing.mixed_documents(docs).groupBy("doc_id").count().collect()}
+    assert got == {i: k for i, k in n.groupby(taken.doc_id).sum().items() if k}
+
+
 def test_targets_reshare_until_none_is_above(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 300}
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
