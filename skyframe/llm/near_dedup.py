@@ -324,31 +324,34 @@ def bucket_pairs(shared: DataFrame, family: DataFrame, classes: DataFrame, simil
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id that each node of the edges (a, b) reaches, without rows for these least ids themselves, by alternating large-star and small-star steps."""
+    """(id, component): the least id that each node of the edges (a, b) reaches, without rows for these least ids themselves, by alternating large-star and small-star steps until the edges are stars."""
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def least_of(df: DataFrame, m) -> DataFrame:
         """(u, m). `u` is a new column, so that a join on it deals both sides anew and adaptive execution can split a hub's edges."""
         return df.groupBy("u").agg(m.alias("m")).select(F.col("u").bitwiseXOR(F.lit(0).cast(df.schema["u"].dataType)).alias("u"), "m")
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stars(df: DataFrame) -> bool:
+        """Whether each u has one v, and no v is a u: then every component is its least id and what points to it."""
+        sides = df.select(F.col("u").alias("id"), F.col("v").alias("to")).unionByName(df.select(F.col("v").alias("id"), F.lit(None).alias("to")))
+        ends = sides.groupBy("id").agg(F.min("to").alias("least"), F.max("to").alias("most"), F.max(F.col("to").isNull()).alias("is_v"))
+        return ends.where("least < most OR (least IS NOT NULL AND is_v)").agg(F.count("*")).first()[0] == 0
 
-    seen = state(e)
-    while True:
+    while not stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = least_of(both, F.least(F.min("v"), F.col("u")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = least_of(large, F.min("v"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = staged(small, "edges")
-        now = state(after)
         discard(e)
         e = after
-        if now == seen:
-            break
-        seen = now
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def joined(known: DataFrame, more: DataFrame) -> DataFrame:
+    """`components` of the edges that `known` comes from and of `more` (a, b); starts from the stars of `known`, which are fewer than its edges."""
+    return components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -373,7 +376,7 @@ def links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     across = staged(bucket_pairs(shared, family.withColumnRenamed("component", "family"), classes, similarity), "across")
     if not across.isEmpty():
         near = near.unionByName(across)
-        family = components(near)
+        family = joined(family, across)
     either = staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ids")
     sets = staged(full_sets(either, docs, shingle), "sets")
     stars = near.where("likely")
@@ -382,13 +385,13 @@ def links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     rest = stars.join(pair("least"), ["a", "b"], "left_anti")
     side = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}"))
     apart = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
-    both = staged(first.unionByName(confirm(apart, sets, similarity)), "links")
+    second = staged(confirm(apart, sets, similarity), "links")
     discard(shared)
-    known = components(both)
+    known = joined(known, second)
     members = either.join(known, "id", "left").join(family.withColumnRenamed("component", "family"), "id", "left").join(classes.select("id", "n_shingles"), "id")
     members = staged(members.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family"), (8 * F.col("n_shingles")).alias("bytes")), "members")
-    found = components(both.unionByName(family_links(members, sets, similarity)))
-    for done in (near, across, either, sets, first, both, members):
+    found = joined(known, family_links(members, sets, similarity))
+    for done in (near, across, either, sets, first, second, members):
         discard(done)
     return found
 
