@@ -1,9 +1,9 @@
 """Personal data: base patterns, and a skip-chain conditional random field over the tokens near them.
 
 Nodes are the white-space tokens that hold a digit, an @ or a +, or an obfuscated at. Neighbouring nodes share chain
-potentials; repeated or similar nodes (the same place in mentions with the same last seven digits, or the same token) share skip
-potentials with the occurrence before, however far away. Loopy sum-product message passing over whole Arrow batches gives each
-node's label (none, email, ip, card, phone); nodes in base spans are held to theirs. Adjacent nodes of one label form a span if it has that label's looser format
+potentials; repeated or similar nodes share skip potentials with the occurrence before, however far away: one kind for the same place in
+mentions with the same last seven digits (`same`), one for the same token alone (`skip`). Loopy sum-product message passing over whole Arrow batches gives each
+node's label (none, email, ip, card, phone); nodes in base spans are held to theirs, nodes side by side that repeat one mention share their mean. Adjacent nodes of one label form a span if it has that label's looser format
 (`formed`): phones without a +, cards with dots or slashes, defanged addresses, obfuscated emails. Base spans always stay,
 the field adds spans that they do not touch.
 
@@ -132,17 +132,20 @@ def run_features(text: str, run: list[tuple[int, int]]) -> list[float]:
 
 @dataclass
 class Nodes:
-    """The nodes of one text: limits, whether the one before is beside it, and each one's previous similar node (-1: none)."""
+    """The nodes of one text: limits, whether the one before is beside it, each one's previous similar node (-1: none), and whether that is of a mention with the same last digits."""
 
     spans: list[tuple[int, int]]
     chained: list[bool]
     similar: list[int]
+    same: list[bool]
+    run: list[int]  # the first node of those side by side
     features: list[list[float]]
 
 
 def nodes_of(text: str) -> Nodes:
-    spans, chained, similar, features, keys, long = [], [], [], [], [], []
+    spans, chained, similar, same, run, features, keys, long = [], [], [], [], [], [], [], []
     last: dict[str, int] = {}
+    mention: dict[str, tuple[int, int]] = {}  # last node and number of digits of the last mention with some last seven digits
     before = -1
     for m in _WORD.finditer(text):
         raw, s = m.group(), m.start()
@@ -166,13 +169,25 @@ def nodes_of(text: str) -> Nodes:
     for k in range(1, len(spans) + 1):
         if k == len(spans) or not chained[k] or text[spans[k][0]] == "+" or long[k] or long[k - 1]:
             shared, tail = run_features(text, spans[at:k]), _NOT_DIGITS.sub("", text[spans[max(at, k - 20)][0] : spans[k - 1][1]])[-7:]
+            end, most = mention.get(tail, (-1, 0))
+            left = total = sum(len(_DIGITS.findall(text, *spans[i])) for i in range(max(at, k - 20), k))  # digits from the node to the run's end
             for i in range(at, k):
                 features[i] += shared
-                own = [f"{tail}:{k - i}", keys[i]] if len(tail) == 7 and k - i <= 20 else [keys[i]]
-                similar.append(next((last[c] for c in own if c in last), -1))
+                near = len(tail) == 7 and k - i <= 20
+                own = [f"{tail}:{k - i}", keys[i]] if near else [keys[i]]
+                whole = last.get(own[0], -1) if near else -1
+                if near:
+                    if whole < 0 and left <= most:  # the mention before is cut into other tokens
+                        whole = end
+                    left -= len(_DIGITS.findall(text, *spans[i]))
+                similar.append(whole if whole >= 0 else last.get(keys[i], -1))
+                same.append(whole >= 0)
+                run.append(at)
                 last.update(dict.fromkeys(own, i))
+            if len(tail) == 7:
+                mention[tail] = k - 1, total
             at = k
-    return Nodes(spans, chained, similar, features)
+    return Nodes(spans, chained, similar, same, run, features)
 
 
 @dataclass
@@ -180,9 +195,10 @@ class Field:
     unary: np.ndarray  # features x labels
     chain: np.ndarray  # label before x label
     skip: np.ndarray
+    same: np.ndarray | None = None  # as skip, where unset
 
-    def posteriors(self, x: np.ndarray, edges: np.ndarray, skips: np.ndarray, known: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
-        """Label probabilities of all nodes; edges and skips are (earlier, later) node pairs, `known` labels (-1: none) are held."""
+    def posteriors(self, x: np.ndarray, edges: np.ndarray, skips: np.ndarray, known: np.ndarray | None = None, rounds: int = ROUNDS, same: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of all nodes; edges and skips are (earlier, later) node pairs, `known` labels (-1: none) are held, `same` tells the skips between mentions with the same last digits."""
         own = x @ self.unary
         if known is not None:
             held = np.flatnonzero(known >= 0)
@@ -192,7 +208,10 @@ class Field:
         if not len(pairs):
             p = np.exp(own)
             return p / p.sum(1, keepdims=True)
-        psi = np.exp(np.where((np.arange(len(pairs)) < len(edges))[:, None, None], self.chain, self.skip))
+        kinds = np.array([self.chain, self.skip, self.skip if self.same is None else self.same])
+        kind = np.zeros(len(pairs), int)
+        kind[len(edges) :] = 1 if same is None else 1 + same
+        psi = np.exp(kinds[kind])
         a, b = pairs.T
         ahead, back = np.zeros((len(pairs), own.shape[1])), np.zeros((len(pairs), own.shape[1]))
         for _ in range(rounds):
@@ -212,8 +231,8 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
 
-def fit_field(x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarray, similar: np.ndarray, steps: int = 1500) -> Field:
-    """Pseudo-likelihood: a softmax of a node's features and of the labels beside it (-1: none) and at similar nodes.
+def fit_field(x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarray, similar: np.ndarray, same: np.ndarray, steps: int = 1500) -> Field:
+    """Pseudo-likelihood: a softmax of a node's features and of the labels beside it (-1: none) and at similar nodes, apart for both kinds of skips.
 
     Each node counts three times: as it is, with the labels beside it hidden, and with all labels hidden, so that no part relies
     on another that a text may lack.
@@ -221,7 +240,8 @@ def fit_field(x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarra
     n_labels = len(KINDS) + 1
     hot = lambda v: np.eye(n_labels)[np.maximum(v, 0)] * (v >= 0)[:, None]
     hide = np.full_like(before, -1)
-    seen = (before, after, similar), (hide, hide, similar), (hide, hide, hide)
+    skips = np.where(same == 0, similar, -1), np.where(same == 0, -1, similar)
+    seen = (before, after, *skips), (hide, hide, *skips), (hide, hide, hide, hide)
     z = np.concatenate([np.concatenate([x, *map(hot, v)], 1) for v in seen])
     y = np.tile(y, len(seen))
     w, target = np.zeros((z.shape[1], n_labels)), np.eye(n_labels)[y]
@@ -235,13 +255,13 @@ def fit_field(x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarra
         s = z @ ahead
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        after_w = ahead - pace * (z.T @ (weight * (p - target)) / len(z) + 1e-4 * ahead)
+        after_w = ahead - pace * (z.T @ (weight * (p - target)) / len(z) + 1e-5 * ahead)
         ahead = after_w + step / (step + 3) * (after_w - w)
         w = after_w
     w = w / scale[:, None]
     k = x.shape[1]
-    b, a, s = (w[k + i * n_labels : k + (i + 1) * n_labels] for i in range(3))
-    return Field(w[:k], (b + a.T) / 2, (s + s.T) / 2)
+    b, a, s, t = (w[k + i * n_labels : k + (i + 1) * n_labels] for i in range(4))
+    return Field(w[:k], (b + a.T) / 2, (s + s.T) / 2, (t + t.T) / 2)
 
 
 def touched(spans: list[tuple[int, int]], limits: list[tuple[int, int]]) -> list[int]:
@@ -261,9 +281,9 @@ def mentions(text: str, kept: list[tuple[int, int, int]]) -> Iterator[tuple[str,
     """(word before, label, mention): matches written in other forms, see the module's text."""
     for i, (k, s, e) in enumerate(kept[:: max(1, len(kept) // MENTIONS)][:MENTIONS]):
         found, kind = text[s:e], KINDS[k]
-        other, third = (re.sub("[0-9]", lambda d: str((int(d.group()) * m + 7 * d.start() + i) % 10), found) for m in (3, 9))
-        forms = (lambda v: v), (lambda v: re.sub("[^0-9]+", " ", v)), (lambda v: re.sub("[^0-9]+", ".", v))
-        bare = lambda v, n=0: forms[(s + i + n) % 3](v.lstrip("+").strip()).strip(" .")
+        other, third, fourth = (re.sub("[0-9]", lambda d: str((int(d.group()) * m + 7 * d.start() + i) % 10), found) for m in (3, 9, 7))
+        forms = (lambda v: v), (lambda v: re.sub("[^0-9]+", " ", v)), (lambda v: re.sub("[^0-9]+", ".", v)), (lambda v: re.sub("[^0-9]+", "", v))
+        bare = lambda v, n=0: forms[(s + i + n) % 4](v.lstrip("+").strip()).strip(" .")
         if kind == "email":
             name, _, domain = found.rpartition("@")
             for n, cue in enumerate(("and", "mail")):
@@ -273,7 +293,7 @@ def mentions(text: str, kept: list[tuple[int, int, int]]) -> Iterator[tuple[str,
             yield "host", k + 1, other.replace(".", "[.]")
             yield "part", 0, ".".join(found.split(".")[:3])
         elif kind == "card":
-            yield "card", k + 1, re.sub(r"[\x20-]", ".", found)
+            yield "card", k + 1, ".".join(re.findall("[0-9]{1,4}", _NOT_DIGITS.sub("", found)))
             yield "with", k + 1, f"{found} {found}"
             yield "part", 0, other
         else:
@@ -281,6 +301,7 @@ def mentions(text: str, kept: list[tuple[int, int, int]]) -> Iterator[tuple[str,
             yield "with", k + 1, bare(found, 1)
             yield "phone", k + 1, bare(other)
             yield "part", 0, bare(third)
+            yield "list", 0, bare(fourth, 1)
 
 
 def _labelled(text: str) -> tuple[Nodes, list[int]]:
@@ -306,20 +327,28 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if labels[i] >= 0:
                     beside = labels[i - 1] if nodes.chained[i] else -1
                     after = labels[i + 1] if i + 1 < len(labels) and nodes.chained[i + 1] else -1
-                    rows.append([labels[i], beside, after, labels[nodes.similar[i]] if nodes.similar[i] >= 0 else -1, *map(float, nodes.features[i])])
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["node"])
+                    rows.append([labels[i], beside, after, labels[nodes.similar[i]] if nodes.similar[i] >= 0 else -1, nodes.same[i], *map(float, nodes.features[i])])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32()))], ["node"])
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
     held = docs.where("doc_id IS NOT NULL").where(F.col("text").rlike("@|[0-9]{3}"))
     chosen = held.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
     rows = held.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
-    got = rows.mapInArrow(_sampled, "node array<double>").limit(sample_docs * SAMPLE_NODES).collect()
-    if not got:
+    got = rows.mapInArrow(_sampled, "node array<float>").limit(sample_docs * SAMPLE_NODES).toArrow()
+    if not len(got):
         return None
-    m = np.array(sorted(r[0] for r in got))
-    y, before, after, similar = m[:, :4].astype(int).T
-    return fit_field(m[:, 4:], y, before, after, similar) if (y > 0).any() else None
+    m = got.column("node").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1)
+    m = m[np.lexsort(m.T[::-1])]  # the same order in every run
+    y, before, after, similar, same = m[:, :5].astype(int).T
+    return fit_field(m[:, 5:].astype(float), y, before, after, similar, same) if (y > 0).any() else None
+
+
+def one_decision(p: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+    """Label probabilities, those of nodes with one number in `repeat` (the first of them) replaced by their mean."""
+    total = np.zeros_like(p)
+    np.add.at(total, repeat, p)
+    return (total / np.maximum(np.bincount(repeat, minlength=len(p)), 1)[:, None])[repeat]
 
 
 def formed(kind: str, found: str) -> bool:
@@ -361,14 +390,18 @@ def spans_of(texts: list[str], field: Field | None) -> list[tuple[list[tuple[int
     work = [(i, n) for i, n in work if n.spans]
     if work:
         x = np.array([f for _, n in work for f in n.features], float)
-        edges, skips, base, known = [], [], 0, []
+        edges, skips, same, base, known, repeat = [], [], [], 0, [], []
         for i, n in work:
             spans = [b[1:] for b in based[i][0]]
             known += [based[i][0][b][0] + 1 if b >= 0 else -1 for b in touched(n.spans, spans)]
             edges += [(base + k - 1, base + k) for k, c in enumerate(n.chained) if c]
             skips += [(base + j, base + k) for k, j in enumerate(n.similar) if j >= 0]
+            for k, f in enumerate(n.same):  # nodes side by side that repeat one mention
+                repeat.append(repeat[-1] if f and k and n.same[k - 1] and n.run[k] == n.run[k - 1] else base + k)
+            same += [f for f, j in zip(n.same, n.similar, strict=True) if j >= 0]
             base += len(n.spans)
-        p = field.posteriors(x, np.array(edges, np.int64).reshape(-1, 2), np.array(skips, np.int64).reshape(-1, 2), np.array(known, np.int64))
+        p = field.posteriors(x, np.array(edges, np.int64).reshape(-1, 2), np.array(skips, np.int64).reshape(-1, 2), np.array(known, np.int64), same=np.array(same, int))
+        p = one_decision(p, np.array(repeat))
         label = np.where(p[:, 1:].max(1) >= POSTERIOR, p[:, 1:].argmax(1) + 1, 0)
         base = 0
         for i, n in work:

@@ -198,6 +198,62 @@ def test_field_finds_what_patterns_miss(spark):
         assert found(plain) == []
 
 
+def repeats(n: int):
+    """(number with a +, the same one in another form without it)."""
+    rng = random.Random(4)
+    number = lambda k: str(rng.randrange(2 * 10 ** (k - 1), 10**k))
+    for i in range(n):
+        cc, a, b, c = [("44", number(2), number(4), number(4)), ("1", number(3), number(3), number(4)), ("49", number(2), number(3), number(4))][i % 3]
+        known = [f"+{cc} {a} {b} {c}", f"+{cc} ({a}) {b}-{c}", f"+{cc}-{a}-{b}-{c}"][i // 3 % 3]
+        for form in (f"{cc} {a} {b} {c}", f"{cc}.{a}.{b}.{c}", cc + a + b + c, f"({a}) {b}-{c}", f"{a}-{b}-{c}"):
+            yield known, form
+
+
+def test_distant_repeats_of_known_numbers_are_found(spark):
+    field = personal_data.fit(spark.read.parquet(f"{DATA}/sf0.1/documents.parquet"))
+    apart = personal_data.Field(field.unary, field.chain, np.zeros((5, 5)), np.zeros((5, 5)))
+    fill = "the board met in the old hall and spoke of plain things. " * 40
+    pairs = list(repeats(36))
+
+    def found(own, first):
+        texts = [f"you can reach us {'at ' + known if first else ''} all day. {fill}then we used {form} again for that. {fill}" for known, form in pairs]
+        out = 0
+        for t, (_, form), (_, spans) in zip(texts, pairs, personal_data.spans_of(texts, own), strict=True):
+            at = t.rindex(form)
+            out += any(k == 3 and at <= s <= at + 1 and e == at + len(form) for k, s, e in spans)
+        return out
+
+    assert found(field, True) >= 0.9 * len(pairs) and found(field, False) == 0 and found(apart, True) == 0
+
+
+def test_posteriors_are_exact_on_trees():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n, labels = 6, 5
+        table = lambda: rng.normal(0, 1, (labels, labels))
+        field = personal_data.Field(np.eye(labels), table(), table(), table())
+        x, known = rng.normal(0, 1, (n, labels)), np.full(n, -1)
+        known[rng.integers(n)] = rng.integers(labels)
+        tree = np.array([(int(rng.integers(k)), k) for k in range(1, n)])
+        kind = rng.integers(0, 3, n - 1)
+        edges, skips, same = tree[kind == 0], tree[kind > 0], kind[kind > 0] - 1
+        every = np.indices((labels,) * n).reshape(n, -1)
+        score = sum(x[i][every[i]] for i in range(n))
+        score += sum((field.chain, field.skip, field.same)[c][every[a], every[b]] for (a, b), c in zip(tree, kind, strict=True))
+        score[np.any([(k >= 0) & (every[i] != k) for i, k in enumerate(known)], axis=0)] = -np.inf
+        weight = np.exp(score - score.max())
+        want = np.array([np.bincount(every[i], weight, labels) for i in range(n)]) / weight.sum()
+        got = field.posteriors(x, edges, skips, known, rounds=60, same=same)
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_nodes_of_a_repeat_share_a_decision():
+    nodes = personal_data.nodes_of("at +49-30-2345-6789 and later 2020. So 49 30 2345 6789 it is, and 6789")
+    assert nodes.similar == [-1, -1, 0, 0, 0, 0, 5] and nodes.same == [False, False, True, True, True, True, False]
+    p = np.array([[0.9, 0.1], [0.2, 0.8], [0.6, 0.4]])
+    assert np.allclose(personal_data.one_decision(p, np.array([0, 1, 1])), [[0.9, 0.1], [0.4, 0.6], [0.4, 0.6]])
+
+
 def test_odd_private_texts_take_linear_time():
     field = personal_data.Field(np.zeros((34, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
     n = len(personal_data.nodes_of("a1").features[0])
