@@ -86,6 +86,39 @@ def test_catalogue_rows_become_components(spark):
     assert sky.cutout_components(catalogue, cutouts.limit(0), "source", "component").count() == 0
 
 
+def test_objects_are_summed_components(spark):
+    cutouts, catalogue = sky_tables(spark)
+    for source in ("source", None):
+        one = sky.cutout_components(catalogue, cutouts, source, "component").groupBy("image_id", "skey", "seg_ord").agg(F.count("*").alias("n"), *pixels.box_columns())
+        got = sky.cutout_objects(catalogue, cutouts, source, "component").select(*one.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect())) and got.count() >= 5
+    assert sky.cutout_objects(catalogue, cutouts.limit(0), "source", "component").count() == 0
+
+
+def test_pairs_of_a_catalogue_are_cheap(spark):
+    """Headers are read once a cutout, not once for each use in a filter below (3.6 million characters before), and pairs need no trigonometry."""
+    from skyframe import queries
+    from tests.conftest import DATA
+
+    plan = queries.sky_cutout_join(spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 200_000
+    join = plan[: plan.index("isnotnull(cell")].split("\n")
+    assert not any(f in line for line in join if " Join " in line or line.startswith(("Project", "+- Filter")) for f in ("SIN(", "COS(", "ASIN(", "POWER("))
+
+
+def test_pixels_of_pairs_equal_the_projection(spark):
+    rng = np.random.default_rng(5)
+    cutouts = spark.createDataFrame([(k, 90, 70, h) for k, h in enumerate(headers())] + [(9, 90, 70, headers()[0] | {"CDELT1": "0"})], "image_id int, w int, h int, header map<string,string>")
+    rows = [(i, float(a % 360), float(d)) for i, (a, d) in enumerate(zip(rng.uniform(355, 365, 400), rng.uniform(60, 64, 400), strict=True))] + [(1000 + i, 3.6 * i, 89.5 + 0.004 * i) for i in range(100)]
+    catalogue = spark.createDataFrame(rows, "i int, ra double, dec double")
+    all_pairs = catalogue.crossJoin(cutouts.where("image_id < 9").withColumn("wcs", sky.wcs(F.col("header"))))
+    x, y = sky.to_pixel(F.col("ra"), F.col("dec"), F.col("wcs"))
+    inside = F.col("x").between(0, F.col("w") - 1) & F.col("y").between(0, F.col("h") - 1)
+    want = all_pairs.withColumns({"x": F.rint(x), "y": F.rint(y)}).where(inside).select("i", "image_id", F.col("x").cast("int"), F.col("y").cast("int"))
+    got = sky.catalogue_pixels(catalogue, cutouts).select("i", "image_id", "x", "y")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and {r.image_id for r in got.collect()} == {0, 1, 2, 3, 4}
+
+
 def test_plans_take_a_catalogue(spark):
     cutouts, catalogue = sky_tables(spark)
     y, x = np.mgrid[:41, :41]
