@@ -295,16 +295,20 @@ def rle_decode(spark, sf_dir):
     return pixels.runs_to_mask(coco.unpacked_counts(rle_strings(spark, sf_dir), KEY), KEY, SIDE)
 
 
+def _plane(spark: SparkSession, sf_dir: str, name: str, key: str, across: str, *more: Column) -> DataFrame:
+    """Rows of a table as points (id, x, y) of a plane."""
+    return table(spark, sf_dir, name).select(F.col(key).alias("id"), (F.col(across) / 10).alias("x"), ((F.col(key) % 100).cast("double") * 10).alias("y"), *more)
+
+
 @query(
     "WITH l AS (SELECT c_custkey AS id, c_acctbal / 10 AS x, (c_custkey % 100)::DOUBLE * 10 AS y, c_nationkey AS g FROM customer), r AS (SELECT s_suppkey AS id, s_acctbal / 10 AS x, (s_suppkey % 100)::DOUBLE * 10 AS y FROM supplier), "
     "j AS (SELECT r.id, l.g, l.id AS p FROM l JOIN r ON abs(l.x - r.x) <= 25 AND abs(l.y - r.y) <= 25) SELECT id AS cutout, g AS parent, count(*) AS n, string_agg(p::VARCHAR, ',' ORDER BY p) AS members FROM j GROUP BY id, g"
 )
 def cutout_components(spark, sf_dir):
     """Catalogue components near each cutout, grouped by their parent source."""
-    pairs = spatial_range_join(spark, sf_dir)
-    parents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("left_id"), F.col("c_nationkey").alias("parent"))
-    held = pairs.join(parents, "left_id").groupBy(F.col("right_id").alias("cutout"), "parent").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("left_id")).alias("m"))
-    return held.select("cutout", "parent", "n", F.array_join(F.transform("m", lambda i: i.cast("string")), ",").alias("members"))
+    parents = _plane(spark, sf_dir, "customer", "c_custkey", "c_acctbal", F.col("c_nationkey").alias("parent"))
+    held = geometry.near_members(parents, _plane(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal"), 25.0, "parent")
+    return held.select(F.col("right_id").alias("cutout"), "parent", "n", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 @query(f"WITH {_PIXELS} SELECT vec_id, y AS x, 7 - x AS y, round(v, 6) AS v FROM pixels")
@@ -613,8 +617,7 @@ def rotated_rect(spark, sf_dir):
     "SELECT l.id AS left_id, r.id AS right_id FROM l JOIN r ON abs(l.x - r.x) <= 25 AND abs(l.y - r.y) <= 25"
 )
 def spatial_range_join(spark, sf_dir):
-    sky = lambda name, i, b: table(spark, sf_dir, name).select(F.col(i).alias("id"), (F.col(b) / 10).alias("x"), ((F.col(i) % 100).cast("double") * 10).alias("y"))
-    return geometry.near_pairs(sky("customer", "c_custkey", "c_acctbal"), sky("supplier", "s_suppkey", "s_acctbal"), 25.0)
+    return geometry.near_pairs(_plane(spark, sf_dir, "customer", "c_custkey", "c_acctbal"), _plane(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal"), 25.0)
 
 
 _SCALE, _FIELD = 2 / 60, 300

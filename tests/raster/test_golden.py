@@ -269,3 +269,20 @@ def test_training_and_search_plans(spark):
     found = datasets.search(cut, comps, s)
     assert found["images"].count() == 1 and found["proposals"].count() == 3
     assert spark.range(1).select(names.proposal_name(F.lit("a.png"))).first()[0] == "a.npz"
+
+
+@pytest.mark.parametrize("cell", [None, 3.0, 40.0])
+def test_members_of_near_points_are_lists_without_pairs(spark, cell):
+    rng = np.random.default_rng(4)
+    left = [(i, float(x), float(y), None if i % 5 == 0 else i % 3) for i, (x, y) in enumerate(rng.integers(-30, 30, (200, 2)))] + [(900, None, 1.0, 1)]
+    right = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-30, 30, (40, 2)))] + [(99, 5.0, None)]
+    a, b = spark.createDataFrame(left, "id int, x double, y double, g int"), spark.createDataFrame(right, "id int, x double, y double")
+    want = {}
+    for j, rx, ry in right[:-1]:
+        for i, x, y, g in left[:-1]:
+            if abs(x - rx) <= 5 and abs(y - ry) <= 5:
+                want.setdefault((j, g), []).append(i)
+    found = geometry.near_members(a, b, 5.0, "g", cell)
+    assert {(r.right_id, r.g): (r.n, r.members) for r in found.collect()} == {k: (len(v), sorted(v)) for k, v in want.items()}
+    pairs = sorted((r.left_id, r.right_id) for r in geometry.near_pairs(a, b, 5.0, cell).collect())
+    assert pairs == sorted((i, j) for (j, _), v in want.items() for i in v)
