@@ -69,30 +69,38 @@ def sampling_key(doc_id: Column, size: Column, weight: Column, seed: str = SEED)
     return -F.ln(u) / weight
 
 
-def sample(docs: DataFrame, weight: Column | None = None, seed: str = SEED, buckets: int = KEY_BUCKETS, carry: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, epochs, taken (words, repeats counted) and the columns `carry`."""
-    carry = carry or []
-    size = n_words(F.col("text"))
-    light = staged(
-        docs.select("doc_id", "source", *carry, size.alias("size"), (weight if weight is not None else quality_weight(F.col("text"))).alias("quality"))
-        .withColumn("sampling_key", sampling_key(F.col("doc_id"), F.col("size"), F.col("quality"), seed))
-        .withColumn("bucket", F.least(F.floor((1.0 - F.exp(-F.col("sampling_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
-        .withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-        .drop("quality"),
-        "mix",
-    )
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def keyed(docs: DataFrame, weight: Column | None = None, seed: str = SEED, buckets: int = KEY_BUCKETS) -> DataFrame:
+    """`docs` with size, sampling_key, bucket (a range of keys) and source_key (never null)."""
+    sized = docs.withColumn("size", n_words(F.col("text")))
+    key = sampling_key(F.col("doc_id"), F.col("size"), weight if weight is not None else quality_weight(F.col("text")), seed)
+    return sized.withColumn("sampling_key", key).withColumns({"bucket": F.least(F.floor((1.0 - F.exp(-F.col("sampling_key"))) * buckets), F.lit(buckets - 1)).cast("int"), "source_key": _source_key(F.col("source"))})
+
+
+def budgets(light: DataFrame) -> DataFrame:
+    """(source_key, bucket, before, source_size, target, epochs, rest): each key range with the words of its source before it and what the source's target leaves after complete epochs."""
     ranges = light.groupBy("source_key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
     totals = ranges.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
-    plan = targets(totals).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    plan = targets(totals).withColumn("source_key", _source_key(F.col("source"))).drop("source")
     budget = F.floor("target")
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
+    return (
         ranges.drop("source").withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
         .join(plan, "source_key")
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0))
         .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
         .drop("bucket_size")
     )
+
+
+def sample(docs: DataFrame, weight: Column | None = None, seed: str = SEED, buckets: int = KEY_BUCKETS, carry: list[str] | None = None) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, epochs, taken (words, repeats counted) and the columns `carry`."""
+    carry = carry or []
+    light = staged(keyed(docs, weight, seed, buckets).select("doc_id", "source", *carry, "size", "sampling_key", "bucket", "source_key"), "mix")
+    ranges = budgets(light)
     within = Window.partitionBy("source_key", "bucket").orderBy("sampling_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
         light.join(ranges, ["source_key", "bucket"])
@@ -107,20 +115,43 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """Whole documents as often as the mix takes them; the document at a budget's limit comes if at least half of it fits.
 
     Equal rows share what they take together: each comes as often as all can, and what is left over comes from one of them.
+
+    A source's limit is one place in the order of its keys: rows before it are taken once more than its epochs, rows after it aren't. So
+    a row a source is sent to all tasks, and texts are neither joined by a shuffle nor written; only rows at the very limit
+    (equal key, doc_id and size) are grouped.
     """
     row = F.xxhash64(*docs.columns).alias("_row")
-    takes = sample(docs.select("doc_id", "source", "text", row), carry=["_row"])
-    n = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    copies = takes.groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_of")).agg(F.sum(n).alias("_sum"), F.count("*").alias("_n")).where("_sum > 0")
-    copies = staged(copies.selectExpr("_doc", "_of", "_sum div _n AS _each", "_sum % _n AS _rest"), "copies")
-    whole = docs.select(F.struct(*docs.columns).alias("_d"), row)
-    same = F.col("_d.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of"))
-    often = lambda df, n: df.select("_d", F.explode(F.sequence(F.lit(1).cast("long"), n))).select("_d.*")
-    out = often(whole.join(copies.where("_each > 0"), same), F.col("_each"))
-    left = copies.where("_rest > 0")  # the row at a source's limit, where it is repeated
-    if not left.isEmpty():
-        out = out.unionByName(often(whole.join(left, same).groupBy("_doc", "_of").agg(F.first("_d").alias("_d"), F.first("_rest").alias("_rest")), F.col("_rest")))
-    return out
+    light = staged(keyed(docs.select("doc_id", "source", "text", row)).select("doc_id", "source", "_row", "size", "sampling_key", "bucket", "source_key"), "mix")
+    ranges = staged(budgets(light), "ranges")
+    place = F.struct("sampling_key", F.col("doc_id").isNull().alias("none"), "doc_id", "size")
+    by_bucket = Window.partitionBy("source_key").orderBy(F.desc("bucket"))
+    last = ranges.where("before <= rest").withColumn("_n", F.row_number().over(by_bucket)).where("_n = 1").select("source_key", "bucket", "before", "rest")
+    within = Window.partitionBy("source_key").orderBy("sampling_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = light.join(F.broadcast(last), ["source_key", "bucket"]).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    limit = placed.where("before + size > rest").groupBy("source_key").agg(F.min(place).alias("_limit"))
+    sources = ranges.select("source_key", "epochs").distinct().join(limit, "source_key", "left").join(last.select("source_key", F.col("bucket").alias("_last")), "source_key", "left")
+    sources = staged(sources, "limits")
+    own = keyed(docs.select(F.struct(*docs.columns).alias("_d"), "doc_id", "source", "text", row)).withColumn("_place", place)
+    met = own.join(F.broadcast(sources), "source_key")
+    before = (F.col("bucket") < F.col("_last")) | ((F.col("bucket") == F.col("_last")) & (F.col("_limit").isNull() | (F.col("_place") < F.col("_limit"))))
+    at_limit = F.col("_place").eqNullSafe(F.col("_limit"))
+    n = F.col("epochs") + F.when(F.coalesce(before, F.lit(False)) & (F.col("size") > 0), 1).otherwise(0)
+    often = lambda df, n: df.where(n > 0).select("_d", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select("_d.*")
+    out = often(met.where(~at_limit), n)
+
+    ties = light.withColumn("_place", place).join(F.broadcast(sources.where("_limit IS NOT NULL")), "source_key").where(at_limit)
+    groups = ties.groupBy("source_key", "_row").agg(F.count("*").alias("_n"), F.first(F.struct("doc_id")).alias("_of"), F.first("size").alias("size"), F.first("epochs").alias("epochs"))
+    first = placed.withColumn("_place", place).join(F.broadcast(limit), "source_key").where(at_limit).groupBy("source_key").agg(F.min("before").alias("before"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("source_key").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("_n") * F.col("size")).over(order), F.lit(0))
+    shares = groups.join(F.broadcast(first), "source_key").withColumn("_room", F.greatest(room, F.lit(0)))
+    shares = shares.withColumn("_full", F.least(F.col("_n"), F.floor(F.col("_room") / F.col("size"))))
+    part = (F.col("_full") < F.col("_n")) & (2 * (F.col("_room") - F.col("_full") * F.col("size")) >= F.col("size"))
+    shares = shares.withColumn("_sum", F.col("epochs") * F.col("_n") + F.col("_full") + part.cast("long")).selectExpr("source_key", "_row", "_of.doc_id AS _doc", "_sum div _n AS _each", "_sum % _n AS _rest")
+    whole = docs.select(F.struct(*docs.columns).alias("_d"), _source_key(F.col("source")).alias("source_key"), row)
+    tied = whole.join(staged(shares, "shares"), ["source_key", "_row"]).where(F.col("_d.doc_id").eqNullSafe(F.col("_doc")))
+    out = out.unionByName(often(tied, F.col("_each")))
+    return out.unionByName(often(tied.groupBy("source_key", "_row").agg(F.first("_d").alias("_d"), F.first("_rest").alias("_rest")), F.col("_rest")))
 
 
 ORACLE = r"""

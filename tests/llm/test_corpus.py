@@ -371,6 +371,24 @@ def test_repeated_rows_take_their_share(spark):
     assert got == {i: k for i, k in n.groupby(taken.doc_id).sum().items() if k}
 
 
+def test_mix_sends_no_texts(spark):
+    """Only rows at a source's limit are grouped; the others are decided where they are read, by a row a source."""
+    docs = make_docs(spark, [(i, prose(i, 5 + i % 40), "abc"[i % 3]) for i in range(300)] + [(None, prose(5, 9), "a")] * 3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as at size, where a table a document is too large to broadcast
+    try:
+        mixed = mixing.mixed_documents(docs)
+        branch = mixed._jdf.queryExecution().sparkPlan().children().apply(0).toString()
+        assert "SortMergeJoin" not in branch and "ShuffledHashJoin" not in branch
+        got = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    taken = mixing.sample(docs).toPandas()
+    n = taken.epochs + ((taken.part > 0) & (2 * taken.part >= taken["size"]))
+    want = n.groupby(taken.doc_id.fillna(-1)).sum()
+    assert {-1 if k is None else k: v for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
 def test_targets_reshare_until_none_is_above(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 300}
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
