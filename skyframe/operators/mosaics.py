@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .kernels import label_runs
 
+#: Pixels of the tiles that a task labels together.
+TOGETHER = 1 << 20
+
 
 def cut_tiles(rasters: DataFrame, size: int, key: str = "raster_id") -> DataFrame:
     """Tiles of packed rasters."""
@@ -49,24 +52,34 @@ def joined_ids(edges: DataFrame, *keys: str) -> DataFrame:
         seen = now
 
 
+def tile_labels(frames: Iterator[pd.DataFrame], level: float, key: str) -> Iterator[pd.DataFrame]:
+    """(key, x, y, id) of frames of tiles with their raster's `width`; tiles of one shape are labelled as one image, a blank line apart."""
+    for f in frames:
+        for (h, w), same in f[(f["h"] > 0) & (f["w"] > 0)].groupby(["h", "w"], sort=False):
+            step = max(1, TOGETHER // (h * w))
+            for n in range(0, len(same), step):
+                part = same.iloc[n : n + step]
+                tall = np.zeros((len(part), h + 1, w), bool)
+                with np.errstate(invalid="ignore"):
+                    for mask, data in zip(tall, part["data"], strict=True):
+                        mask[:h] = np.asarray(data, float).reshape(h, w) >= level
+                i, island = label_runs(tall.reshape(-1, w))
+                at, first = i // ((h + 1) * w), island % ((h + 1) * w)
+                x0, y0, width = (part[c].to_numpy(np.int64)[at] for c in ("x0", "y0", "width"))
+                yield pd.DataFrame({key: part[key].take(at).array, "x": (i % w + x0).astype(np.int32), "y": (i // w % (h + 1) + y0).astype(np.int32), "id": (first // w + y0) * width + first % w + x0})
+
+
 def label_tiles(tiles: DataFrame, level: float, size: int, key: str = "raster_id") -> DataFrame:
     """(key, x, y, island_id) of the pixels at or over `level`, as `label_components` gives them for the whole raster.
 
     Each tile is labelled alone, with ids that are places in the whole raster: its first pixel in scan order, y * width + x. Border
-    pixels that face each other across a seam link ids, and linked ids become their least one. A task holds one tile at a time.
+    pixels that face each other across a seam link ids, and linked ids become their least one. A task labels tiles of one shape
+    together, as many as have `TOGETHER` pixels, or one larger tile.
     """
     width = tiles.groupBy(key).agg(F.max(F.col("x0") + F.col("w")).cast("long").alias("width"))
 
-    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for k, x0, y0, h, w, width, data in zip(f[key], f["x0"], f["y0"], f["h"], f["w"], f["width"], f["data"], strict=True):
-                with np.errstate(invalid="ignore"):
-                    i, island = label_runs(np.asarray(data, float).reshape(h, w) >= level)
-                x, y = i % w, i // w
-                yield pd.DataFrame({key: np.full(len(i), k), "x": (x + x0).astype(np.int32), "y": (y + y0).astype(np.int32), "id": (island // w + y0) * int(width) + island % w + x0})
-
     kind = tiles.schema[key].dataType.simpleString()
-    own = checkpointed(tiles.join(width, key).mapInPandas(label, f"{key} {kind}, x int, y int, id long"))
+    own = checkpointed(tiles.join(width, key).mapInPandas(lambda frames: tile_labels(frames, level, key), f"{key} {kind}, x int, y int, id long"))
 
     def facing(axis: str) -> DataFrame:
         left = own.where((F.col(axis) + 1) % size == 0).withColumn(axis, F.col(axis) + 1).withColumnRenamed("id", "a")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,20 @@ def test_tiles_are_labelled_as_the_whole(spark, size):
     assert mosaics.label_tiles(tiles.limit(0), 0.45, size).count() == 0
 
 
+def test_small_tiles_are_labelled_together():
+    rng = np.random.default_rng(3)
+    rows = [(f"r{k}", x0, y0, h, w, 6, rng.random(h * w)) for k in range(400) for x0, y0, h, w in ((0, 0, 4, 4), (4, 0, 4, 2), (0, 4, 1, 4), (4, 4, 0, 2))]
+    tiles = pd.DataFrame(rows, columns=["k", "x0", "y0", "h", "w", "width", "data"])
+    found = list(mosaics.tile_labels(iter([tiles]), 0.4, "k"))
+    assert len(found) == 3  # a frame a shape; a frame a tile took two milliseconds each
+    want = []
+    for k, x0, y0, h, w, width, data in rows:
+        i, island = kernels.label_runs(data.reshape(h, w) >= 0.4)
+        want += [(k, a % w + x0, a // w + y0, (b // w + y0) * width + b % w + x0) for a, b in zip(i.tolist(), island.tolist(), strict=True)]
+    got = [tuple(r) for f in found for r in f.itertuples(index=False)]
+    assert sorted(got) == sorted(want) and len(want) > 4000
+
+
 def test_long_chains_of_ids_are_joined(spark):
     chain = [(k % 2, i, i + 1) for k in range(2) for i in range(60)] + [(0, 100, 200), (0, 150, 200), (1, 300, 300)]
     got = {(r.k, r.id): r.least for r in mosaics.joined_ids(spark.createDataFrame(chain, "k int, a long, b long"), "k").collect()}
