@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import segment
 
 
-def find_central(components: DataFrame, labels: DataFrame, key: str, w: int, h: int, tie: str = "smallest") -> DataFrame:
-    """(key, skey, seg_ord, contains_centre, rank): one segment per image that has one.
+def with_central(components: DataFrame, labels: DataFrame, key: str, w: int, h: int, tie: str = "smallest") -> DataFrame:
+    """The components with the columns of `segment.settled` and `_central`: (skey, seg_ord, contains_centre, rank) of their image's central segment, or null.
 
     First choice: segments whose box holds the centre pixel, of these the smallest (`tie='largest'` takes the largest).
     Otherwise the segment with the most positions among those that keep a box, the first key on ties.
@@ -19,14 +19,22 @@ def find_central(components: DataFrame, labels: DataFrame, key: str, w: int, h:
     if tie not in ("smallest", "largest"):
         raise ValueError("tie is 'smallest' or 'largest'")
     c = w // 2
-    ranks = segment.rank_segments(segment.segment_sizes(components, labels, key), key).select(key, "skey", "rank")
-    counts = components.groupBy(key, "skey").agg(F.count("*").alias("n_positions"))
-    boxes = segment.segment_boxes(components, labels, key).where("xmin IS NOT NULL").join(ranks, [key, "skey"]).join(counts, [key, "skey"])
-    inside = F.lit(c).between(F.col("xmin"), F.col("xmax")) & F.lit(c).between(F.col("ymin"), F.col("ymax"))
-    by_rank = -F.col("rank") if tie == "smallest" else F.col("rank")
-    order = F.struct((~F.col("inside")).alias("o"), F.when(F.col("inside"), by_rank).otherwise(-F.col("n_positions")).alias("r"), "seg_ord")
-    best = boxes.withColumn("inside", inside).groupBy(key).agg(F.min_by(F.struct("skey", "seg_ord", F.col("inside").alias("contains_centre"), "rank"), order).alias("s"))
-    return best.select(key, "s.*")
+    inside = F.lit(c).between(F.col("_box.xmin"), F.col("_box.xmax")) & F.lit(c).between(F.col("_box.ymin"), F.col("_box.ymax"))
+    by_rank = -F.col("_rank") if tie == "smallest" else F.col("_rank")
+    order = F.struct((~inside).alias("o"), F.when(inside, by_rank).otherwise(-F.col("_positions")).alias("r"), "seg_ord", "skey")
+    best = F.min_by(F.struct("skey", "seg_ord", inside.alias("contains_centre"), F.col("_rank").alias("rank")), F.when(F.col("_box").isNotNull(), order))
+    return segment.settled(components, labels, key).withColumn("_central", best.over(Window.partitionBy(key)))
+
+
+def find_central(components: DataFrame, labels: DataFrame, key: str, w: int, h: int, tie: str = "smallest") -> DataFrame:
+    """(key, skey, seg_ord, contains_centre, rank): one segment per image that has one, chosen as in `with_central`."""
+    held = with_central(components, labels, key, w, h, tie).where("_central IS NOT NULL")
+    return held.groupBy(key).agg(F.first("_central").alias("s")).select(key, "s.*")
+
+
+def central_islands(placed: DataFrame, key: str) -> DataFrame:
+    """(key, skey, island_id): the islands that the central segments of `with_central` keep."""
+    return placed.where("_owner.skey = _central.skey").select(key, F.col("_central.skey").alias("skey"), F.col("_island").alias("island_id")).distinct()
 
 
 def central_positions(components: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -40,7 +48,5 @@ def central_positions(components: DataFrame, found: DataFrame, key: str) -> Data
 
 def full_annotation(components: DataFrame, labels: DataFrame, key: str, w: int, h: int) -> DataFrame:
     """(key, skey, xmin, ymin, xmax, ymax, area): box and mask area of the central object's segment after overlaps."""
-    found = find_central(components, labels, key, w, h)
-    owned = segment.owned_islands(components, labels, key).select(key, "skey", "island_id")
-    mask = labels.join(owned.join(found.select(key, "skey"), [key, "skey"]), [key, "island_id"])
+    mask = labels.join(central_islands(with_central(components, labels, key, w, h), key), [key, "island_id"])
     return mask.groupBy(key, "skey").agg(*segment.box_columns(), F.count("*").cast("double").alias("area"))

@@ -30,11 +30,32 @@ def keys_of(components: DataFrame, key: str) -> DataFrame:
     return components.select(key, "skey", "seg_ord").distinct()
 
 
+def settled(components: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The components, a row each, with what their segments are after overlaps; columns of its own begin with an underscore.
+
+    `_island`: the island under the position, or null. `_size`, `_rank`, `_positions`: of the row's segment. `_owner`: (skey, seg_ord, rank)
+    of the island's largest segment. `_box`: the limits of the islands that the row's segment keeps, or null. Pixels and components
+    are sent once to meet; the rest is windows within an image, so what is derived from it by image needs no further exchange.
+    """
+    once = labels.groupBy(key, "x", "y").agg(F.min("island_id").alias("_island"))
+    islands = labels.groupBy(key, F.col("island_id").alias("_island")).agg(F.count("*").alias("_area"), F.struct(*box_columns()).alias("_limits"))
+    at = components.join(once, [key, "x", "y"], "left").join(islands, [key, "_island"], "left").repartition(key)
+    segment, met = Window.partitionBy(key, "skey"), F.col("_island").isNotNull()
+    first = F.row_number().over(Window.partitionBy(key, "skey", "_island").orderBy("x", "y")) == 1
+    at = at.withColumn("_new", F.when(first, F.col("_area")))
+    at = at.withColumns({"_size": F.coalesce(F.sum("_new").over(segment), F.lit(0)).cast("long"), "_positions": F.count("*").over(segment)})
+    at = at.withColumn("_rank", F.dense_rank().over(Window.partitionBy(key).orderBy(F.col("_size").desc(), "seg_ord", "skey")))
+    owner = F.min_by(F.struct("skey", "seg_ord", F.col("_rank").alias("rank")), "_rank").over(Window.partitionBy(key, "_island"))
+    at = at.withColumn("_owner", F.when(met, owner))
+    kept = lambda f, c: f(F.when(F.col("_owner.rank") == F.col("_rank"), F.col(f"_limits.{c}"))).over(segment)
+    at = at.withColumns({f"_{c}": kept(f, c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))})
+    box = F.when(F.col("_xmin").isNotNull(), F.struct(*(F.col(f"_{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax"))))
+    return at.select(*components.columns, "_island", "_size", "_positions", "_rank", "_owner", box.alias("_box"))
+
+
 def segment_sizes(components: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """(key, skey, seg_ord, size): pixels before overlaps are resolved, 0 for keys without any."""
-    areas = labels.groupBy(key, "island_id").agg(F.count("*").alias("area"))
-    held = segment_islands(components, labels, key).join(areas, [key, "island_id"]).groupBy(key, "skey").agg(F.sum("area").alias("size"))
-    return keys_of(components, key).join(held, [key, "skey"], "left").withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
+    return settled(components, labels, key).groupBy(key, "skey", "seg_ord").agg(F.first("_size").alias("size"))
 
 
 def rank_segments(sizes: DataFrame, key: str) -> DataFrame:
@@ -52,10 +73,8 @@ def owned_islands(components: DataFrame, labels: DataFrame, key: str) -> DataFra
 
     With one threshold per image, overlaps are whole islands, so claims are settled per island and not per pixel.
     """
-    ranks = rank_segments(segment_sizes(components, labels, key), key)
-    claims = segment_islands(components, labels, key).drop("seg_ord").join(ranks, [key, "skey"])
-    first = F.min_by(F.struct("skey", "seg_ord", "rank"), "rank")
-    return claims.groupBy(key, "island_id").agg(first.alias("s")).select(key, "island_id", "s.*")
+    met = settled(components, labels, key).where("_island IS NOT NULL")
+    return met.groupBy(key, F.col("_island").alias("island_id")).agg(F.first("_owner").alias("s")).select(key, "island_id", "s.*")
 
 
 def segmentation_map(components: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -67,10 +86,7 @@ def segmentation_map(components: DataFrame, labels: DataFrame, key: str) -> Data
 
 def segment_boxes(components: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """(key, skey, seg_ord, xmin, ymin, xmax, ymax) after overlaps; nulls for keys that keep no pixel."""
-    limits = labels.groupBy(key, "island_id").agg(*box_columns())
-    owned = owned_islands(components, labels, key).select(key, "island_id", "skey")
-    boxes = owned.join(limits, [key, "island_id"]).groupBy(key, "skey").agg(*(f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))))
-    return keys_of(components, key).join(boxes, [key, "skey"], "left")
+    return settled(components, labels, key).groupBy(key, "skey", "seg_ord").agg(F.first("_box").alias("b")).select(key, "skey", "seg_ord", "b.*")
 
 
 def object_mask(pixels: DataFrame, components: DataFrame, labels: DataFrame, key: str) -> DataFrame:

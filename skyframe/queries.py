@@ -18,6 +18,8 @@ from .operators import aperture, coco, geometry, grg, kernels, mosaics, pixels,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 LEVEL, SIDE, KEY = 0.1, 8, "vec_id"
+#: Most ids of rasters that go to every task, which then sends only their lines; with more ids, all lines are sent to meet them.
+SENT_IDS = 1 << 21
 ANGLES = [0.0, 45.0, 90.0, 135.0, 180.0, 225.0, 270.0, 315.0]
 
 
@@ -415,7 +417,8 @@ def redshift_sweep(spark, sf_dir):
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the orders that number a raster (a vec_id of embeddings): three keys an image, and `ord` as a total order of a key's positions."""
     c = F.col("l_linenumber") % 3
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "embeddings").select(F.col(KEY).alias("l_orderkey")), "l_orderkey", "left_semi")
+    ids = table(spark, sf_dir, "embeddings").select(F.col(KEY).alias("l_orderkey"))
+    li = table(spark, sf_dir, "lineitem").join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "l_orderkey", "left_semi")
     return li.select(
         F.col("l_orderkey").alias(KEY), F.concat(F.lit("S"), c.cast("string")).alias("skey"), c.cast("int").alias("seg_ord"), (F.col("l_partkey") % SIDE).cast("int").alias("x"), (F.col("l_suppkey") % SIDE).cast("int").alias("y"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("ord"),
@@ -515,7 +518,7 @@ def point_in_mask(spark, sf_dir):
 @query(f"WITH RECURSIVE {_FOUND}, own AS (SELECT c.* FROM components c JOIN found f USING (vec_id, skey)) SELECT c.vec_id, c.skey, c.x, c.y FROM components c WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.vec_id = c.vec_id AND o.x = c.x AND o.y = c.y)")
 def non_grg_anti_join(spark, sf_dir):
     c, l = _sky(spark, sf_dir)
-    own = c.join(grg.find_central(c, l, KEY, SIDE, SIDE).select(KEY, "skey"), [KEY, "skey"])
+    own = grg.with_central(c, l, KEY, SIDE, SIDE).where("skey = _central.skey")
     return quality.others(c, own, KEY).select(KEY, "skey", "x", "y")
 
 
@@ -529,10 +532,9 @@ _JUDGED = f"{_FOUND}, points AS (SELECT c.vec_id, c.skey, c.x, c.y, c.ord, c.ske
 
 def _points_and_mask(spark, sf_dir):
     c, l = _sky(spark, sf_dir)
-    found = grg.find_central(c, l, KEY, SIDE, SIDE)
-    points = c.join(found.select(KEY, F.col("skey").alias("central")), KEY).withColumn("grg", F.col("skey") == F.col("central"))
-    owned = segment.owned_islands(c, l, KEY).join(found.select(KEY, "skey"), [KEY, "skey"], "left_semi").select(KEY, "island_id")
-    return points, l.join(owned, [KEY, "island_id"]).select(KEY, "x", "y")
+    placed = grg.with_central(c, l, KEY, SIDE, SIDE).where("_central IS NOT NULL")
+    points = placed.withColumn("grg", F.col("skey") == F.col("_central.skey")).select(*c.columns, "grg")
+    return points, l.join(grg.central_islands(placed, KEY), [KEY, "island_id"]).select(KEY, "x", "y")
 
 
 @query(

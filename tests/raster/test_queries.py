@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe import queries as q
+from skyframe.operators import segment
 from tests.conftest import DATA
 
 
@@ -50,3 +51,39 @@ def test_rle_strings_decode_to_the_runs(spark):
     runs = q.rle_runs(spark, sf).toPandas().sort_values(["vec_id", "run"]).groupby("vec_id").length.apply(list)
     strings = q.rle_strings(spark, sf).toPandas().set_index("vec_id").counts
     assert all(decode(strings[k]) == runs[k] for k in runs.index)
+
+
+@pytest.mark.parametrize("name", ["clean_components"])
+def test_lines_of_other_orders_are_not_shuffled(spark, duck, same, monkeypatch, name):
+    """Before, a table of ids over the broadcast threshold had all of lineitem shuffled, once for each of its twelve uses."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sf = f"{DATA}/sf0.001"
+        plan = q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") <= 2 and plan.count("LeftSemi, BuildRight") == plan.count("lineitem.parquet") > 0
+        assert "BroadcastHashJoin [l_orderkey" in plan and plan.count("Exchange hashpartitioning") <= 16
+        monkeypatch.setattr(q, "SENT_IDS", 0)  # ids too many to send: the same rows by a shuffle
+        held = q.QUERIES[name](spark, sf)
+        assert "BroadcastHashJoin" not in held._jdf.queryExecution().executedPlan().toString()
+        same(held.toPandas(), duck.execute(q.ORACLES[name]).df())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_settled_segments_equal_plain_python(spark):
+    spots = [(k, f"s{s}", s, i, (k * 5 + s * 3 + i * 7) % 8, (k + s + i * 3) % 4) for k in range(6) for s in range(3) for i in range(4)]
+    comps = spark.createDataFrame(spots, "k int, skey string, seg_ord int, ord int, x int, y int")
+    pixels = {(k, x, y): 10 * (x // 3) + y // 2 for k in range(5) for x in range(8) for y in range(4) if x % 3 != 2}  # image 5 has none
+    labels = spark.createDataFrame([(*p, i) for p, i in pixels.items()], "k int, x int, y int, island_id long")
+    got = {(r.k, r.skey, r.ord): r for r in segment.settled(comps, labels.unionByName(labels.limit(0)), "k").collect()}
+    assert len(got) == len(spots) and segment.settled(comps, labels.unionByName(labels), "k").count() == len(spots)
+    for k in range(6):
+        area = {i: sum(j == i and p[0] == k for p, j in pixels.items()) for i in pixels.values()}
+        hit = {s: {pixels[k, x, y] for kk, name, _, _, x, y in spots if kk == k and name == s and (k, x, y) in pixels} for s in ("s0", "s1", "s2")}
+        ranks = sorted(hit, key=lambda s: (-sum(area[i] for i in hit[s]), s))
+        owner = {i: next(s for s in ranks if i in hit[s]) for s in hit for i in hit[s]}
+        for _, s, _, o, x, y in (p for p in spots if p[0] == k):
+            r, own = got[k, s, o], [p for p, i in pixels.items() if p[0] == k and owner.get(i) == s]
+            assert (r._island, r._size, r._rank, r._positions) == (pixels.get((k, x, y)), sum(area[i] for i in hit[s]), ranks.index(s) + 1, 4)
+            assert (r._owner.skey if r._owner else None) == owner.get(pixels.get((k, x, y)))
+            assert (tuple(r._box) if r._box else None) == ((*(min(p[a] for p in own) for a in (1, 2)), *(max(p[a] for p in own) for a in (1, 2))) if own else None)
