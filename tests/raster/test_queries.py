@@ -53,7 +53,7 @@ def test_rle_strings_decode_to_the_runs(spark):
     assert all(decode(strings[k]) == runs[k] for k in runs.index)
 
 
-@pytest.mark.parametrize("name", ["clean_components", "cleaned_images"])
+@pytest.mark.parametrize("name", ["clean_components", "cleaned_images", "clean_removed"])
 def test_lines_of_other_orders_are_not_shuffled(spark, duck, same, monkeypatch, name):
     """Before, a table of ids over the broadcast threshold had all of lineitem shuffled, once for each of its twelve uses."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
