@@ -37,6 +37,14 @@ def central_islands(placed: DataFrame, key: str) -> DataFrame:
     return placed.where("_owner.skey = _central.skey").select(key, F.col("_central.skey").alias("skey"), F.col("_island").alias("island_id")).distinct()
 
 
+def in_central(placed: DataFrame) -> DataFrame:
+    """The rows of `with_central` with `inside`: whether the position lies in the mask of its image's central segment, the islands that it keeps.
+
+    The row's own island and its owner say so, so labels are not joined again.
+    """
+    return placed.withColumn("inside", F.coalesce(F.col("_owner.skey") == F.col("_central.skey"), F.lit(False)))
+
+
 def central_positions(components: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(key, grg_positions, all_positions) of the images with a central object."""
     one = components.join(found.select(key, F.col("skey").alias("central")), key)

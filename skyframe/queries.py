@@ -530,6 +530,13 @@ def union_positions(spark, sf_dir):
 _JUDGED = f"{_FOUND}, points AS (SELECT c.vec_id, c.skey, c.x, c.y, c.ord, c.skey = f.skey AS grg FROM components c JOIN found f USING (vec_id)), omask AS (SELECT l.vec_id, l.x, l.y FROM found f JOIN owned o USING (vec_id, skey) JOIN labels l ON l.vec_id = o.vec_id AND l.island_id = o.island_id), placed AS (SELECT p.*, m.x IS NOT NULL AS inside FROM points p LEFT JOIN omask m USING (vec_id, x, y))"
 
 
+def _placed(spark, sf_dir):
+    """All positions of the images with a central object, with `grg` (its own ones) and `inside` (those in its mask)."""
+    c, l = _sky(spark, sf_dir)
+    placed = grg.with_central(c, l, KEY, SIDE, SIDE).where("_central IS NOT NULL")
+    return grg.in_central(placed).withColumn("grg", F.col("skey") == F.col("_central.skey")).select(*c.columns, "grg", "inside")
+
+
 def _points_and_mask(spark, sf_dir):
     c, l = _sky(spark, sf_dir)
     placed = grg.with_central(c, l, KEY, SIDE, SIDE).where("_central IS NOT NULL")
@@ -542,7 +549,7 @@ def _points_and_mask(spark, sf_dir):
 )
 def clean_components(spark, sf_dir):
     text = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws(":", p["x"], p["y"])), ",")
-    held = quality.clean(*_points_and_mask(spark, sf_dir), KEY)
+    held = quality.clean_placed(_placed(spark, sf_dir), KEY)
     return held.select(KEY, text("grg").alias("grg"), text("other").alias("other"), "updated")
 
 
@@ -552,7 +559,7 @@ def clean_components(spark, sf_dir):
 )
 def cleaned_images(spark, sf_dir):
     text = lambda c: F.array_join(F.transform(c, lambda p: F.array_join(p.cast("array<string>"), ":")), ",")
-    left = quality.cleaned_positions(quality.clean(*_points_and_mask(spark, sf_dir), KEY), KEY)
+    left = quality.cleaned_positions(quality.clean_placed(_placed(spark, sf_dir), KEY), KEY)
     return left.select(KEY, text("grg_positions").alias("grg_positions"), text("all_component_positions").alias("all_positions"), "updated")
 
 
@@ -569,7 +576,7 @@ def clean_removed(spark, sf_dir):
     "SELECT tp, fp, fn, round(tp / greatest(tp + fp + fn, 1)::DOUBLE, 6) AS accuracy, round(tp / greatest(tp + fp, 1)::DOUBLE, 6) AS precision, round(tp / greatest(tp + fn, 1)::DOUBLE, 6) AS recall FROM n"
 )
 def eval_metrics(spark, sf_dir):
-    m = quality.metrics(quality.judge(*_points_and_mask(spark, sf_dir), KEY))
+    m = quality.metrics(quality.judge_placed(_placed(spark, sf_dir), KEY))
     return m.select("tp", "fp", "fn", *(r6(c, c) for c in ("accuracy", "precision", "recall")))
 
 

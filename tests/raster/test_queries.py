@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe import queries as q
-from skyframe.operators import segment
+from skyframe.operators import grg, segment
 from tests.conftest import DATA
 
 
@@ -70,6 +70,29 @@ def test_lines_of_other_orders_are_not_shuffled(spark, duck, same, monkeypatch,
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize(("name", "exchanges"), [("cleaned_images", 5), ("clean_components", 5), ("eval_metrics", 5)])
+def test_cleaning_settles_segments_once(spark, name, exchanges):
+    """Before, masks were joined to the points again, so lines were read and segments settled twice, with up to 16 exchanges."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = q.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") <= exchanges
+
+
+def test_positions_in_the_central_mask_equal_a_join_of_its_pixels(spark):
+    spots = [(k, f"s{s}", s, i, (k * 5 + s * 3 + i * 7) % 8, (k + s + i * 3) % 8) for k in range(12) for s in range(3) for i in range(4)]
+    comps = spark.createDataFrame(spots, "k int, skey string, seg_ord int, ord int, x int, y int")
+    pixels = [(k, x, y, 10 * (x // 3) + y // 2) for k in range(11) for x in range(8) for y in range(8) if (x + k) % 3 != 2]  # image 11 has none
+    labels = spark.createDataFrame(pixels, "k int, x int, y int, island_id long")
+    placed = grg.with_central(comps, labels, "k", 8, 8)
+    mask = labels.join(grg.central_islands(placed, "k"), ["k", "island_id"])
+    want = segment.points_in_mask(comps, mask, "k").select(*comps.columns, "inside").collect()
+    assert sorted(grg.in_central(placed).select(*comps.columns, "inside").collect()) == sorted(want)
+    assert {r.inside for r in want} == {True, False} and len(want) == len(spots)
+
+
 def test_settled_segments_equal_plain_python(spark):
     spots = [(k, f"s{s}", s, i, (k * 5 + s * 3 + i * 7) % 8, (k + s + i * 3) % 4) for k in range(6) for s in range(3) for i in range(4)]
     comps = spark.createDataFrame(spots, "k int, skey string, seg_ord int, ord int, x int, y int")
