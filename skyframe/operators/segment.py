@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pixels import box_columns
-
 
 def in_bounds(points: DataFrame, w: int, h: int) -> DataFrame:
     return points.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1))
@@ -34,12 +32,18 @@ def settled(components: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """The components, a row each, with what their segments are after overlaps; columns of its own begin with an underscore.
 
     `_island`: the island under the position, or null. `_size`, `_rank`, `_positions`: of the row's segment. `_owner`: (skey, seg_ord, rank)
-    of the island's largest segment. `_box`: the limits of the islands that the row's segment keeps, or null. Pixels and components
-    are sent once to meet; the rest is windows within an image, so what is derived from it by image needs no further exchange.
+    of the island's largest segment. `_box`: the limits of the islands that the row's segment keeps, or null. Pixels and components are
+    sent once, together, each image to one task (as its packed raster was when it was labelled); the rest is windows within an image, so
+    what is derived from it by image needs no further exchange.
     """
-    once = labels.groupBy(key, "x", "y").agg(F.min("island_id").alias("_island"))
-    islands = labels.groupBy(key, F.col("island_id").alias("_island")).agg(F.count("*").alias("_area"), F.struct(*box_columns()).alias("_limits"))
-    at = components.join(once, [key, "x", "y"], "left").join(islands, [key, "_island"], "left").repartition(key)
+    rest = [c for c in components.columns if c not in (key, "x", "y")]
+    lit = labels.where(F.col(key).isNotNull() & F.col("island_id").isNotNull()).select(key, "x", "y", *(F.lit(None).cast(components.schema[c].dataType).alias(c) for c in rest), F.col("island_id").alias("_lit"))
+    at = components.select(key, "x", "y", *rest, F.lit(None).cast(labels.schema["island_id"].dataType).alias("_lit")).union(lit).repartition(key)
+    here = F.when(F.col(key).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull(), F.min("_lit").over(Window.partitionBy(key, "x", "y")))
+    at = at.withColumn("_island", F.coalesce("_lit", here))
+    island, pixel = Window.partitionBy(key, "_island"), F.col("_lit").isNotNull()
+    limits = {f"_lit_{c}": f(F.when(pixel, F.col(c[0]))).over(island) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))}
+    at = at.withColumns({"_area": F.count("_lit").over(island)} | limits).where(~pixel)
     segment, met = Window.partitionBy(key, "skey"), F.col("_island").isNotNull()
     first = F.row_number().over(Window.partitionBy(key, "skey", "_island").orderBy("x", "y")) == 1
     at = at.withColumn("_new", F.when(first, F.col("_area")))
@@ -47,7 +51,7 @@ def settled(components: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     at = at.withColumn("_rank", F.dense_rank().over(Window.partitionBy(key).orderBy(F.col("_size").desc(), "seg_ord", "skey")))
     owner = F.min_by(F.struct("skey", "seg_ord", F.col("_rank").alias("rank")), "_rank").over(Window.partitionBy(key, "_island"))
     at = at.withColumn("_owner", F.when(met, owner))
-    kept = lambda f, c: f(F.when(F.col("_owner.rank") == F.col("_rank"), F.col(f"_limits.{c}"))).over(segment)
+    kept = lambda f, c: f(F.when(F.col("_owner.rank") == F.col("_rank"), F.col(f"_lit_{c}"))).over(segment)
     at = at.withColumns({f"_{c}": kept(f, c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))})
     box = F.when(F.col("_xmin").isNotNull(), F.struct(*(F.col(f"_{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax"))))
     return at.select(*components.columns, "_island", "_size", "_positions", "_rank", "_owner", box.alias("_box"))

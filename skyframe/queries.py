@@ -531,9 +531,9 @@ _JUDGED = f"{_FOUND}, points AS (SELECT c.vec_id, c.skey, c.x, c.y, c.ord, c.ske
 
 
 def _placed(spark, sf_dir):
-    """All positions of the images with a central object, with `grg` (its own ones) and `inside` (those in its mask)."""
-    c, l = _sky(spark, sf_dir)
-    placed = grg.with_central(c, l, KEY, SIDE, SIDE).where("_central IS NOT NULL")
+    """All positions of the images with a central object, with `grg` (its own ones) and `inside` (those in its mask); labels are read once, so they aren't kept."""
+    c = components(spark, sf_dir)
+    placed = grg.with_central(c, labels(spark, sf_dir), KEY, SIDE, SIDE).where("_central IS NOT NULL")
     return grg.in_central(placed).withColumn("grg", F.col("skey") == F.col("_central.skey")).select(*c.columns, "grg", "inside")
 
 

@@ -70,8 +70,8 @@ def test_lines_of_other_orders_are_not_shuffled(spark, duck, same, monkeypatch,
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize(("name", "exchanges"), [("cleaned_images", 5), ("clean_components", 5), ("eval_metrics", 5)])
-def test_cleaning_settles_segments_once(spark, name, exchanges):
+@pytest.mark.parametrize(("name", "exchanges"), [("cleaned_images", 1), ("clean_components", 1), ("eval_metrics", 1)])
+def test_cleaning_sends_lines_and_pixels_once(spark, name, exchanges):
     """Before, masks were joined to the points again, so lines were read and segments settled twice, with up to 16 exchanges."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -93,6 +93,18 @@ def test_positions_in_the_central_mask_equal_a_join_of_its_pixels(spark):
     assert {r.inside for r in want} == {True, False} and len(want) == len(spots)
 
 
+def test_settled_odd_rows(spark):
+    """Null keys and positions meet no island (also not labels without a key), repeated rows stay, types and columns are the components' own."""
+    rows = [(1, 1, 1, "a", 0), (1, 1, 1, "a", 0), (1, None, 1, "a", 0), (1, 5, 5, "b", 1), (None, 1, 1, "a", 0), (2, 1, 1, "a", 0)]
+    comps = spark.createDataFrame([(*r, {"p": 1}) for r in rows], "k int, x int, y int, skey string, seg_ord int, extra map<string,int>").select("skey", "k", "y", "extra", "x", "seg_ord")
+    labels = spark.createDataFrame([(1, 1, 1, 7), (1, 2, 1, 7), (1, None, 1, 9), (None, 1, 1, 8), (2, 1, 1, None)], "k int, x int, y int, island_id long")
+    got = segment.settled(comps, labels, "k")
+    assert got.columns[:6] == comps.columns and [f.dataType for f in got.schema.fields[:6]] == [f.dataType for f in comps.schema.fields]
+    seen = sorted((str(r.k), str(r.x), r.skey, r._island, r._size, r._positions, tuple(r._box) if r._box else None) for r in got.collect())
+    box = (1, 1, 2, 1)
+    assert seen == sorted([("1", "1", "a", 7, 2, 3, box), ("1", "1", "a", 7, 2, 3, box), ("1", "None", "a", None, 2, 3, box), ("1", "5", "b", None, 0, 1, None), ("None", "1", "a", None, 0, 1, None), ("2", "1", "a", None, 0, 1, None)])
+
+
 def test_settled_segments_equal_plain_python(spark):
     spots = [(k, f"s{s}", s, i, (k * 5 + s * 3 + i * 7) % 8, (k + s + i * 3) % 4) for k in range(6) for s in range(3) for i in range(4)]
     comps = spark.createDataFrame(spots, "k int, skey string, seg_ord int, ord int, x int, y int")
