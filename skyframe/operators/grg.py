@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import segment
@@ -45,6 +45,19 @@ def in_central(placed: DataFrame) -> DataFrame:
     return placed.withColumn("inside", F.coalesce(F.col("_owner.skey") == F.col("_central.skey"), F.lit(False)))
 
 
+def others_in_central(placed: DataFrame, labels: DataFrame, key: str, x: Column, y: Column) -> DataFrame:
+    """As `in_central`, but for the position (x, y) instead of the row's own: whether a pixel there is of an island that the central segment keeps.
+
+    The pixels are sent once more, to the task of their image, where windows find their island's and then their position's answer.
+    """
+    known = F.col(key).isNotNull()
+    pixels = labels.where(known & F.col("island_id").isNotNull()).select(key, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("island_id").alias("_island"), F.lit(True).alias("_pixel"))
+    rows = in_central(placed).withColumns({"_x": x, "_y": y, "_pixel": F.lit(False)}).unionByName(pixels.repartition(key), allowMissingColumns=True)
+    rows = rows.withColumn("_held", F.when(F.col("_pixel"), F.max("inside").over(Window.partitionBy(key, "_island"))))
+    there = F.when(known & F.col("_x").isNotNull() & F.col("_y").isNotNull(), F.max("_held").over(Window.partitionBy(key, "_x", "_y")))
+    return rows.withColumn("inside", F.coalesce(there, F.lit(False))).where("NOT _pixel").select(*placed.columns, "inside")
+
+
 def central_positions(components: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(key, grg_positions, all_positions) of the images with a central object."""
     one = components.join(found.select(key, F.col("skey").alias("central")), key)

@@ -537,13 +537,6 @@ def _placed(spark, sf_dir):
     return grg.in_central(placed).withColumn("grg", F.col("skey") == F.col("_central.skey")).select(*c.columns, "grg", "inside")
 
 
-def _points_and_mask(spark, sf_dir):
-    c, l = _sky(spark, sf_dir)
-    placed = grg.with_central(c, l, KEY, SIDE, SIDE).where("_central IS NOT NULL")
-    points = placed.withColumn("grg", F.col("skey") == F.col("_central.skey")).select(*c.columns, "grg")
-    return points, l.join(grg.central_islands(placed, KEY), [KEY, "island_id"]).select(KEY, "x", "y")
-
-
 @query(
     f"WITH RECURSIVE {_JUDGED} SELECT vec_id, coalesce(string_agg(x || ':' || y, ',' ORDER BY NOT grg, ord) FILTER (inside), '') AS grg, coalesce(string_agg(x || ':' || y, ',' ORDER BY grg, ord) FILTER (NOT inside), '') AS other, coalesce(bool_or(grg AND NOT inside), false) AS updated FROM placed GROUP BY vec_id"
 )
@@ -566,8 +559,10 @@ def cleaned_images(spark, sf_dir):
 @query(f"WITH RECURSIVE {_JUDGED.replace('LEFT JOIN omask m USING (vec_id, x, y)', 'LEFT JOIN omask m ON m.vec_id = p.vec_id AND m.x = (p.x + 4) % 8 AND m.y = p.y')} SELECT vec_id FROM placed GROUP BY vec_id HAVING NOT bool_or(inside)")
 def clean_removed(spark, sf_dir):
     """Images that lose their object: the positions are moved by half a raster, as an object's own positions are always in its mask."""
-    points, held = _points_and_mask(spark, sf_dir)
-    return quality.clean(points.withColumn("x", ((F.col("x") + 4) % SIDE).cast("int")), held, KEY).where("removed").select(KEY)
+    c, l = _sky(spark, sf_dir)
+    placed = grg.with_central(c, l, KEY, SIDE, SIDE).where("_central IS NOT NULL")
+    moved = grg.others_in_central(placed, l, KEY, ((F.col("x") + 4) % SIDE).cast("int"), F.col("y"))
+    return quality.clean_placed(moved.withColumn("grg", F.col("skey") == F.col("_central.skey")), KEY).where("removed").select(KEY)
 
 
 @query(

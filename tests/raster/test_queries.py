@@ -70,7 +70,7 @@ def test_lines_of_other_orders_are_not_shuffled(spark, duck, same, monkeypatch,
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize(("name", "exchanges"), [("cleaned_images", 1), ("clean_components", 1), ("eval_metrics", 1)])
+@pytest.mark.parametrize(("name", "exchanges"), [("cleaned_images", 1), ("clean_components", 1), ("eval_metrics", 1), ("clean_removed", 2)])
 def test_cleaning_sends_lines_and_pixels_once(spark, name, exchanges):
     """Before, masks were joined to the points again, so lines were read and segments settled twice, with up to 16 exchanges."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -91,6 +91,11 @@ def test_positions_in_the_central_mask_equal_a_join_of_its_pixels(spark):
     want = segment.points_in_mask(comps, mask, "k").select(*comps.columns, "inside").collect()
     assert sorted(grg.in_central(placed).select(*comps.columns, "inside").collect()) == sorted(want)
     assert {r.inside for r in want} == {True, False} and len(want) == len(spots)
+    others = comps.withColumn("x", (F.col("x") + 3) % 9).withColumn("y", F.when(F.col("y") > 0, F.col("y")))  # some outside, some null
+    want = segment.points_in_mask(others, mask, "k").select("k", "skey", "ord", "inside").collect()
+    got = grg.others_in_central(placed, labels.unionByName(labels.limit(0)), "k", (F.col("x") + 3) % 9, F.when(F.col("y") > 0, F.col("y")))
+    assert got.columns == [*placed.columns, "inside"] and sorted(got.select("k", "skey", "ord", "inside").collect()) == sorted(want)
+    assert {r.inside for r in want} == {True, False}
 
 
 def test_settled_odd_rows(spark):
