@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import segment
+from .pixels import box_columns
 
 
 def with_central(components: DataFrame, labels: DataFrame, key: str, w: int, h: int, tie: str = "smallest") -> DataFrame:
@@ -70,4 +71,4 @@ def central_positions(components: DataFrame, found: DataFrame, key: str) -> Data
 def full_annotation(components: DataFrame, labels: DataFrame, key: str, w: int, h: int) -> DataFrame:
     """(key, skey, xmin, ymin, xmax, ymax, area): box and mask area of the central object's segment after overlaps."""
     mask = labels.join(central_islands(with_central(components, labels, key, w, h), key), [key, "island_id"])
-    return mask.groupBy(key, "skey").agg(*segment.box_columns(), F.count("*").cast("double").alias("area"))
+    return mask.groupBy(key, "skey").agg(*box_columns(), F.count("*").cast("double").alias("area"))
