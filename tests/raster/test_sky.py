@@ -107,6 +107,26 @@ def test_pairs_of_a_catalogue_are_cheap(spark):
     assert not any(f in line for line in join if " Join " in line or line.startswith(("Project", "+- Filter")) for f in ("SIN(", "COS(", "ASIN(", "POWER("))
 
 
+def test_cutouts_copied_to_cells_are_never_broadcast(spark):
+    """Spark sizes the cutouts without their copies (77 a cutout here), so a table below the broadcast threshold filled the driver's memory."""
+    from skyframe import queries
+    from tests.conftest import DATA
+
+    for query in (queries.sky_cutout_join, queries.sky_objects):
+        plan = query(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("size", [40, 41])
+def test_pixels_on_the_edge_are_kept(spark, size):
+    """Places within half a pixel of the first and the last one, for even and odd sizes; an image without pixels."""
+    header = {"CTYPE1": "RA---SIN", "CRVAL1": "0", "CRVAL2": "0", "CRPIX1": "1", "CRPIX2": "1", "CDELT1": str(math.degrees(0.01)), "CDELT2": str(math.degrees(0.01))}
+    cutouts = spark.createDataFrame([(0, size, size, header), (1, 0, size, header)], "image_id int, w int, h int, header map<string,string>")
+    at = [(i, math.degrees(math.asin(0.01 * x))) for i, x in enumerate((-0.51, -0.49, size - 1.0, size - 0.51, size - 0.49))]
+    got = sky.catalogue_pixels(spark.createDataFrame([(i, ra, 0.0) for i, ra in at], "i int, ra double, dec double"), cutouts)
+    assert sorted(map(tuple, got.select("image_id", "i", "x", "y").collect())) == [(0, 1, 0, 0), (0, 2, size - 1, 0), (0, 3, size - 1, 0)]
+
+
 def test_pixels_of_pairs_equal_the_projection(spark):
     rng = np.random.default_rng(5)
     cutouts = spark.createDataFrame([(k, 90, 70, h) for k, h in enumerate(headers())] + [(9, 90, 70, headers()[0] | {"CDELT1": "0"})], "image_id int, w int, h int, header map<string,string>")
