@@ -112,9 +112,38 @@ def test_cutouts_copied_to_cells_are_never_broadcast(spark):
     from skyframe import queries
     from tests.conftest import DATA
 
-    for query in (queries.sky_cutout_join, queries.sky_objects):
-        plan = query(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = queries.sky_cutout_join(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_objects_are_summed_where_pairs_arise(spark):
+    """No pair and no object is sent: the one exchange after the copies to patches is the last one, and only counts of patches go to every task."""
+    from skyframe import queries
+    from tests.conftest import DATA
+
+    plan = queries.sky_objects(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+    assert plan.index("MapInArrow") < plan.index("Exchange") and plan.count("BroadcastExchange") <= 2
+
+
+def test_objects_of_many_sizes_blocks_and_parts(spark, monkeypatch):
+    """Crowded and lonely cutouts of unlike sizes, a pole, a null key; blocks of few rows, parts of few cutouts, objects longer than a block."""
+    rng = np.random.default_rng(8)
+    header = lambda ra, dec, step, kind: {"CTYPE1": kind, "CRVAL1": str(ra), "CRVAL2": str(dec), "CRPIX1": "11", "CRPIX2": "11", "CDELT1": str(-step), "CDELT2": str(step)}
+    places = [(0.1 * k, 0.05 * k, 0.01, "RA---TAN") for k in range(12)] + [(40.0 * k, 89.9 - 0.02 * k, 0.02, "RA---SIN") for k in range(5)] + [(10.0, 5.0, 1.5, "RA---TAN"), (200.0, -3.0, 9.0, "RA---SIN"), (300.0, 10.0, 0.0, "RA---TAN")]
+    cutouts = spark.createDataFrame([(k or None, 21, 21, header(*p)) for k, p in enumerate(places)], "image_id int, w int, h int, header map<string,string>")
+    at = list(zip(rng.uniform(-0.2, 1.3, 900), rng.uniform(-0.2, 0.8, 900), strict=True)) + list(zip(rng.uniform(0, 360, 300), rng.uniform(89.5, 90, 300), strict=True)) + list(zip(rng.uniform(0, 360, 400), rng.uniform(-90, 90, 400), strict=True))
+    names = ["one"] * 300 + [None if k % 7 == 0 else f"{k % 40}" for k in range(len(at) - 300)]
+    rows = [(None if k == 350 else k, n, float(a), float(d)) for k, (n, (a, d)) in enumerate(zip(names, at, strict=True))]
+    catalogue = spark.createDataFrame(rows, "component int, source string, ra double, dec double")
+    one = sky.cutout_components(catalogue, cutouts, "source", "component").groupBy("image_id", "skey", "seg_ord").agg(F.count("*").alias("n"), *pixels.box_columns())
+    want = sorted(map(str, one.collect()))
+    assert len(want) > 300
+    for together, block, out, sent in ((512, 1 << 14, 1 << 16, 1 << 20), (3, 50, 20, 0)):
+        for name, value in zip(("TOGETHER", "BLOCK", "OUT", "SENT_CUTOUTS"), (together, block, out, sent), strict=True):
+            monkeypatch.setattr(sky, name, value)
+        got = sky.cutout_objects(catalogue, cutouts, "source", "component").select(*one.columns)
+        assert sorted(map(str, got.collect())) == want
 
 
 @pytest.mark.parametrize("size", [40, 41])
